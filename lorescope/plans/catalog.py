@@ -1,7 +1,10 @@
 """All named queries."""
 
 from lorescope.plans import (  # noqa: F401  (importing registers)
+    agreement_queries,
+    graph_queries,
     metric_queries,
+    record_queries,
     reshape_queries,
     text_queries,
     vote_queries,

@@ -25,9 +25,14 @@ def read_items(spark: SparkSession, path: str, schema: str = RAW_ITEM, fmt: str
     return reader.format(fmt).load(path)
 
 
-def write_runs(runs: DataFrame, path: str, dims: Sequence[str]) -> None:
-    """Result sets as one partition per run key."""
-    runs.repartition(*dims).write.partitionBy(*dims).mode("append").parquet(path)
+def write_runs(runs: DataFrame, path: str, dims: Sequence[str], files_per_run: int = 8) -> None:
+    """Result sets as one partition per run key, a few files each.
+
+    Rows of one key are spread over ``files_per_run`` tasks, so that a run that
+    holds most rows is not written by a single one.
+    """
+    spread = F.pmod(F.xxhash64(*[c for c in runs.columns if c not in dims]), F.lit(files_per_run))
+    runs.repartition(*dims, spread).write.partitionBy(*dims).mode("append").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str, where: Mapping[str, Sequence] | None = None) -> DataFrame:
