@@ -4,6 +4,7 @@ from lorescope.plans import (  # noqa: F401  (importing registers)
     agreement_queries,
     graph_queries,
     metric_queries,
+    mining_queries,
     record_queries,
     reshape_queries,
     text_queries,
