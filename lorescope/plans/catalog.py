@@ -8,6 +8,7 @@ from lorescope.plans import (  # noqa: F401  (importing registers)
     record_queries,
     reshape_queries,
     text_queries,
+    vector_queries,
     vote_queries,
 )
 from lorescope.plans.registry import QUERIES, TWINS  # noqa: F401
