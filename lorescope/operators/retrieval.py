@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lorescope.operators.stats import long_vectors
+from lorescope.session import cut_lineage
 
 BLOCK = 4096  # vectors one task multiplies on each side
 _DIGITS = 9  # scores are compared to this precision, so that equal vectors tie
@@ -23,8 +24,8 @@ def masked_mean_pool(tokens: DataFrame, group: str, vector: str, mask: Column) -
     )
 
 
-def _blocks(df: DataFrame, by: Sequence[str], block: int, name: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+def _blocks(df: DataFrame, by: Sequence[str], block: int, rows: str, blocks: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(rows)).withColumn(blocks, F.ceil(F.col(rows) / block))
 
 
 def retrieve(
@@ -33,46 +34,53 @@ def retrieve(
     """The k facts with the largest dot product for each query, within the same ``by`` group if given.
 
     Both sides of a group are cut into blocks by a hash of their id, and every
-    pair of blocks is one small matrix product in its own task: no group has to
-    fit one task, and a block pair hands on k rows per query, not all scores.
-    ``queries`` has query_id, ``facts`` has fact_id.
+    pair of blocks is one small matrix product: no group has to fit one task,
+    and a block pair hands on k rows per query, not all scores. Block pairs are
+    packed by hash until a task call has about two blocks of rows, so many tiny
+    groups share a call. ``queries`` has query_id, ``facts`` has fact_id.
     """
     by = list(by) or ["_all"]
     if by == ["_all"]:
         queries, facts = queries.withColumn("_all", F.lit(0)), facts.withColumn("_all", F.lit(0))
-    shape = _blocks(queries, by, block, "_nq").join(_blocks(facts, by, block, "_nf"), by)
-    keys = [f"_g{i}" for i in range(len(by))]
+    shape = _blocks(queries, by, block, "_rq", "_nq").join(_blocks(facts, by, block, "_rf", "_nf"), by)
+    shape = cut_lineage(shape)  # one row per group
+    handled = shape.agg(F.sum(F.col("_rq") * F.col("_nf") + F.col("_rf") * F.col("_nq"))).first()[0] or 0
+    packs = max(1, -(-int(handled) // (2 * block)))
+    keys = [*[f"_g{i}" for i in range(len(by))], "_q", "_f"]
 
     def placed(side: DataFrame, key: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
         blocks = F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)
         return side.select(*by, key, vector).join(shape, by).select(
             *[F.col(c).alias(g) for c, g in zip(by, keys)], F.col(key).alias(key), F.col(vector).alias("vector"),
             F.pmod(F.xxhash64(key), F.col(own_n)).alias(own), F.explode(blocks).alias(other),
-        )
+        ).withColumn("_pack", F.pmod(F.xxhash64(*keys), F.lit(packs)))
 
     left = placed(queries, "query_id", "_q", "_f", "_nq", "_nf")
     right = placed(facts, "fact_id", "_f", "_q", "_nf", "_nq")
     q_kind, f_kind = queries.schema["query_id"].dataType.simpleString(), facts.schema["fact_id"].dataType.simpleString()
 
     def best(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "fact_id": [], "score": []})
-        if q.empty or f.empty:
-            return empty
-        a = np.stack(q["vector"].to_list()).astype(np.float64)
-        b = np.stack(f["vector"].to_list()).astype(np.float64)
-        scores = np.round(a @ b.T, _DIGITS)
-        ids = f["fact_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        top = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-        rows = np.arange(len(a))[:, None]
-        return pd.DataFrame({
-            "query_id": np.repeat(q["query_id"].to_numpy(), top.shape[1]),
-            "fact_id": ids[top].ravel(),
-            "score": scores[rows, top].ravel(),
-        })
-
-    keys += ["_q", "_f"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        found = []
+        if not q.empty and not f.empty:
+            f = f.sort_values("fact_id", kind="stable")
+            a = np.stack(q["vector"].to_list()).astype(np.float64)
+            b = np.stack(f["vector"].to_list()).astype(np.float64)
+            asked, ids = q["query_id"].to_numpy(), f["fact_id"].to_numpy()
+            candidates = f.groupby(keys, sort=False).indices
+            for group, rows in q.groupby(keys, sort=False).indices.items():
+                columns = candidates.get(group)
+                if columns is None:
+                    continue
+                scores = np.round(a[rows] @ b[columns].T, _DIGITS)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found.append(pd.DataFrame({
+                    "query_id": np.repeat(asked[rows], top.shape[1]),
+                    "fact_id": ids[columns][top].ravel(),
+                    "score": np.take_along_axis(scores, top, axis=1).ravel(),
+                }))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "fact_id": [], "score": []})
+
+    found = left.groupBy("_pack").cogroup(right.groupBy("_pack")).applyInPandas(
         best, f"query_id {q_kind}, fact_id {f_kind}, score double"
     )
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "fact_id"))

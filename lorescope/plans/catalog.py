@@ -7,6 +7,7 @@ from lorescope.plans import (  # noqa: F401  (importing registers)
     mining_queries,
     record_queries,
     reshape_queries,
+    stream_queries,
     text_queries,
     vector_queries,
     vote_queries,
