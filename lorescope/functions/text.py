@@ -121,3 +121,11 @@ def canonical_call(function: Column, positional: Column, keywords: Column) -> Co
         F.when(F.size(keywords) > 0, F.concat(F.lit(", "), named)).otherwise(""),
         F.lit(")"),
     )
+
+
+def one_decimal(value: Column) -> Column:
+    """A number with one decimal; halves go to the even digit, as Python formats them.
+
+    Noise beyond six decimals is removed first, so that a half is recognised.
+    """
+    return F.format_string("%.1f", F.bround(F.round(value, 6), 1))

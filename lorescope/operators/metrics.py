@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lorescope.functions.hashing import hash32
-from lorescope.functions.text import word_count
+from lorescope.functions.text import one_decimal, word_count
 
 METRICS = ("hp", "ap", "fke")
 RUN_KEY = ("task", "model", "method", "scope")
@@ -217,7 +217,7 @@ def flow_links(matrix: DataFrame, by: Sequence[str] = ("task",), separator: str
 
     def label(side: str) -> Column:
         share = F.sum("value").over(W.partitionBy(*by, side)) * 100 / total
-        return F.format_string(f"%s{separator}%.1f%%", F.col(side), F.round(share, 1))
+        return F.concat(F.col(side), F.lit(separator), one_decimal(share), F.lit("%"))
 
     return (
         matrix.withColumn("from", label("source"))

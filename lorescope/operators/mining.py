@@ -101,14 +101,32 @@ def reuse_by_answer(facts: DataFrame, fields: Sequence[str], key: str = "item_id
     return once.join(wording, "answer").select(key, "pos", "answer", *[F.col(f"_first.{f}").alias(f) for f in fields])
 
 
-_KQA = r"(?s)Knowledge: (.*?)\nQuestion: (.*?)\nAnswer: (.*?)(?=\nKnowledge:|\z)"
+_KQA = r"(?s)Knowledge: .*?\nQuestion: .*?\nAnswer: .*?(?=\nKnowledge:|\z)"
 
 
-def parse_kqa(text: Column) -> Column:
-    """Knowledge/Question/Answer blocks of a text, in order; incomplete blocks are skipped."""
-    groups = [F.transform(F.regexp_extract_all(text, F.lit(_KQA), g), strip) for g in (1, 2, 3)]
-    blocks = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("knowledge", "question", "answer"))])
-    return F.filter(blocks, lambda b: (b["knowledge"] != "") & (b["question"] != "") & (b["answer"] != ""))
+def parse_kqa(rows: DataFrame, text: str) -> DataFrame:
+    """Knowledge/Question/Answer blocks of each text, one row per block; incomplete blocks are skipped.
+
+    One pattern finds the blocks; inside a block the first labels divide it.
+    """
+
+    def after(part: Column, label: str) -> Column:
+        return F.substr(part, F.locate(label, part) + F.lit(len(label)))
+
+    block = F.col("_block")
+    rest = after(block, "\nQuestion: ")
+    knowledge = F.substr(F.substring_index(block, "\nQuestion: ", 1), F.lit(len("Knowledge: ") + 1))
+    keep = [c for c in rows.columns if c != text]
+    return (
+        rows.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(_KQA), 0)).alias("_block"))
+        .select(
+            *keep,
+            strip(knowledge).alias("knowledge"),
+            strip(F.substring_index(rest, "\nAnswer: ", 1)).alias("question"),
+            strip(after(rest, "\nAnswer: ")).alias("answer"),
+        )
+        .filter("knowledge <> '' and question <> '' and answer <> ''")
+    )
 
 
 def parse_json_qa(rows: DataFrame, text: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Positions in a global or per-group order without a single-task window.
 
 A window over a whole table, or over one group that holds a third of it, runs
-in one task. Here the rows are range-partitioned on (group, order), so a large
+in one task. Here such rows are range-partitioned on (group, order), so a large
 group is spread over many tasks, and only a few numbers per partition are
-combined afterwards.
+combined afterwards. Groups that comfortably fit a task use a plain window.
 """
 
 from __future__ import annotations
@@ -15,19 +15,21 @@ from pyspark.sql import functions as F
 
 from lorescope.session import cut_lineage, shuffle_width
 
+GROUP_LIMIT = 2_000_000  # rows of a group one task may order
 _LOCAL_BITS = 33  # layout of monotonically_increasing_id: partition << 33 | row
 
 
-def _spread(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Range-partition and sort; add ``_chunk`` (partition) and ``_local`` (row in it).
+def _spread(df: DataFrame, order: Sequence[str | Column], keep: Sequence[str]) -> DataFrame:
+    """Range-partition and sort; keep the named columns and add ``_chunk`` (partition) and ``_local`` (row in it).
 
-    The result is checkpointed: range bounds come from sampling, and every
-    later reader has to see the same chunks.
+    The result is written out: range bounds come from sampling, and every later
+    reader has to see the same chunks.
     """
     placed = (
         df.repartitionByRange(shuffle_width(df.sparkSession), *order)
         .sortWithinPartitions(*order)
         .withColumn("__row", F.monotonically_increasing_id())
+        .select(*keep, "__row")
     )
     return (
         cut_lineage(placed)
@@ -37,9 +39,14 @@ def _spread(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     )
 
 
-def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
-    """Add the 0-based position of every row in ``order``, which must be unique."""
-    placed = _spread(df, order)
+def dense_index(
+    df: DataFrame, order: Sequence[str | Column], name: str = "idx", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Add the 0-based position of every row in ``order``, which must be unique.
+
+    Only the columns in ``keep`` (all, if not given) are carried along.
+    """
+    placed = _spread(df, order, keep or df.columns)
     sizes = placed.groupBy("__chunk").agg((F.max("__local") + 1).alias("__size"))
     # One row per partition, so the unpartitioned window and the broadcast are bounded.
     before = W.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -52,11 +59,26 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx")
 
 
 def position_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "pos", limit: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of every row within its group; keys must not be NULL."""
-    keys = list(keys)
-    placed = _spread(df, [*keys, *order])
+    """Add the 0-based position of every row within its group; keys must not be NULL.
+
+    Groups of more than ``limit`` rows are found by a count that combines before
+    the shuffle, and are ordered across tasks.
+    """
+    keys, limit = list(keys), GROUP_LIMIT if limit is None else limit
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
+    large = cut_lineage(large)  # at most rows / limit keys
+    within = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1
+    if large.isEmpty():
+        return df.withColumn(name, within)
+    small = df.join(F.broadcast(large), keys, "left_anti").withColumn(name, within)
+    hot = df.join(F.broadcast(large), keys, "left_semi").select(*df.columns)
+    return small.unionByName(_position_across_tasks(hot, keys, order, name))
+
+
+def _position_across_tasks(df: DataFrame, keys: list[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    placed = _spread(df, [*keys, *order], df.columns)
     # In a sorted layout only the first group of a chunk can have rows in earlier chunks.
     heads = placed.filter("__local = 0").select("__chunk", *keys)
     sizes = (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorescope.functions.hashing import hash32
 from lorescope.functions.text import strip
 from lorescope.operators.ordering import dense_index, position_in_group
+from lorescope.session import cut_lineage
 
 PART_SIZE = 1000  # facts one nested row may hold; longer lists go on in further parts
 
@@ -32,7 +33,8 @@ def flatten_probes(items: DataFrame, key: str = "item_id", facts: str = "probe_q
             F.coalesce("_fact.knowledge", F.lit("None")).alias("knowledge"),
         )
     )
-    return dense_index(flat, ["complex_question_id", "_part", "_pos"], "id").drop("_part", "_pos")
+    kept = ["complex_question_id", "question", "answer", "knowledge"]
+    return dense_index(flat, ["complex_question_id", "_part", "_pos"], "id", keep=kept)
 
 
 def nest(
@@ -69,37 +71,40 @@ def pair_locality(probes: DataFrame, attempts: int = 3) -> DataFrame:
     one of five witnesses, chosen so that one of them fits whenever any partner
     exists; NULL means that none does.
     """
-    slim = probes.select("id", F.col("complex_question_id").alias("p"), F.md5("question").alias("q"))
-    total = probes.agg(F.max("id") + 1).first()[0] or 0
+    slim = cut_lineage(probes.select("id", F.col("complex_question_id").alias("p"), F.xxhash64("question").alias("q")))
+    row = F.struct("id", "p", "q")
 
+    def smallest(*conditions: Column) -> list:
+        """Row with the smallest id under each condition, all in one pass."""
+        found = slim.agg(*[F.min(F.when(c, row)).alias(f"w{i}") for i, c in enumerate(conditions)]).first()
+        return list(found)
+
+    total = slim.count()
     tries = slim.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
     offset = hash32(F.concat_ws("|", F.col("id").cast("string"), F.col("k").cast("string"))) % F.lit(max(total - 1, 1))
     tries = tries.withColumn("other", (F.col("id") + 1 + offset) % F.lit(max(total, 1)))
     others = slim.select(F.col("id").alias("other"), F.col("p").alias("op"), F.col("q").alias("oq"))
+    # (attempt, partner) in one number, so that the first that fits is a plain minimum.
+    ranked = F.col("k") * F.lit(total) + F.col("other")
     picked = (
         tries.join(others, "other")
         .filter("p <> op and q <> oq")
         .groupBy("id")
-        .agg(F.min(F.struct("k", "other"))["other"].alias("_picked"))
+        .agg((F.min(ranked) % F.lit(max(total, 1))).alias("_picked"))
     )
 
-    def first(*conditions: Column):
-        keep = slim
-        for condition in conditions:
-            keep = keep.filter(condition)
-        return keep.agg(F.min(F.struct("id", "p", "q")).alias("w")).first()["w"]
-
-    witnesses = []
-    head = first()
-    if head is not None:
-        not_p, not_q = F.col("p") != head["p"], F.col("q") != head["q"]
-        s1, t1 = first(not_p), first(not_q)
-        s2 = first(not_p, F.col("q") != s1["q"]) if s1 else None
-        t2 = first(not_q, F.col("p") != t1["p"]) if t1 else None
-        witnesses = [w for w in (head, s1, s2, t1, t2) if w is not None]
+    # The first row; the first rows off its item or question; and for each of
+    # those a second one that differs from it in the other respect.
+    never = F.lit(False)
+    (head,) = smallest(F.lit(True))
+    off_p = F.col("p") != head["p"] if head else never
+    off_q = F.col("q") != head["q"] if head else never
+    s1, t1 = smallest(off_p, off_q)
+    s2, t2 = smallest(off_p & (F.col("q") != s1["q"]) if s1 else never, off_q & (F.col("p") != t1["p"]) if t1 else never)
     fallback = [
-        F.when((F.col("complex_question_id") != w["p"]) & (F.md5("question") != w["q"]), F.lit(w["id"]))
-        for w in witnesses
+        F.when((F.col("complex_question_id") != w["p"]) & (F.xxhash64("question") != w["q"]), F.lit(w["id"]))
+        for w in (head, s1, s2, t1, t2)
+        if w is not None
     ]
     return (
         probes.join(picked, "id", "left")

@@ -154,8 +154,8 @@ def m10(t):
 
 LINKS_SQL = "WITH flow AS (" + FACT_FLOW_SQL + """),
     shares AS (SELECT task, value,
-      printf('%s' || chr(10) || '%.1f%%', source, round(sum(value) OVER (PARTITION BY task, source) * 100 / sum(value) OVER (PARTITION BY task), 1)) AS "from",
-      printf('%s' || chr(10) || '%.1f%%', target, round(sum(value) OVER (PARTITION BY task, target) * 100 / sum(value) OVER (PARTITION BY task), 1)) AS "to" FROM flow)"""
+      printf('%s' || chr(10) || '%.1f%%', source, round_even(round(sum(value) OVER (PARTITION BY task, source) * 100 / sum(value) OVER (PARTITION BY task), 6), 1)) AS "from",
+      printf('%s' || chr(10) || '%.1f%%', target, round_even(round(sum(value) OVER (PARTITION BY task, target) * 100 / sum(value) OVER (PARTITION BY task), 6), 1)) AS "to" FROM flow)"""
 
 
 @query("m11_links", LINKS_SQL + """

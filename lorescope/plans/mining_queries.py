@@ -130,7 +130,7 @@ _REPLY = """
     SELECT q AS question, a AS answer, count(*) AS n, {sql_checksum('k')} AS knowledge FROM blocks GROUP BY q, a""")
 def b22(t):
     replies = t.spark.sql(_REPLY, lineitem=t.lineitem, part=t.part)
-    blocks = replies.select(F.explode(Q.parse_kqa(F.col("reply"))).alias("b")).select("b.*")
+    blocks = Q.parse_kqa(replies.select("item_id", "reply"), "reply")
     return blocks.groupBy("question", "answer").agg(
         F.count(F.lit(1)).alias("n"), checksum(F.col("knowledge")).alias("knowledge")
     )

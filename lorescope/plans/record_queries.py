@@ -88,8 +88,8 @@ def a6(t):
 
 
 _SHOWN = ("hp", "ap", "fke")
-_CELL = r"""CASE WHEN best THEN printf('\textbf{%.1f} \textsubscript{$\pm$ %.1f}', round(midpoint, 1), round(margin, 1))
-      ELSE printf('%.1f \textsubscript{$\pm$ %.1f}', round(midpoint, 1), round(margin, 1)) END"""
+_CELL = r"""CASE WHEN best THEN printf('\textbf{%.1f} \textsubscript{$\pm$ %.1f}', round_even(round(midpoint, 6), 1), round_even(round(margin, 6), 1))
+      ELSE printf('%.1f \textsubscript{$\pm$ %.1f}', round_even(round(midpoint, 6), 1), round_even(round(margin, 6), 1)) END"""
 
 
 @query("a7_report_rows", BOOTSTRAP_SQL + f""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorescope.operators import reshape as R
 from lorescope.operators.ordering import dense_index
 from lorescope.plans.registry import Inputs, query
+from lorescope.plans.views import LINE_ORDER
 
 SCOPES = (1, 10, 100, 500)
 
@@ -23,8 +24,10 @@ def raw_items(t: Inputs) -> DataFrame:
 
 def flat_probes(t: Inputs) -> DataFrame:
     """Every fact as a probe whose question is the fact text, with a dense id."""
-    probes = t.facts.select("item_id", "pos", F.col("knowledge").alias("question"), F.col("probe_answer").alias("answer"))
-    return dense_index(probes, ["item_id", "pos"], "id").withColumnRenamed("item_id", "complex_question_id").drop("pos")
+    numbered = dense_index(t.lines, ["item_id", *LINE_ORDER], "id", keep=["item_id", "knowledge", "probe_answer"])
+    return numbered.select(
+        "id", F.col("item_id").alias("complex_question_id"), F.col("knowledge").alias("question"), F.col("probe_answer").alias("answer")
+    )
 
 
 def indexed_items(t: Inputs) -> DataFrame:

@@ -125,11 +125,11 @@ def s12(t):
 @query("s13_qnorm", _READOUT + """,
     steps AS (SELECT dim, part, quantile AS q, lead(quantile) OVER (PARTITION BY dim ORDER BY part) AS q_next FROM readout),
     found AS (SELECT v.vec_id, v.dim, v.x, max(part) AS part FROM vals v JOIN steps s ON v.dim = s.dim AND s.q <= v.x GROUP BY v.vec_id, v.dim, v.x)
-    SELECT f.vec_id, f.dim, round(CASE WHEN f.part = 1000 THEN 1 ELSE f.part / 1000 + (f.x - q) / (q_next - q) / 1000 END, 6) AS level
+    SELECT f.vec_id, f.dim, round(CASE WHEN f.part = 1000 THEN 1 ELSE f.part / 1000 + (f.x - q) / (q_next - q) / 1000 END, 9) AS level
     FROM found f JOIN steps s ON f.dim = s.dim AND f.part = s.part""")
 def s13(t):
     normed = S.quantile_normalize(t.embeddings, "embedding", "vec_id", S.readout(t.embeddings, "embedding", "vec_id"))
-    return rounded(S.long_vectors(normed, "embedding", ["vec_id"]).withColumnRenamed("x", "level"), "level")
+    return rounded(S.long_vectors(normed, "embedding", ["vec_id"]).withColumnRenamed("x", "level"), "level", digits=9)
 
 
 @query("s14_integrate", "WITH " + _LONG + """

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorescope.functions.text import one_decimal
 from lorescope.operators.metrics import best_in_column
 
 
 def table_cell(midpoint: Column, margin: Column, best: Column) -> Column:
     """``mid ± margin`` in LaTeX, bold when best, a blank when the run is missing."""
-    middle = F.format_string("%.1f", F.round(midpoint, 1))
+    middle = one_decimal(midpoint)
     shown = F.when(best, F.concat(F.lit("\\textbf{"), middle, F.lit("}"))).otherwise(middle)
-    around = F.format_string(" \\textsubscript{$\\pm$ %.1f}", F.round(margin, 1))
+    around = F.concat(F.lit(" \\textsubscript{$\\pm$ "), one_decimal(margin), F.lit("}"))
     return F.coalesce(F.concat(shown, around), F.lit(" "))
 
 
