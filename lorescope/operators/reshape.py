@@ -263,7 +263,7 @@ def length_batches(rows: DataFrame, length: str, budget: int, order: Sequence[st
 
     kind = rows.schema[length].dataType.simpleString()
     lengths = rows.groupBy(length).agg(F.count(F.lit(1)).alias("n"))
-    plan = lengths.coalesce(1).mapInPandas(walk, f"{length} {kind}, _open bigint, _joined bigint, _capacity bigint")
+    plan = lengths.repartition(1).mapInPandas(walk, f"{length} {kind}, _open bigint, _joined bigint, _capacity bigint")
     ranked = position_in_group(rows, [length], order, "_rank")
     beyond = F.col("_rank") - F.col("_joined")
     batch = F.when(beyond < 0, F.col("_open")).otherwise(F.col("_open") + 1 + F.floor(beyond / F.col("_capacity")))

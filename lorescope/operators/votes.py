@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from lorescope.functions.text import verdict, verdict_explanation
 
 
-def answer_freq(votes: DataFrame, key: str = "probe_id") -> DataFrame:
-    """Votes per distinct answer of each probe."""
-    return votes.groupBy(key, "answer").agg(F.count(F.lit(1)).alias("freq"))
+def answer_freq(votes: DataFrame, key: str = "probe_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Votes per distinct answer of each probe; ``keep`` are columns the answer determines."""
+    return votes.groupBy(key, "answer").agg(F.count(F.lit(1)).alias("freq"), *[F.min(c).alias(c) for c in keep])
 
 
 def distinct_requests(votes: DataFrame, key: str = "probe_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -45,34 +45,45 @@ def merge_equivalent(freq: DataFrame, verdicts: DataFrame, key: str = "probe_id"
     )
 
 
-def majority(merged: DataFrame, truth: DataFrame, key: str = "probe_id") -> DataFrame:
+def majority(judged: DataFrame, truth: DataFrame, key: str = "probe_id") -> DataFrame:
     """Knowledge confidence and majority answer per probe.
 
-    The truth wins any tie, other ties go to the smallest text. ``truth`` has
-    one row per probe with ``gt_answer``; a probe without votes gets NULL, false, 0.
-    One minimum over (-freq, not truth, text) picks the winner, so both
-    aggregates combine before the shuffle.
+    ``judged`` has one row per distinct answer with ``freq`` and ``equivalent``.
+    The answers equal to the truth count together and win any tie; other ties go
+    to the smallest text. ``truth`` has one row per probe with ``gt_answer``; a
+    probe without votes gets NULL, false, 0.
     """
-    winner = F.min(F.struct((-F.col("freq")).alias("neg"), (~F.col("is_truth")).alias("other"), F.col("merged_answer").alias("text")))
-    tally = merged.groupBy(key).agg(
+    is_truth = F.coalesce("equivalent", F.lit(False))
+    tally = judged.groupBy(key).agg(
         F.sum("freq").alias("n_votes"),
-        F.sum(F.when(F.col("is_truth"), F.col("freq")).otherwise(0)).alias("n_truth"),
-        winner.alias("_win"),
+        F.sum(F.when(is_truth, F.col("freq")).otherwise(0)).alias("n_truth"),
+        # Most frequent other answer, ties by text, as one minimum.
+        F.min(F.when(~is_truth, F.struct((-F.col("freq")).alias("less"), F.col("answer").alias("text")))).alias("_other"),
     )
+    votes, hits = F.coalesce("n_votes", F.lit(0)), F.coalesce("n_truth", F.lit(0))
+    other = F.coalesce(-F.col("_other.less"), F.lit(0))
+    known = (hits > 0) & (hits >= other)
     return truth.join(tally, key, "left").select(
         key,
-        F.coalesce("n_votes", F.lit(0)).alias("n_votes"),
-        F.coalesce("n_truth", F.lit(0)).alias("n_truth"),
-        F.coalesce(F.col("n_truth") / F.col("n_votes"), F.lit(0.0)).alias("knowledge_confidence"),
-        F.coalesce(~F.col("_win.other"), F.lit(False)).alias("knowledgable"),
-        F.when(F.col("_win.other"), F.col("_win.text")).when(~F.col("_win.other"), F.col("gt_answer")).alias("majority_answer"),
-        F.coalesce(~F.col("_win.other"), F.lit(False)).alias("majority_correct"),
-        F.coalesce(-F.col("_win.neg") / F.col("n_votes"), F.lit(0.0)).alias("majority_confidence"),
+        votes.alias("n_votes"),
+        hits.alias("n_truth"),
+        F.coalesce(F.try_divide(hits, votes), F.lit(0.0)).alias("knowledge_confidence"),
+        known.alias("knowledgable"),
+        F.when(known, F.col("gt_answer")).otherwise(F.col("_other.text")).alias("majority_answer"),
+        known.alias("majority_correct"),
+        F.coalesce(F.try_divide(F.greatest(hits, other), votes), F.lit(0.0)).alias("majority_confidence"),
     )
 
 
 def evaluate_probes(votes: DataFrame, verdicts: DataFrame, truth: DataFrame, key: str = "probe_id") -> DataFrame:
-    return majority(merge_equivalent(answer_freq(votes, key), verdicts, key), truth, key)
+    """Votes judged by a separate verdict table."""
+    judged = answer_freq(votes, key).join(verdicts.select(key, "answer", "equivalent"), [key, "answer"], "left")
+    return majority(judged, truth, key)
+
+
+def evaluate_judged(votes: DataFrame, truth: DataFrame, key: str = "probe_id", text: str = "verdict_text") -> DataFrame:
+    """Votes that carry the judge's reply: counting and reading verdicts is one aggregate."""
+    return majority(read_verdicts(answer_freq(votes, key, [text]), text), truth, key)
 
 
 def injection_effect(before: DataFrame, after: DataFrame, key: str = "probe_id") -> DataFrame:

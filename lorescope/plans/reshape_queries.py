@@ -41,10 +41,10 @@ def c1(t):
     return R.flatten_probes(raw_items(t))
 
 
-@query("c2_nest", """
-    SELECT i.item_id AS id, question, gt_answer AS answer, coalesce(n_facts, 0) AS n_facts, coalesce(body, '') AS body
-    FROM {items} i LEFT JOIN (SELECT item_id, count(*) AS n_facts, string_agg(concat(knowledge, ':', CASE WHEN knowledgable THEN 'known' ELSE 'unknown' END, ':',
-      round(knowledge_confidence * 100)::INT), '|' ORDER BY pos) AS body FROM {facts} GROUP BY item_id) f ON i.item_id = f.item_id
+@query("c2_nest", f"""
+    SELECT i.item_id AS id, coalesce(part, 0) AS part, question, gt_answer AS answer, coalesce(n_facts, 0) AS n_facts, coalesce(body, '') AS body
+    FROM {{items}} i LEFT JOIN (SELECT item_id, pos // {R.PART_SIZE} AS part, count(*) AS n_facts, string_agg(concat(knowledge, ':', CASE WHEN knowledgable THEN 'known' ELSE 'unknown' END, ':',
+      round(knowledge_confidence * 100)::INT), '|' ORDER BY pos) AS body FROM {{facts}} GROUP BY ALL) f ON i.item_id = f.item_id
     WHERE question IS NOT NULL""")
 def c2(t):
     items = t.items.select("item_id", "question", F.col("gt_answer").alias("answer"))
@@ -57,7 +57,7 @@ def c2(t):
         ),
     )
     return nested.select(
-        F.col("item_id").alias("id"), "question", "answer",
+        F.col("item_id").alias("id"), "part", "question", "answer",
         F.size("required_knowledge").cast("bigint").alias("n_facts"), F.array_join(line, "|").alias("body"),
     )
 

@@ -93,7 +93,7 @@ def t4(t):
     FROM {scored} GROUP BY task, method""")
 def t5(t):
     items = t.items.select("item_id", "task", "method", "final_answer_correct")
-    judged = nest(items, t.facts, ["knowledge", "knowledgable", "nli_class"], "required_knowledge").drop("part")
+    judged = nest(items, t.facts, ["knowledge", "knowledgable", "nli_class"], "required_knowledge")
     stream, _ = arriving(t, judged, "judged")
     rates = T.stream_rates(stream, ["task", "method"], scratch_path(t.spark, "stream-rates"))
     return rounded(rates, "hp", "ap", "fke")

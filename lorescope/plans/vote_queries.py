@@ -19,8 +19,7 @@ def verdicts(votes: DataFrame) -> DataFrame:
 
 
 def evaluated(t: Inputs) -> DataFrame:
-    votes = t.votes
-    return V.evaluate_probes(votes, verdicts(votes), truth(t))
+    return V.evaluate_judged(t.votes, truth(t))
 
 
 @query("e1_freq", "SELECT probe_id, answer, count(*) AS freq FROM {votes} GROUP BY probe_id, answer")
@@ -71,7 +70,8 @@ def e4(t):
 @query("e5_majority", "WITH " + _EVALUATED + """
     SELECT probe_id, knowledgable, majority_answer, majority_correct, round(majority_confidence, 9) AS majority_confidence FROM evaluated""")
 def e5(t):
-    return evaluated(t).select(
+    votes = t.votes
+    return V.evaluate_probes(votes, verdicts(votes), truth(t)).select(
         "probe_id", "knowledgable", "majority_answer", "majority_correct",
         F.round("majority_confidence", 9).alias("majority_confidence"),
     )
@@ -95,9 +95,7 @@ def e7(t):
     changed = F.when(F.col("gt_answer") == "F", F.col("gt_answer")).otherwise(F.col("answer"))
     said = F.when(changed == F.col("gt_answer"), "Yes.").otherwise("No.")
     after = votes.select("probe_id", said.alias("verdict_text"), changed.alias("answer"))
-    effect = V.injection_effect(
-        V.evaluate_probes(votes, verdicts(votes), truth(t)), V.evaluate_probes(after, verdicts(after), truth(t))
-    )
+    effect = V.injection_effect(V.evaluate_judged(votes, truth(t)), V.evaluate_judged(after, truth(t)))
     return effect.join(truth(t), "probe_id").groupBy("gt_answer").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("known_before").alias("known_before"),

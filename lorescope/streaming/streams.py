@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from lorescope.functions.text import verdict
@@ -73,8 +73,6 @@ def stream_moments(vectors: DataFrame, vector: str, path: str) -> DataFrame:
 
 def stream_topk(vectors: DataFrame, vector: str, key: str, k: int, path: str) -> DataFrame:
     """Top-k per dimension of a stream: the best of each batch's best."""
-    from pyspark.sql import Window as W
-
     drain(vectors, "append", path, lambda batch: S.topk(batch, vector, key, k).drop("place"))
     rank = F.row_number().over(W.partitionBy("dim").orderBy(F.col("x").desc(), key))
     return batches(vectors.sparkSession, path).drop("batch").withColumn("place", rank).filter(F.col("place") <= k)
@@ -87,15 +85,12 @@ def stream_votes(votes: DataFrame, path: str, key: str = "probe_id") -> DataFram
     changed; the majority is a plain aggregate over the newest counts.
     """
     counts = votes.groupBy(key, "gt_answer", "answer").agg(
-        F.count(F.lit(1)).alias("freq"), F.bool_or(verdict(F.col("verdict_text"))).alias("is_truth")
+        F.count(F.lit(1)).alias("freq"), F.bool_or(verdict(F.col("verdict_text"))).alias("equivalent")
     )
     drain(counts, "update", path)
     newest = latest_per_key(votes.sparkSession, path, [key, "gt_answer", "answer"])
-    merged = newest.groupBy(key, "is_truth", F.when(~F.col("is_truth"), F.col("answer")).alias("merged_answer")).agg(
-        F.sum("freq").alias("freq")
-    )
     truth = newest.groupBy(key).agg(F.min("gt_answer").alias("gt_answer"))
-    return V.majority(merged, truth, key)
+    return V.majority(newest.drop("gt_answer"), truth, key)
 
 
 def append_once(rows: DataFrame, keys: Sequence[str], path: str, late: str | None = None, event_time: str | None = None) -> DataFrame:
@@ -119,10 +114,24 @@ def append_once(rows: DataFrame, keys: Sequence[str], path: str, late: str | Non
     return rows.sparkSession.read.parquet(f"{path}/data")
 
 
-def stream_rates(judged: DataFrame, by: Sequence[str], path: str) -> DataFrame:
-    """AP, FKE and HP rates per run key of judged items as they arrive."""
+def stream_rates(judged: DataFrame, by: Sequence[str], path: str, key: str = "item_id") -> DataFrame:
+    """AP, FKE and HP rates per run key of judged items as they arrive.
+
+    Each batch leaves its counts, which add up on read. Items split into parts
+    may arrive over several batches, so for those a batch leaves one narrow row
+    per item and the parts are combined on read.
+    """
     scored = judged.withColumn("ap", M.answer_pass(F.col("final_answer_correct"))).withColumn(
         "fke", M.facts_entailed(F.col("required_knowledge"))
     )
-    drain(M.cell_counts(scored, by), "complete", path)
-    return M.rates(latest_complete(judged.sparkSession, path))
+    spark, split = judged.sparkSession, "part" in judged.columns
+
+    def per_item(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key, *by).agg(F.bool_or("ap").alias("ap"), F.bool_and("fke").alias("fke"))
+
+    drain(scored, "append", path, per_item if split else lambda batch: M.cell_counts(batch, by))
+    stored = batches(spark, path).drop("batch")
+    if split:
+        return M.rates(M.cell_counts(per_item(stored), by))
+    counts = [c for c in stored.columns if c not in by]
+    return M.rates(stored.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts]))
