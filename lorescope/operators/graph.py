@@ -173,9 +173,9 @@ def compose_question(props: Column, head: Column, templates: Mapping[str, tuple[
     """Nest attributive phrases from the head on, and ask with the last property's question."""
     attributive, asking = _wording(templates, 2), _wording(templates, 0)
     subject = F.aggregate(
-        F.slice(props, F.lit(1), F.size(props) - 1), head, lambda acc, p: F.replace(attributive[p], F.lit("[S]"), acc)
+        F.slice(props, F.lit(1), F.greatest(F.size(props) - 1, F.lit(0))), head, lambda acc, p: F.replace(attributive[p], F.lit("[S]"), acc)
     )
-    return dated(F.replace(asking[F.element_at(props, -1)], F.lit("[S]"), subject), day)
+    return dated(F.replace(asking[F.get(props, F.size(props) - 1)], F.lit("[S]"), subject), day)
 
 
 def possessive_question(props: Column, head: Column, prop_names: Mapping[str, str]) -> Column:

@@ -62,8 +62,8 @@ def generalize_args(args: Column, params: Column) -> Column:
     A trailing ``*args`` takes the rest as args_0, args_1, ...; arguments beyond
     the signature become <pos_arg_i>; placeholder parameters keep the argument.
     """
-    last = F.element_at(params, -1)
     count = F.size(params)
+    last = F.get(params, count - 1)
     starred = F.coalesce(F.startswith(last, F.lit("*")) & ~F.startswith(last, F.lit("**")), F.lit(False))
 
     def name(arg: Column, i: Column) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from lorescope.functions import names
 from lorescope.functions.hashing import hash32
 from lorescope.functions.text import strip
 from lorescope.operators.ordering import dense_index, position_in_group
@@ -224,8 +225,16 @@ def model_dim(
     )
 
 
-def display_task(task: Column) -> Column:
-    return F.when(task == "grow", "WIKI").otherwise(F.upper(task))
+def display_names(runs: DataFrame) -> DataFrame:
+    """Add the names reports use for task and method; unknown ones keep their own."""
+
+    def named(column: str, table: Mapping[str, str], otherwise: Column) -> Column:
+        return F.coalesce(*[F.when(F.col(column) == k, F.lit(v)) for k, v in table.items()], otherwise)
+
+    method = F.when((F.col("model") == names.THINKING_ONLY) & (F.col("method") == "base"), names.METHODS["append_t"]).otherwise(
+        named("method", names.METHODS, F.col("method"))
+    )
+    return runs.withColumns({"task_name": named("task", names.TASKS, F.upper("task")), "method_name": method})
 
 
 def usage_totals(usage: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -262,7 +271,7 @@ def length_batches(rows: DataFrame, length: str, budget: int, order: Sequence[st
         yield pd.DataFrame(out, columns=[length, "_open", "_joined", "_capacity"])
 
     kind = rows.schema[length].dataType.simpleString()
-    lengths = rows.groupBy(length).agg(F.count(F.lit(1)).alias("n"))
+    lengths = rows.groupBy(length).agg(F.count(F.lit(1)).alias("_rows"))
     plan = lengths.repartition(1).mapInPandas(walk, f"{length} {kind}, _open bigint, _joined bigint, _capacity bigint")
     ranked = position_in_group(rows, [length], order, "_rank")
     beyond = F.col("_rank") - F.col("_joined")

@@ -39,6 +39,16 @@ def a2(t):
     )
 
 
+@query("a2b_run_names", """
+    SELECT lower(task) AS task, method, 500 AS data_size, lower(replace(model, ' ', '')) AS model, scope, count(*) AS n FROM {items} GROUP BY ALL""")
+def a2b(t):
+    name = F.format_string(
+        "data/%s/injection_evaluated/%s_500_%s_%d.pkl", F.lower("task"), "method", F.lower(F.replace("model", F.lit(" "), F.lit(""))), "scope"
+    )
+    named = t.items.select(name.alias("path"))
+    return A.run_key(named, "path").groupBy("task", "method", "data_size", "model", "scope").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a3_annotations", """
     SELECT model, domain, task, (row_number() OVER (PARTITION BY model, domain, task ORDER BY idx) - 1)::INT AS idx, label FROM (
       SELECT 'rater_1' AS model, domain, task, idx, label_1 AS label FROM {raters}

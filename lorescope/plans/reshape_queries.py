@@ -197,6 +197,18 @@ def c12(t):
     return R.model_dim(models, aliases, {"7b": 30.0, "11b": 30.0}, default=12.0)
 
 
+@query("c13_display", """
+    SELECT CASE task WHEN 'grow' THEN 'WIKI' ELSE upper(task) END AS task_name, model,
+      CASE WHEN model = 'o4-mini' AND method = 'base' THEN 'Append-T' ELSE CASE method WHEN 'original' THEN 'Base Model' WHEN 'base' THEN 'Append' ELSE 'MeLLo' END END AS method_name,
+      count(*) AS n FROM (SELECT CASE task WHEN 'MACHINERY' THEN 'grow' ELSE lower(task) END AS task, CASE model WHEN '5-LOW' THEN 'o4-mini' ELSE model END AS model, method FROM {items}) x
+    GROUP BY ALL""")
+def c13(t):
+    task = F.when(F.col("task") == "MACHINERY", "grow").otherwise(F.lower("task"))
+    model = F.when(F.col("model") == "5-LOW", "o4-mini").otherwise(F.col("model"))
+    runs = t.items.select(task.alias("task"), model.alias("model"), "method")
+    return R.display_names(runs).groupBy("task_name", "model", "method_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("c14_usage", """
     SELECT flag, p_type, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens,
       sum(prompt_tokens + completion_tokens)::BIGINT AS total_tokens FROM {responses} GROUP BY ROLLUP (flag, p_type)""")

@@ -43,6 +43,22 @@ def read_runs(spark: SparkSession, path: str, where: Mapping[str, Sequence] | No
     return runs
 
 
+_RUN_FILE = r"([^/]+)/[^/]+/([^/]+)_(\d+)_([^/_]+)_(\d+)\.\w+$"
+
+
+def run_key(rows: DataFrame, path: str) -> DataFrame:
+    """Task, method, data size, model and scope from ``task/stage/method_size_model_scope.ext``; NULL for other names."""
+
+    def part(group: int, kind: str) -> Column:
+        found = F.regexp_extract(path, _RUN_FILE, group)
+        return F.when(found != "", found).cast(kind)
+
+    return rows.withColumns({
+        "task": part(1, "string"), "method": part(2, "string"), "data_size": part(3, "int"),
+        "model": part(4, "string"), "scope": part(5, "int"),
+    })
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """{model: {domain: {task: [label]}}} documents, one per line, as long rows.
 
