@@ -25,9 +25,11 @@ def positive_rate(labels: DataFrame, by: Sequence[str] = ("model", "domain", "ta
 
 def pair_raters(labels: DataFrame, first: str, second: str, keys: Sequence[str] = ("domain", "task", "idx")) -> DataFrame:
     """Labels two raters gave to the same thing, as label_1 and label_2."""
-    one = labels.filter(F.col("model") == first).select(*keys, clean_label(F.col("label")).alias("label_1"))
-    two = labels.filter(F.col("model") == second).select(*keys, clean_label(F.col("label")).alias("label_2"))
-    return one.join(two, list(keys))
+    def of(model: str) -> Column:
+        return F.max(F.when(F.col("model") == model, clean_label(F.col("label"))))
+
+    both = labels.filter(F.col("model").isin(first, second)).groupBy(*keys).agg(of(first).alias("label_1"), of(second).alias("label_2"))
+    return both.dropna("any", subset=["label_1", "label_2"])
 
 
 def joint_counts(pairs: DataFrame, by: Sequence[str], rollup: bool = False) -> DataFrame:

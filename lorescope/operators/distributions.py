@@ -23,15 +23,15 @@ def confidence_bin(hits: Column, total: Column) -> Column:
 def confidence_histogram(evaluated: DataFrame, by: Sequence[str]) -> DataFrame:
     """Known and unknown counts per bin, as shares of all rows of the group; empty bins kept."""
     binned = evaluated.select(*by, "knowledgable", confidence_bin(F.col("n_truth"), F.col("n_votes")).alias("bin"))
-    cells = binned.groupBy(*by, "bin").agg(
-        F.count_if("knowledgable").alias("known"), F.count_if(~F.col("knowledgable")).alias("unknown")
+    known = F.col("knowledgable")
+    counts = binned.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_total"),
+        *[F.count_if((F.col("bin") == i) & known).alias(f"_k{i}") for i in range(BINS)],
+        *[F.count_if((F.col("bin") == i) & ~known).alias(f"_u{i}") for i in range(BINS)],
     )
-    # From here on there are at most 11 rows per group.
-    totals = cells.groupBy(*by).agg(F.sum(F.col("known") + F.col("unknown")).alias("_total"))
-    grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
-    filled = grid.join(cells, [*by, "bin"], "left").fillna(0, ["known", "unknown"])
-    return filled.select(
-        *by, "bin", "known", "unknown",
-        (F.col("known") / F.col("_total")).alias("known_ratio"),
-        (F.col("unknown") / F.col("_total")).alias("unknown_ratio"),
+    bars = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("bin"), F.col(f"_k{i}").alias("known"), F.col(f"_u{i}").alias("unknown")) for i in range(BINS)
+    ]))
+    return counts.select(*by, "_total", bars.alias("_b")).select(
+        *by, "_b.*", (F.col("_b.known") / F.col("_total")).alias("known_ratio"), (F.col("_b.unknown") / F.col("_total")).alias("unknown_ratio")
     )

@@ -61,7 +61,7 @@ def descendants(subclass_of: DataFrame, targets: Sequence[str]) -> DataFrame:
         frontier = cut_lineage(below.join(reached, ["class", "target"], "left_anti"))
         if frontier.isEmpty():
             return reached
-        reached = cut_lineage(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)  # each level is a written table
 
 
 def instances(instance_of: DataFrame, classes: DataFrame) -> DataFrame:
@@ -75,11 +75,11 @@ def domain_range_ok(
     """Keep claims whose subject and object have the class their property asks for."""
 
     def checked(frame: DataFrame, column: str, rules: Mapping[str, str]) -> DataFrame:
-        wanted = F.coalesce(*[F.when(F.col("prop") == p, F.lit(c)) for p, c in rules.items()], F.lit(None).cast("string"))
-        free = ~F.col("prop").isin(list(rules))
-        has = typed.select(F.col("subj").alias(column), F.col("target").alias("_wanted"))
-        bound = frame.filter(~free).withColumn("_wanted", wanted).join(has, [column, "_wanted"], "left_semi")
-        return frame.filter(free).unionByName(bound.drop("_wanted"))
+        wanted = F.coalesce(*[F.when(F.col("prop") == p, F.lit(c)) for p, c in rules.items()])
+        has = typed.select(F.col("subj").alias(column), F.col("target").alias("_wanted"), F.lit(True).alias("_has"))
+        # A claim without a rule wants nothing, and a NULL key meets no one.
+        joined = frame.withColumn("_wanted", wanted).join(has, [column, "_wanted"], "left")
+        return joined.filter("_wanted is null or _has").select(*frame.columns)
 
     for column, rules in (("subj", subject_rules), ("obj", object_rules)):
         if rules:

@@ -95,17 +95,18 @@ def bootstrap_hashed(cells: DataFrame, by: Sequence[str], replicates: int) -> Da
     hit_hp = F.col("u") < F.col("both")
     hit_ap = F.col("u") < ap_end
     hit_fke = hit_hp | ((F.col("u") >= ap_end) & (F.col("u") < ap_end + F.col("fke_only")))
-    per_rep = drawn.groupBy(*by, "rep").agg(
+    fixed = [*by, "n", "both", "ap_only", "fke_only"]  # of a run; carried along to save a join
+    per_rep = drawn.groupBy(*fixed, "rep").agg(
         *[(F.count_if(hit) * 100 / F.max("n")).alias(m) for m, hit in zip(METRICS, (hit_hp, hit_ap, hit_fke))]
     )
+    seen = {"hp": F.col("both"), "ap": ap_end, "fke": F.col("both") + F.col("fke_only")}
     bounds = (
-        per_rep.unpivot([*by, "rep"], list(METRICS), "metric", "rate")
-        .groupBy(*by, "metric")
+        per_rep.unpivot([*fixed, "rep"], list(METRICS), "metric", "rate")
+        .groupBy(*fixed, "metric")
         .agg(F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
-        .select(*by, "metric", F.col("_p")[0].alias("lower"), F.col("_p")[1].alias("upper"))
     )
-    observed = long_rates(cells, by).withColumnRenamed("rate", "observed")
-    return _summary(observed.join(bounds, [*by, "metric"]))
+    observed = F.coalesce(*[F.when(F.col("metric") == m, hits * 100 / F.col("n")) for m, hits in seen.items()])
+    return _summary(bounds.select(*by, "metric", observed.alias("observed"), F.col("_p")[0].alias("lower"), F.col("_p")[1].alias("upper")))
 
 
 def bootstrap_ci(cells: DataFrame, by: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
@@ -165,13 +166,18 @@ def best_in_column(long: DataFrame, value: str, column: Sequence[str], tolerance
     return long.withColumn("best", (F.abs(mark - top) < tolerance) & F.col(value).isNotNull())
 
 
-def answer_transition(scored: DataFrame, target: str) -> DataFrame:
-    """2x2 counts per task of FKE against ``target`` (ap or hp), zeros included."""
-    cells = cell_counts(scored.withColumn("ap", F.col(target)), ["task"])
+def answer_transition(cells: DataFrame, by: Sequence[str] = ("task",)) -> DataFrame:
+    """2x2 counts of FKE against the answer, zeros included, for both readings of the answer.
+
+    Kind ap takes the answer pass, kind hp the holistic pass; an item whose
+    facts are not all entailed never passes holistically.
+    """
     return cells.selectExpr(
-        "task",
-        "stack(4, 'entailed', 'correct', both, 'entailed', 'wrong', fke_only,"
-        " 'failed', 'correct', ap_only, 'failed', 'wrong', neither) as (source, target, value)",
+        *by,
+        "stack(8, 'ap', 'entailed', 'correct', both, 'ap', 'entailed', 'wrong', fke_only,"
+        " 'ap', 'failed', 'correct', ap_only, 'ap', 'failed', 'wrong', neither,"
+        " 'hp', 'entailed', 'correct', both, 'hp', 'entailed', 'wrong', fke_only,"
+        " 'hp', 'failed', 'correct', 0L, 'hp', 'failed', 'wrong', ap_only + neither) as (kind, source, target, value)",
     )
 
 
@@ -275,9 +281,9 @@ def exemplars(items: DataFrame, facts: DataFrame, key: str, order: Sequence[str]
 def compare_runs(cells: DataFrame, baseline: str = "original") -> DataFrame:
     """Metric of each method next to the same task and model without injection."""
     long = long_rates(cells, ("task", "model", "method"))
-    base = long.filter(F.col("method") == baseline).select("task", "model", "metric", F.col("rate").alias("base_rate"))
+    base = F.max(F.when(F.col("method") == baseline, F.col("rate"))).over(W.partitionBy("task", "model", "metric"))
     return (
-        long.filter(F.col("method") != baseline)
-        .join(base, ["task", "model", "metric"], "left")
+        long.withColumn("base_rate", base)
+        .filter(F.col("method") != baseline)
         .withColumn("delta", F.col("rate") - F.col("base_rate"))
     )

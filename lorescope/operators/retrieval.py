@@ -39,20 +39,29 @@ def retrieve(
     packed by hash until a task call has about two blocks of rows, so many tiny
     groups share a call. ``queries`` has query_id, ``facts`` has fact_id.
     """
-    by = list(by) or ["_all"]
-    if by == ["_all"]:
-        queries, facts = queries.withColumn("_all", F.lit(0)), facts.withColumn("_all", F.lit(0))
-    shape = _blocks(queries, by, block, "_rq", "_nq").join(_blocks(facts, by, block, "_rf", "_nf"), by)
-    shape = cut_lineage(shape)  # one row per group
-    handled = shape.agg(F.sum(F.col("_rq") * F.col("_nf") + F.col("_rf") * F.col("_nq"))).first()[0] or 0
+    by = list(by)
+    if by:
+        shape = cut_lineage(_blocks(queries, by, block, "_rq", "_nq").join(_blocks(facts, by, block, "_rf", "_nf"), by))
+        handled = shape.agg(F.sum(F.col("_rq") * F.col("_nf") + F.col("_rf") * F.col("_nq"))).first()[0] or 0
+
+        def sized(side: DataFrame) -> DataFrame:
+            return side.join(shape, by)
+    else:
+        n_queries, n_facts = queries.count(), facts.count()
+        blocks = {"_nq": -(-n_queries // block), "_nf": -(-n_facts // block)}
+        handled = n_queries * blocks["_nf"] + n_facts * blocks["_nq"]
+
+        def sized(side: DataFrame) -> DataFrame:
+            return side.withColumns({name: F.lit(n).cast("bigint") for name, n in blocks.items()})
+
     packs = max(1, -(-int(handled) // (2 * block)))
     keys = [*[f"_g{i}" for i in range(len(by))], "_q", "_f"]
 
     def placed(side: DataFrame, key: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
-        blocks = F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)
-        return side.select(*by, key, vector).join(shape, by).select(
+        met = F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)
+        return sized(side.select(*by, key, vector)).filter(F.col(other_n) > 0).select(
             *[F.col(c).alias(g) for c, g in zip(by, keys)], F.col(key).alias(key), F.col(vector).alias("vector"),
-            F.pmod(F.xxhash64(key), F.col(own_n)).alias(own), F.explode(blocks).alias(other),
+            F.pmod(F.xxhash64(key), F.col(own_n)).alias(own), F.explode(met).alias(other),
         ).withColumn("_pack", F.pmod(F.xxhash64(*keys), F.lit(packs)))
 
     left = placed(queries, "query_id", "_q", "_f", "_nq", "_nf")

@@ -128,9 +128,7 @@ TRANSITION_SQL = """
 
 @query("m9_transition", TRANSITION_SQL)
 def m9(t):
-    base = scored(t)
-    parts = [M.answer_transition(base, kind).withColumn("kind", F.lit(kind)) for kind in ("ap", "hp")]
-    return parts[0].unionByName(parts[1])
+    return M.answer_transition(M.cell_counts(scored(t), ["task"]))
 
 
 FACT_FLOW_SQL = """
