@@ -97,8 +97,9 @@ def sample_starts(entities: DataFrame, n: int, key: str = "id") -> DataFrame:
     return entities.orderBy(hash32(F.col(key)), key).limit(n)
 
 
-def exclude_known_bad(triples: DataFrame, bad: DataFrame) -> DataFrame:
-    return triples.join(bad, ["subj", "prop", "obj"], "left_anti")
+def exclude_known_bad(rows: DataFrame, bad: DataFrame, keys: Sequence[str] = ("subj", "prop", "obj")) -> DataFrame:
+    """Drop rows on an exclusion list: claims found wrong, or items by their id."""
+    return rows.join(bad, list(keys), "left_anti")
 
 
 def walk_chains(starts: DataFrame, edges: DataFrame, depth: int, cut_every: int = 3) -> DataFrame:

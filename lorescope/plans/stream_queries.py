@@ -21,7 +21,7 @@ from lorescope.session import scratch_path
 from lorescope.sources.tables import table_stream
 from lorescope.streaming import streams as T
 
-FILES = 4  # arriving files, one per batch
+FILES = 2  # arriving files, one per batch
 
 
 def arriving(t: Inputs, rows: DataFrame, label: str) -> tuple[DataFrame, str]:
