@@ -12,7 +12,7 @@ from lorescope.functions import names
 from lorescope.functions.hashing import hash32
 from lorescope.functions.text import strip
 from lorescope.operators.ordering import dense_index, position_in_group
-from lorescope.session import cut_lineage
+from lorescope.session import broadcast_if_small, cut_lineage
 
 PART_SIZE = 1000  # facts one nested row may hold; longer lists go on in further parts
 
@@ -276,7 +276,7 @@ def length_batches(rows: DataFrame, length: str, budget: int, order: Sequence[st
     ranked = position_in_group(rows, [length], order, "_rank")
     beyond = F.col("_rank") - F.col("_joined")
     batch = F.when(beyond < 0, F.col("_open")).otherwise(F.col("_open") + 1 + F.floor(beyond / F.col("_capacity")))
-    return ranked.join(plan, length).withColumn("batch", batch).drop("_rank", "_open", "_joined", "_capacity")
+    return ranked.join(broadcast_if_small(plan), length).withColumn("batch", batch).drop("_rank", "_open", "_joined", "_capacity")
 
 
 def pad_to_width(values: Column, width: Column, fill: Column) -> Column:

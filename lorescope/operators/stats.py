@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lorescope.functions.hashing import keep_fraction
 from lorescope.operators.moments import _matrix
 from lorescope.operators.ordering import dense_index, position_in_group
-from lorescope.session import cut_lineage
+from lorescope.session import broadcast_if_small, cut_lineage
 from lorescope.sources.records import load_stat, save_stat
 
 
@@ -97,7 +97,7 @@ def exact_quantiles(long: DataFrame, group: str, value: str, key: str, parts: Se
         .withColumn("_frac", F.pmod(scaled, F.lit(2 * of)) / F.lit(2.0 * of))
         .withColumn("_rank", F.explode(F.array(F.col("_low") - 1, F.col("_high") - 1)))
     )
-    # groups x quantiles x 2 rows
+    wanted = broadcast_if_small(wanted)  # groups x quantiles x 2 rows
     near = ranked.join(wanted, [group, "_rank"]).groupBy(group, "part").agg(
         F.min(value).alias("_a"), F.max(value).alias("_b"), F.max("_frac").alias("_frac")
     )
