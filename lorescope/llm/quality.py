@@ -23,12 +23,13 @@ from lorescope.llm.common import crc_mod, lowered, narrowed, span_hashes, texts_
 from lorescope.llm.registry import documents, query
 
 N_STATS = 18
-N_FOURIER = 384
+N_FOURIER = 256
 WIDTH = 4.0  # of the Gaussian kernel, in standard deviations of a statistic
 RIDGE = 1e-3  # per labelled row
 FOLDS = 4
 GRID = 2000  # cells of the calibration grid
-PARTS = 64  # tasks that sum normal equations
+PARTS = 64  # most tasks that sum normal equations, each of PART_ROWS rows or more
+PART_ROWS = 2000
 THRESHOLD = 0.3
 
 _CLASSES = {
@@ -170,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mode
     chosen = docs if learn is None else docs.filter(learn)
     chosen = narrowed(chosen, ["doc_id", "text"]).withColumn("fold", (F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % FOLDS).cast("int"))
     marks = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("y is not null")
-    rows = _with_statistics(chosen).join(marks, "doc_id").repartition(PARTS).persist()
+    kept = rows = _with_statistics(chosen).join(marks, "doc_id").repartition(PARTS).persist()
     try:
 
         def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mode
         scale = np.sqrt(np.maximum(sums[1 + N_STATS :] / sums[0] - mean**2, 1e-8))
         model = Model(mean, scale, None, np.zeros(1), np.full(1, 0.5))
         d = N_FOURIER + 1
+        upper = np.triu_indices(d)
+        size = len(upper[0])
+        rows = rows.coalesce(int(np.clip(sums[0] // PART_ROWS, 1, PARTS)))
 
         def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts: dict[int, np.ndarray] = {}
@@ -195,18 +199,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mode
                 folds = batch.column("fold").to_numpy(zero_copy_only=False)
                 for f in np.unique(folds):
                     own = z[folds == f]
-                    state = parts.setdefault(int(f), np.zeros(d * d + d + 1))
-                    state[: d * d] += (own.T @ own).ravel()
-                    state[d * d : -1] += own.T @ y[folds == f]
+                    state = parts.setdefault(int(f), np.zeros(size + d + 1))
+                    state[:size] += (own.T @ own)[upper]
+                    state[size:-1] += own.T @ y[folds == f]
                     state[-1] += len(own)
             yield _state_rows(parts, TaskContext.get().partitionId())
 
-        folds = _summed(rows, normal, d * d + d + 1)
+        folds = _summed(rows, normal, size + d + 1)
         total = np.sum(list(folds.values()), axis=0)
 
         def solved(state: np.ndarray) -> np.ndarray:
-            gram = state[: d * d].reshape(d, d) + RIDGE * max(state[-1], 1) * np.eye(d)
-            return np.linalg.solve(gram, state[d * d : -1])
+            gram = np.zeros((d, d))
+            gram[upper] = state[:size]
+            gram += np.triu(gram, 1).T + RIDGE * max(state[-1], 1) * np.eye(d)
+            return np.linalg.solve(gram, state[size:-1])
 
         outer = {f: solved(total - s) if total[-1] > s[-1] else solved(total) for f, s in folds.items()}
         model.weights = solved(total)
@@ -229,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mode
         model.levels, model.shares = isotonic(grid)
         return model
     finally:
-        rows.unpersist()
+        kept.unpersist()
 
 
 def isotonic(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
