@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20  # text a task holds in numeric form at a time; a longer text is held alone
@@ -116,3 +117,25 @@ def free_name(df: DataFrame, wish: str) -> str:
 def narrowed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns, so that others, whatever their names, cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block, Python tasks get at most ``rows`` rows at a time: for rows with texts that repeat."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def rows_of(df: DataFrame, key: str, ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """The rows of df whose ``key`` is in the one-column table ``ids``, which is stored and has no repeats.
+
+    Up to ``most`` ids (a few MB) travel to the rows; with more the rows are shuffled to the ids.
+    """
+    name = ids.columns[0]
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col(name), "left_semi")
