@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing registers them."""
 
-from lorescope.llm import language, mixing, neardup, quality  # noqa: F401
+from lorescope.llm import language, mixing, neardup, pieces, quality  # noqa: F401
 from lorescope.llm.registry import ORACLES, QUERIES  # noqa: F401

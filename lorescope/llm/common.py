@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
@@ -131,11 +131,33 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def _matched(df: DataFrame, key: str, ids: DataFrame, how: str, most: int) -> DataFrame:
+    name = ids.columns[0]
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col(name), how)
+
+
 def rows_of(df: DataFrame, key: str, ids: DataFrame, most: int = 500_000) -> DataFrame:
     """The rows of df whose ``key`` is in the one-column table ``ids``, which is stored and has no repeats.
 
     Up to ``most`` ids (a few MB) travel to the rows; with more the rows are shuffled to the ids.
     """
-    name = ids.columns[0]
-    few = ids.limit(most + 1).count() <= most
-    return df.join(F.broadcast(ids) if few else ids, F.col(key) == F.col(name), "left_semi")
+    return _matched(df, key, ids, "left_semi", most)
+
+
+def rows_without(df: DataFrame, key: str, ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """The other rows, those with a NULL key among them."""
+    return _matched(df, key, ids, "left_anti", most)
+
+
+def filtered(docs: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows, all columns, where the test that ``make`` builds in each task is true of ``column``."""
+    at = docs.columns.index(column)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots or in other case do no harm
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            yield batch.filter(pa.array(test(batch.column(at)), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

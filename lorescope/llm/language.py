@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import crc_mod, narrowed, texts_of
+from lorescope.llm.common import crc_mod, filtered, narrowed, texts_of
 from lorescope.llm.registry import documents, query
 
 SAMPLE_DOCS = 64
@@ -203,16 +203,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, in a learned language with at least that score."""
     shared = model.shared(docs)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         own = Model(*shared.value)
-        for batch in batches:
-            labels, scores = own.predict(batch.column(at))
-            known = np.array([x != UNKNOWN for x in labels], bool)
-            yield batch.filter(pa.array(known & (scores >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+        def test(texts: pa.Array) -> np.ndarray:
+            labels, scores = own.predict(texts)
+            return np.array([x != UNKNOWN for x in labels], bool) & (scores >= least)
+
+        return test
+
+    return filtered(docs, "text", make)
 
 
 def held_out() -> Column:

@@ -34,6 +34,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))), F.lit(0)).cast("long")
 
 
+def _draw(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """``sources`` (source, source_size) with weight and target: shares of the whole, none above most * source_size.
 
@@ -105,7 +109,7 @@ def mixed_sources(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = W
     sized = cut_lineage(
         narrowed(docs, ["doc_id", "source", "text"]).select(
             "doc_id", "source", n_words(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("draw"),
+            _draw(seed).alias("draw"),
         )
     )
     sized = sized.withColumn("part", F.pmod("draw", F.lit(SLICES)).cast("int"))
@@ -143,16 +147,23 @@ def mixed_sources(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = W
 def mixture(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
     plan = mixed_sources(docs, seed, weights, most).filter("copies > 0")
-    # Rows that agree in id and text share a draw; their copies are added and dealt out again.
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("draw").alias("_draw")).agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+    # Rows that agree in id, source and text share a draw; their copies are added and dealt out again.
+    plan = cut_lineage(
+        plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("draw").alias("_draw")).agg(
+            F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+        )
     )
-    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (draw == F.col("_draw"))
-    times = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_copies").cast("int")))
-    first = docs.join(plan.filter("_rows = 1"), same).withColumn("_time", F.explode(times))
-    again = docs.dropDuplicates(["doc_id", "source", "text"]).join(plan.filter("_rows > 1"), same).withColumn("_time", F.explode(times))
-    return first.unionByName(again).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (_draw(seed) == F.col("_draw"))
+
+    def taken(which: str) -> DataFrame:
+        return docs.join(plan.filter(which), same)
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+    if plan.filter("_rows > 1").isEmpty():
+        return repeated(taken("_rows = 1"))
+    return repeated(taken("_rows = 1")).unionByName(repeated(taken("_rows > 1").dropDuplicates(["_id", "_source", "_draw"])))
 
 
 @query("op3_mixing")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import batch_rows, lowered, mixed, narrowed, rows_of, span_hashes, texts_of, word_spans
+from lorescope.llm.common import batch_rows, lowered, mixed, narrowed, rows_of, rows_without, span_hashes, texts_of, word_spans
 from lorescope.llm.registry import documents, query
 from lorescope.session import cut_lineage
 
@@ -263,11 +263,15 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest id of their component; rows without an id stay."""
-    gone = classes(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = cut_lineage(gone)
-    first = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return first.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(first.filter("doc_id is null"))
+    """The rows of ``docs``, all columns, that are the smallest id of their component, one per id; rows without an id stay."""
+    found = cut_lineage(classes(docs, words, percent).select("doc_id", "kept"))
+    gone = cut_lineage(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    twice = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("n"))
+    twice = cut_lineage(twice.filter("n > 1").select("_twice"))
+    left = rows_without(docs, "doc_id", gone)
+    if twice.isEmpty():
+        return left
+    return rows_without(left, "doc_id", twice).unionByName(rows_of(left, "doc_id", twice).dropDuplicates(["doc_id"]))
 
 
 @query("op10_neardup")

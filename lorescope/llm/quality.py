@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import crc_mod, lowered, narrowed, span_hashes, texts_of, word_spans
+from lorescope.llm.common import crc_mod, filtered, lowered, narrowed, span_hashes, texts_of, word_spans
 from lorescope.llm.registry import documents, query
 
 N_STATS = 18
@@ -267,13 +267,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.score(statistics(batch.column(at))) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, "text", lambda: lambda texts: model.score(statistics(texts)) >= threshold)
 
 
 def held_out() -> Column:
