@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20  # text a task holds in numeric form at a time; a longer text is held alone
+CHUNK_BYTES = 1 << 20  # text a task holds in numeric form at a time; a longer text is held alone
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -5,10 +5,11 @@ by half i of the first and half j of the second, so SIDE * SIDE tables cost 2 *
 instead of SIDE * SIDE * 2 * ROWS. A pair at similarity t meets in some table with probability
 (1 - (1 - t**ROWS) ** SIDE) ** 2: 0.9998 at 0.8 with the values below.
 
-Equal shingle sets are one representative from the start. Then, until nothing changes, every bucket that still
-holds several components checks its members against its smallest one, and links join components. What buckets
-then still hold of different components is compared in cells of bounded size: pairs whose minimum hashes agree
-often enough are confirmed too. So groups of copies cost one check a member, and no link found is lost.
+Equal shingle sets are one representative from the start. Every bucket checks its members against its smallest
+one, and links join components, so groups of copies cost one check a member. Members of one centre that are then
+still in different components are compared in cells of bounded size by their full sets, and only links are
+written out, so that no link of a bucket is lost. That last step is quadratic in work, not in rows, for large groups
+whose members are all just below the threshold.
 
 Cases: texts without words or NULL have an empty set and are alone; with fewer words than a shingle the whole
 sequence is one; rows with a NULL id are alone with component NULL and kept; rows that share an id are one
@@ -31,8 +32,7 @@ from lorescope.session import cut_lineage
 SIDE = 9
 ROWS = 2
 N_MINS = 2 * SIDE * ROWS
-AGREE = 20  # of N_MINS equal minimum hashes make a pair worth confirming; at 0.8, 0.9998 of pairs have them
-CELL = 1024  # documents of a bucket compared with as many others in one step
+CELL = 500_000  # shingles of a group compared with as many others in one step
 SHARE = 64  # members checked against one copy of a bucket's smallest
 
 _GOLD = 0x9E3779B97F4A7C15
@@ -161,77 +161,85 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (rep, key) with the component of rep, itself if it has no link yet."""
-    if labels is None:
-        return rows.select("rep", "key", F.col("rep").alias("comp"))
-    return rows.select("rep", "key").join(labels, F.col("rep") == F.col("id"), "left").select("rep", "key", F.coalesce("comp", "rep").alias("comp"))
+def _groups(stars: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """(b, id, comp, slices) of all centres b and members whose group holds several components, but for centre pairs.
 
-
-def _in_mixed_buckets(rows: DataFrame) -> DataFrame:
-    """The rows (rep, key, comp) of buckets that hold several components, with the bucket's smallest member and size."""
-    buckets = rows.groupBy("key").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("least"), F.count(F.lit(1)).alias("size")
-    )
-    return rows.join(buckets.filter("low < high").select("key", "least", "size"), "key")
-
-
-def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose minimum hashes agree in AGREE places or more."""
-    a = reps.select(F.col("rep").alias("a"), F.col("mins").alias("ma"))
-    b = reps.select(F.col("rep").alias("b"), F.col("mins").alias("mb"))
-    equal = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda x: x))
-    return pairs.join(a, "a").join(b, "b").filter(equal >= AGREE).select("a", "b")
-
-
-def _cell_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs a > b of different components in one bucket that agree in AGREE minimum hashes or more.
-
-    A bucket of n members is dealt into ceil(n / CELL) slices by a hash; every two slices meet in one cell,
-    where only the pairs that agree are written out. Each pair is written by the first table it shares.
+    A group of more than CELL shingles in all is compared in slices.
+    """
+    members = stars.select("b", F.col("a").alias("member")).union(stars.select("b", F.col("b").alias("member"))).distinct()
+    sizes = reps.groupBy(F.col("rep").alias("member")).agg(F.max("n_shingles").alias("size"))
+    placed = members.join(labels.withColumnRenamed("id", "member"), "member", "left").join(sizes, "member")
+    placed = placed.select("b", "member", F.coalesce("comp", "member").alias("comp"), "size")
+    # A centre has met all its members, so two components matter only among three members or more.
+    mixed_groups = placed.groupBy("b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.sum("size") / CELL).cast("int").alias("slices")
+    ).filter("n > 2 and low < high")
+    return placed.join(mixed_groups.select("b", "slices"), "b").select("b", F.col("member").alias("id"), "comp", "slices")
+
+
+def _pairs_within(groups: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components in one group, on the full sets, as a stored table.
+
+    Members are dealt into slices by a hash; every two slices meet in one cell, where products of membership
+    matrices count what any two sets share. Only links are written out.
     """
-    slices = F.ceil(F.col("size") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("rep"), slices).cast("int")
-    other = F.explode(F.sequence(F.lit(0), slices - 1))
+    ids = cut_lineage(groups.select("id").distinct())
+    texts = rows_of(narrowed(docs, ["doc_id", "text"]), "doc_id", ids)
     cells = (
-        rows.join(reps.select("rep", "mins"), "rep")
-        .withColumn("own", own)
-        .withColumn("other", other)
-        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "comp", "mins")
+        groups.withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .select("b", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "comp")
     )
+    rows = cells.join(texts, F.col("id") == F.col("doc_id")).select("b", "p", "q", "own", "id", "comp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
 
-        def pairs() -> pa.RecordBatch:
-            found: list[np.ndarray] = []
-            if len(held) > 1:
-                own = np.array([x[0] for x in held])
-                rep = np.array([x[1] for x in held])
-                comp = np.array([x[2] for x in held])
-                mins = np.array([x[3] for x in held], np.int32)
-                for i in range(len(held)):
-                    others = np.flatnonzero((comp != comp[i]) & (rep < rep[i]) & ((own != own[i]) | (at[1] == at[2])))
-                    if len(others):
-                        same = mins[others] == mins[i]
-                        good = others[same.sum(1) >= AGREE]
-                        found.extend((rep[i], x) for x in rep[good])
-            flat = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["a", "b"])
+        def links() -> pa.RecordBatch:
+            own, ids, comps = (np.array([x[i] for x in held]) for i in range(3))
+            size = np.array([len(x[3]) for x in held])
+            shared = _shared([x[3] for x in held])
+            good = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+            good &= (shared > 0) & (comps[:, None] != comps[None, :]) & (ids[:, None] > ids[None, :])
+            good &= (own[:, None] != own[None, :]) | (at[1] == at[2])
+            i, j = np.nonzero(good)
+            return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for key, p, q, own, rep, comp, mins in zip(*[batch.column(i).to_pylist() for i in range(7)]):
-                if at != (key, p, q):
-                    if held:
-                        yield pairs()
-                    held, at = [], (key, p, q)
-                held.append((own, rep, comp, mins))
-        if held:
-            yield pairs()
-
-    dealt = cells.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+            heads = zip(*[batch.column(i).to_pylist() for i in range(6)])
+            for (b, p, q, own, id_, comp), grams in zip(heads, shingle_sets(batch.column(6), words)):
+                if at != (b, p, q):
+                    if len(held) > 1:
+                        yield links()
+                    held, at = [], (b, p, q)
+                held.append((own, id_, comp, grams))
+        if len(held) > 1:
+            yield links()
+
+    dealt = rows.repartition("b", "p", "q").sortWithinPartitions("b", "p", "q")
+    with batch_rows(docs.sparkSession, 256):
+        return cut_lineage(dealt.mapInArrow(run, "a bigint, b bigint").distinct())
+
+
+def _shared(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """How many elements every two of the sets share; elements of one set only take no part."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, which, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    often = seen > 1
+    place = np.cumsum(often) - 1
+    keep = often[which]
+    column, owner = place[which[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(often.sum()), columns):
+        a, b = np.searchsorted(column, [low, low + columns])
+        block = np.zeros((len(sets), columns), np.float32)
+        block[owner[a:b], column[a:b] - low] = 1
+        total += np.rint(block @ block.T).astype(np.int64)
+    return total
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -242,18 +250,14 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         .groupBy("n_shingles", "d1", "d2")
         .agg(F.min("doc_id").alias("rep"), F.min_by("mins", "doc_id").alias("mins"))
     )
-    found = reps.select("rep", "rep").toDF("a", "b").limit(0)
-    labels = None
-    rows = table_keys(reps)
-    for stars in (True, False):  # members against the smallest of their bucket, then what is left in cells
-        rows = cut_lineage(_in_mixed_buckets(_labelled(rows, labels)))
-        if stars:
-            pairs = _alike(rows.filter("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), reps)
-        else:
-            pairs = _cell_pairs(rows, reps)
-        links = confirmed(cut_lineage(pairs), docs, words, percent)
-        found = cut_lineage(found.union(links).distinct())
-        labels = components(found)
+    keys = table_keys(reps)
+    buckets = keys.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b < top").select("key", "b")
+    stars = cut_lineage(keys.join(buckets, "key").filter("rep > b").select(F.col("rep").alias("a"), "b").distinct())
+    found = confirmed(stars, docs, words, percent)
+    labels = components(found)
+    more = _pairs_within(cut_lineage(_groups(stars, labels, reps)), docs, words, percent)
+    if not more.isEmpty():
+        labels = components(found.union(more).distinct())
     members = sig.join(reps.select("rep", "n_shingles", "d1", "d2"), ["n_shingles", "d1", "d2"], "left")
     return (
         members.join(labels, F.col("rep") == F.col("id"), "left")
