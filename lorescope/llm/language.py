@@ -175,7 +175,8 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Model:
     rows = narrowed(rows, ["doc_id", "text", "lang"]).filter("lang is not null and text is not null and text != ''")
     rows = rows.withColumn("_draw", F.xxhash64("doc_id", "text")).withColumn("_long", F.octet_length("text") > SHORT)
     first = W.partitionBy("lang").orderBy("_long", "_draw")
-    picked = rows.select("lang", "_long", "_draw").distinct().withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= SAMPLE_DOCS)
+    picked = rows.select("lang", "_long", "_draw").withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= SAMPLE_DOCS)
+    picked = picked.groupBy("lang", "_long", "_draw").agg(F.min("_nth").alias("_nth"))  # rows that repeat count once
     chosen = rows.join(F.broadcast(picked), ["lang", "_long", "_draw"]).select("lang", "_nth", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     samples: dict[str, bytes] = {}
     for r in chosen.dropDuplicates(["lang", "_nth"]).orderBy("lang", "_nth").toLocalIterator():
