@@ -7,6 +7,9 @@ hashed contexts; their predictions are combined in the logistic domain by weight
 in the order of the training data, and refined by an adaptive map of what followed such predictions. Tasks learn on
 what they hold; counts and maps are added up, weights averaged by the bits behind them.
 
+Known words cost by kind of document: a few bits of a hash of its words name a text's kind in training, and a text is
+scored by the kinds mixed as they predicted it so far.
+
 Counts of words are exact and grow with the corpus: a block of documents sends each of its words once to the word's
 bucket, where counts are added and sent back to the blocks that have the word. Words meet by 64-bit hashes. Tables
 of contexts have a fixed size. A block is what one task reads, so ``docs`` has to be a stored table, whose tasks
@@ -38,6 +41,9 @@ SPELL_SLOTS = (1 << 16, 1 << 16, 1 << 17, 1 << 17, 1 << 17)
 # Slots of those for repeats: by place, by what happened last and how often, by the last word, by the last two.
 REPEAT_SLOTS = (16, 256, 4096, 4096)
 RATE = 0.4
+KINDS = 8  # of documents, by the signs of KIND_BITS sums over word hashes
+KIND_BITS = 3
+BLEND = 0.05  # of the whole corpus in the word shares of a kind
 STEPS = 33  # of an adaptive map
 PRIOR = 20.0  # tokens' worth of belief in the usual share of unknown words
 CELLS = 1 << 17  # bytes spelled at a time
@@ -220,6 +226,15 @@ class Tokens:
         self.before[order] = index - np.maximum.accumulate(np.where(same, 0, index))
         self.repeats = (self.before > 0).astype(np.int64)
 
+    def kinds(self) -> np.ndarray:
+        """The kind of each text: words that are frequent in it decide the signs, so texts of one language mostly agree."""
+        kind = np.zeros(len(self.size), np.int64)
+        for i in range(KIND_BITS):
+            sign = 1 - 2 * (self.hash >> np.uint64(40 + i) & np.uint64(1)).astype(np.int64)
+            sign[self.hash == END] = 0
+            kind = kind * 2 + (np.bincount(self.text, sign, len(self.size)) > 0)
+        return kind
+
     def since_start(self, values: np.ndarray) -> np.ndarray:
         """Sum of the values of earlier tokens of the same text."""
         total = np.cumsum(values) - values
@@ -273,7 +288,7 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId()
-        have = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        have = (np.zeros(0, np.uint64), np.zeros((0, KINDS), np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint8))
         table, mixer = np.zeros((2, width)), Mixer(len(REPEAT_SLOTS), 8)
         waiting: list[tuple] = []
 
@@ -282,7 +297,7 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
             words = np.concatenate([p[3] for p in parts])
             at = np.cumsum(lens) - lens
             unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            return unique, np.bincount(back, counts, len(unique)).astype(np.int64), lens[first], _gathered(words, at[first], lens[first])
+            return unique, _by_kind(back, counts, len(unique)), lens[first], _gathered(words, at[first], lens[first])
 
         for batch in batches:
             train = batch.column(1).to_numpy(zero_copy_only=False)
@@ -291,7 +306,8 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
                 learned = train[row:end][t.text]
                 unique, first, back = np.unique(t.hash, return_index=True, return_inverse=True)
                 lens = (t.ends - t.starts)[first]
-                waiting.append((unique, np.bincount(back, learned, len(unique)).astype(np.int64), lens, _gathered(t.raw, t.starts[first], lens)))
+                counts = np.bincount(back * KINDS + t.kinds()[t.text], learned, len(unique) * KINDS).astype(np.int32).reshape(-1, KINDS)
+                waiting.append((unique, counts, lens, _gathered(t.raw, t.starts[first], lens)))
                 if learned.any():
                     slots, gate = t.repeat_contexts()
                     bits = t.repeats[learned]
@@ -317,6 +333,11 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _SCHEMA)
 
 
+def _by_kind(back: np.ndarray, counts: np.ndarray, n: int, kind: type = np.int32) -> np.ndarray:
+    """Sums of rows of counts that share an entry of ``back``."""
+    return np.stack([np.bincount(back, counts[:, k], n) for k in range(KINDS)], 1).astype(kind)
+
+
 def _gathered(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The bytes of spans, one after another."""
     total = int(lens.sum())
@@ -333,23 +354,25 @@ def _merged(rows: DataFrame) -> DataFrame:
 
         task = TaskContext.get().partitionId()
         spelling = np.zeros((2, sum(SPELL_SLOTS)), np.float32)
-        totals = np.zeros(3, np.int64)
+        totals = np.zeros(3 + KINDS, np.int64)
         sums, at, held = None, None, []
 
         def bucket() -> Iterator[pa.RecordBatch]:
             hashes = np.concatenate([h[1] for h in held])
             unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            counts = np.bincount(back, np.concatenate([h[2] for h in held]), len(unique)).astype(np.int64)
+            kinds = _by_kind(back, np.concatenate([h[2] for h in held]).reshape(-1, KINDS), len(unique), np.int64)
+            counts = kinds.sum(1)
             lens, words = np.concatenate([h[3] for h in held]).astype(np.int64), np.concatenate([h[4] for h in held])
             place = np.cumsum(lens) - lens
             known = first[(counts > 0) & (lens[first] > 0)]
             own, sizes = _gathered(words, place[known], lens[known]), lens[known]
             spell_counts(own, sizes, spelling)
-            totals[:] += [counts.sum(), (counts > 0).sum(), (counts == 1).sum()]
+            totals[:] += [counts.sum(), (counts > 0).sum(), (counts == 1).sum(), *kinds.sum(0)]
             yield _row(_WORDS, at, -1, np.zeros(0), np.zeros(0), sizes.astype(np.int32), own)
             begin = 0
             for block, h, *_ in held:
-                yield _row(_COUNTS, at, block, h, counts[back[begin : begin + len(h)]])
+                own = back[begin : begin + len(h)]
+                yield _row(_COUNTS, at, block, h, counts[own], kinds[own].astype(np.float32))
                 begin += len(h)
 
         for batch in batches:
@@ -364,7 +387,7 @@ def _merged(rows: DataFrame) -> DataFrame:
                     if held:
                         yield from bucket()
                     at, held = b, []
-                held.append((block, *[np.frombuffer(x, t).copy() for x, t in zip(blobs, (np.uint64, np.int64, np.int32, np.uint8))]))
+                held.append((block, *[np.frombuffer(x, t).copy() for x, t in zip(blobs, (np.uint64, np.int32, np.int32, np.uint8))]))
         if held:
             yield from bucket()
         if sums is not None:
@@ -401,7 +424,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     buckets = max(1, size // (8 * BUCKET_WORDS))
     table = cut_lineage(_merged(_announced(rows.select("text", "learned"), buckets)))
 
-    totals = {k: int(v or 0) for k, v in zip(("n", "v", "once"), _totals(table))}
+    seen = [int(v or 0) for v in _totals(table)]
+    totals, by_kind = dict(zip(("n", "v", "once"), seen)), np.maximum(np.array(seen[3:], np.float64), 1)
     width = sum(REPEAT_SLOTS)
     repeats = _summed(table.filter(F.col("kind") == _REPEATS), 2 * width + Mixer.width(len(REPEAT_SLOTS), 8))
     slots = sum(SPELL_SLOTS)
@@ -419,27 +443,30 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     vocabulary = table.filter((F.col("kind") == _WORDS) & (F.octet_length("lens") > 0)).select("lens", "words")
     weights = _summed(vocabulary.mapInArrow(weigh, "block bigint, hashes binary"), Mixer.width(len(SPELL_SLOTS), gates))
 
-    counted = table.filter(F.col("kind") == _COUNTS).select("block", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("learned"), F.lit(None).cast("string").alias("text"), "hashes", "counts")
-    texts = rows.select(F.spark_partition_id().alias("block"), "doc_id", "learned", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"))
-    both = counted.unionByName(texts).withColumn("order", F.col("hashes").isNull()).select("block", "order", "doc_id", "learned", "text", "hashes", "counts")
+    counted = table.filter(F.col("kind") == _COUNTS).select("block", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("learned"), F.lit(None).cast("string").alias("text"), "hashes", "counts", F.col("lens").alias("kinds"))
+    texts = rows.select(F.spark_partition_id().alias("block"), "doc_id", "learned", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("kinds"))
+    both = counted.unionByName(texts).withColumn("order", F.col("hashes").isNull()).select("block", "order", "doc_id", "learned", "text", "hashes", "counts", "kinds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell_mixer = Mixer(len(SPELL_SLOTS), gates, weights)
         repeat_table, repeat_mixer = repeats[: 2 * width].reshape(2, width), Mixer(len(REPEAT_SLOTS), 8, repeats[2 * width :])
         fresh = max(1.0, repeat_table[0][: REPEAT_SLOTS[0]].sum())  # training tokens that repeat nothing
         usual = min(0.9, (totals["once"] + 0.5) / (fresh + 1))
-        at, parts, hashes, counts = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at, parts, hashes, counts, shares = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, KINDS))
         spelled: np.ndarray = np.zeros(0)
         for (block, is_text), batch in _by_key(batches, 2):
             if block != at:
                 at, parts, hashes = block, [], None
             if not is_text:
-                parts += [(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)) for h, c in zip(batch.column(5), batch.column(6))]
+                blobs = zip(*[batch.column(i) for i in (5, 6, 7)])
+                parts += [tuple(np.frombuffer(x.as_buffer(), t).copy() for x, t in zip(b, (np.uint64, np.int64, np.float32))) for b in blobs]
                 continue
             if hashes is None:
                 hashes = np.concatenate([p[0] for p in parts])
                 order = np.argsort(hashes)
                 hashes, counts = hashes[order], np.concatenate([p[1] for p in parts])[order]
+                shares = (1 - BLEND) * np.concatenate([p[2] for p in parts]).reshape(-1, KINDS)[order] / by_kind.astype(np.float32)
+                shares += (BLEND / max(1, totals["n"]) * counts)[:, None].astype(np.float32)
                 spelled, parts = np.full(len(hashes), np.nan), []
             for row, end, raw, offsets in texts_of(batch.column(4)):
                 t = Tokens(raw, offsets)
@@ -458,8 +485,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 unknown = (c == 0).astype(np.float64)
                 other = 1.0 - t.repeats
                 odd = (t.since_start(unknown * other) + PRIOR * usual) / (t.since_start(other) + PRIOR)
-                left = totals["n"] - t.since_start(np.where(t.before == 0, c, 0))  # counts of words not yet in the text
-                anew = np.where(c > 0, (1 - odd) * c / np.maximum(left, 1), odd * 10.0 ** np.maximum(np.nan_to_num(spelled[which]), -290.0))
+                known = _known_share(t, shares[which], (c > 0) & (t.before == 0), by_kind / by_kind.sum())
+                anew = np.where(c > 0, (1 - odd) * known, odd * 10.0 ** np.maximum(np.nan_to_num(spelled[which]), -290.0))
                 p = np.where(t.before > 0, again * t.before / np.maximum(t.place, 1), (1 - again) * anew)
                 cost = np.log10(np.maximum(p, 1e-300))
                 plain = np.log10((c + 1) / (totals["n"] + totals["v"] + 1))
@@ -479,16 +506,33 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     return scored.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")))
 
 
-def _totals(table: DataFrame) -> tuple[int, int, int]:
-    """Tokens, distinct tokens and tokens seen once, of training rows."""
+def _known_share(t: Tokens, shares: np.ndarray, new: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Probability of the words that are new to their text, among known words not yet in it.
+
+    Every kind of document has its own shares; the kinds are weighed by how well they predicted the text so far.
+    """
+    shares = shares.astype(np.float64)
+    told = np.zeros(shares.shape)
+    for k in range(KINDS):
+        left = np.maximum(1 - t.since_start(np.where(new, shares[:, k], 0)), 1e-9)
+        shares[:, k] /= left
+        told[:, k] = np.log(prior[k]) + t.since_start(np.where(new, np.log(np.maximum(shares[:, k], 1e-300)), 0))
+    told -= told.max(1, keepdims=True)
+    weight = np.exp(told)
+    return np.minimum((weight * shares).sum(1) / weight.sum(1), 1.0)
+
+
+def _totals(table: DataFrame) -> tuple[int, ...]:
+    """Tokens, distinct tokens and tokens seen once, of training rows, and tokens by kind of document."""
+    names = ["n", "v", "once", *[f"k{i}" for i in range(KINDS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(values[:, i]) for i in range(3)], ["n", "v", "once"])
+            values = np.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(values[:, i]) for i in range(len(names))], names)
 
-    found = table.filter(F.col("kind") == _TOTALS).select("hashes").mapInArrow(run, "n bigint, v bigint, once bigint")
-    return tuple(found.agg(F.sum("n"), F.sum("v"), F.sum("once")).first())
+    found = table.filter(F.col("kind") == _TOTALS).select("hashes").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    return tuple(found.agg(*[F.sum(c) for c in names]).first())
 
 
 def held_out() -> Column:
