@@ -34,8 +34,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))), F.lit(0)).cast("long")
 
 
-def _draw(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+def _draw(seed: int, doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -109,7 +109,7 @@ def mixed_sources(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = W
     sized = cut_lineage(
         narrowed(docs, ["doc_id", "source", "text"]).select(
             "doc_id", "source", n_words(F.col("text")).alias("size"),
-            _draw(seed).alias("draw"),
+            _draw(seed, F.col("doc_id"), F.col("text")).alias("draw"),
         )
     )
     sized = sized.withColumn("part", F.pmod("draw", F.lit(SLICES)).cast("int"))
@@ -153,13 +153,17 @@ def mixture(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS
             F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")
         )
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (_draw(seed) == F.col("_draw"))
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # names with dots or in other case do no harm
+    own = {c: F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text")}
+    same = own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_source"))
+    same &= _draw(seed, own["doc_id"], own["text"]) == F.col("_draw")
 
     def taken(which: str) -> DataFrame:
-        return docs.join(plan.filter(which), same)
+        return docs.toDF(*plain).join(plan.filter(which), same)
 
     def repeated(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+        return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), "_copies"))).select(*plain).toDF(*names)
 
     if plan.filter("_rows > 1").isEmpty():
         return repeated(taken("_rows = 1"))

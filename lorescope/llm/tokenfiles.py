@@ -82,9 +82,10 @@ def write_tokens(docs: DataFrame, folder: str, ranks: dict[bytes, int], end: int
 
 
 def token_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    """Name and size of the files in a folder, one entry each."""
+    """Name and size of the files in a folder, one entry each; none if there is no such folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.listStatus(path) if store.exists(path) else []
     return sorted((f.getPath().getName(), f.getLen()) for f in found if f.getPath().getName()[0] not in "._")
 
 
