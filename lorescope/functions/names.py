@@ -38,5 +38,17 @@ FAMILIES: dict[str, str] = {
     "gpt-4.1-mini": "GPT Series", "o4-mini": "GPT Series",
 }
 
+# How reports name models; the last two share a row of the tables.
+MODELS: dict[str, str] = {
+    "llama-3.2-1b": "Llama-3.2 \\textsubscript{(1B)}",
+    "llama-3.2-3b": "Llama-3.2 \\textsubscript{(3B)}",
+    "llama-3.2-11b": "Llama-3.2 \\textsubscript{(11B)}",
+    "qwen-3-1.7b": "Qwen-3 \\textsubscript{(1.7B)}",
+    "qwen-3-4b": "Qwen-3 \\textsubscript{(4B)}",
+    "qwen-3-8b": "Qwen-3 \\textsubscript{(8B)}",
+    "gpt-4.1-mini": "GPT-4.1-mini & o4-mini",
+    "o4-mini": "GPT-4.1-mini & o4-mini",
+}
+
 # Fixed value: this model reasons by itself, so its plain runs are reported as Append-T.
 THINKING_ONLY = "o4-mini"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lorescope.functions.hashing import hash32
+from lorescope.functions.hashing import hash60
 
 
 def clean_label(label: Column) -> Column:
@@ -97,6 +97,6 @@ def annotation_pool(labels: DataFrame, probes: DataFrame, items: DataFrame, fact
 
 def sample_per_task(pool: DataFrame, n: int, key: Sequence[str], by: Sequence[str] = ("task",)) -> DataFrame:
     """A fixed pseudorandom sample of n rows of each task."""
-    draw = hash32(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    draw = hash60(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(draw, *key))
     return pool.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")

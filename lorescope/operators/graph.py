@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorescope.functions.hashing import hash32
+from lorescope.functions.hashing import hash60
 from lorescope.functions.text import word_count
 from lorescope.operators.ordering import dense_index, position_in_group
 from lorescope.session import cut_lineage
@@ -94,7 +95,7 @@ def popular(triples: DataFrame, minimum: int = 5) -> DataFrame:
 
 def sample_starts(entities: DataFrame, n: int, key: str = "id") -> DataFrame:
     """n entities in a fixed pseudorandom order."""
-    return entities.orderBy(hash32(F.col(key)), key).limit(n)
+    return entities.orderBy(hash60(F.col(key)), key).limit(n)
 
 
 def exclude_known_bad(rows: DataFrame, bad: DataFrame, keys: Sequence[str] = ("subj", "prop", "obj")) -> DataFrame:
@@ -102,15 +103,29 @@ def exclude_known_bad(rows: DataFrame, bad: DataFrame, keys: Sequence[str] = ("s
     return rows.join(bad, list(keys), "left_anti")
 
 
-def walk_chains(starts: DataFrame, edges: DataFrame, depth: int, cut_every: int = 3) -> DataFrame:
+def walkable(triples: DataFrame, bad: DataFrame, labels: DataFrame, prop_labels: DataFrame, typed: DataFrame,
+             subject_rules: Mapping[str, str], object_rules: Mapping[str, str]) -> DataFrame:
+    """Claims a walk may follow, as (subj, prop, obj, prop_rank).
+
+    Whether a claim is the only one of its subject and property is asked over
+    all its claims, before claims known to be bad are dropped; then labels and
+    the classes the property asks for are checked.
+    """
+    sound = exclude_known_bad(single_valued(triples), bad)
+    named = usable_labels(with_labels(sound, labels, prop_labels)).select("subj", "prop", "obj", "prop_rank")
+    return domain_range_ok(named, typed, subject_rules, object_rules)
+
+
+def walk_chains(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Walk from every start along the first usable edge per hop, up to ``depth`` hops.
 
     ``edges`` are single-valued, so a subject has at most one edge per property
     and its edges fit one short array. A hop is then a lookup of the current
     node, and the choice (lowest property rank, object not visited, property not
     used) happens inside the row. Which edge is first depends on the path, so
-    edges are not ranked beforehand. Popular nodes make skewed lookups; the
-    side that repeats is the frontier, which adaptive execution may split.
+    edges are not ranked beforehand. A chain that cannot go on leaves the loop,
+    so no later hop moves it. Popular nodes make skewed lookups; the side that
+    repeats is the frontier, which adaptive execution may split.
     """
     out = edges.groupBy(F.col("subj").alias("_at")).agg(
         F.array_sort(F.collect_list(F.struct("prop_rank", "prop", "obj"))).alias("_out")
@@ -120,28 +135,39 @@ def walk_chains(starts: DataFrame, edges: DataFrame, depth: int, cut_every: int
         F.col("id").alias("start"), F.array("id").alias("path"), F.array().cast("array<string>").alias("props"),
         F.col("id").alias("_at"),
     )
-    for hop in range(1, depth + 1):
+    ended: list[DataFrame] = []
+    for _ in range(depth):
         usable = F.filter(
             "_out", lambda e: ~F.array_contains(F.col("path"), e["obj"]) & ~F.array_contains(F.col("props"), e["prop"])
         )
         step = F.get(usable, F.lit(0))
         moved = chains.join(out, "_at", "left").withColumn("_step", step).drop("_out", "_at")
-        # A chain that cannot go on keeps its path and looks nothing up any more.
-        chains = moved.select(
+        moved = cut_lineage(moved.select(
             "start",
             F.when(F.col("_step").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_step.obj"))).alias("path"),
             F.when(F.col("_step").isNull(), F.col("props")).otherwise(F.concat("props", F.array("_step.prop"))).alias("props"),
             F.col("_step.obj").alias("_at"),
-        )
-        if hop % cut_every == 0 and hop < depth:
-            chains = cut_lineage(chains)
-    return chains.drop("_at")
+        ))
+        ended.append(moved.filter("_at is null"))
+        chains = moved.filter("_at is not null")
+    return functools.reduce(DataFrame.unionByName, ended, chains).drop("_at")
 
 
 def exact_depth(chains: DataFrame, depth: int) -> DataFrame:
     return chains.filter(F.size("path") == depth + 1)
 
 
+def at_depths(chains: DataFrame, depths: Sequence[int]) -> DataFrame:
+    """The chain of exactly each asked depth from every start that gets so far.
+
+    A step depends only on the path before it, so the walk to a smaller depth
+    is the beginning of the walk to a larger one.
+    """
+    asked = F.filter(F.array(*[F.lit(d) for d in depths]), lambda d: d <= F.size("props"))
+    each = chains.withColumn("depth", F.explode(asked))
+    return each.withColumns({"path": F.slice("path", F.lit(1), F.col("depth") + 1), "props": F.slice("props", F.lit(1), F.col("depth"))})
+
+
 def stratify_depth(starts: DataFrame, depths: Sequence[int], order: Sequence[str] = ("id",)) -> DataFrame:
     """Assign depths in equal contiguous shares of the starts, in whole numbers."""
     numbered = dense_index(starts, list(order), "_i")
@@ -185,9 +211,17 @@ def possessive_question(props: Column, head: Column, prop_names: Mapping[str, st
     return F.concat(F.lit("What is "), head, F.lit("'s "), F.array_join(F.transform(props, lambda p: names[p]), "'s "), F.lit("?"))
 
 
+def first_class(instance_of: DataFrame, order: str) -> DataFrame:
+    """The class that comes first among the classes of each entity."""
+    first = instance_of.groupBy("subj").agg(F.min(F.struct(F.col(order).alias("_order"), "class")).alias("_c"))
+    return first.select("subj", F.col("_c.class").alias("class"))
+
+
 def similar_entity(instance_of: DataFrame) -> DataFrame:
     """For each entity another one of the same class, its successor in a fixed shuffled order.
 
+    ``instance_of`` has one class per entity; see ``first_class``.
+
     The order is cyclic, so everyone gets a partner unless the class has one
     member, without pairing all members of a class.
     """

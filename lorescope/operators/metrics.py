@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lorescope.functions.hashing import hash32
+from lorescope.functions.hashing import hash60
 from lorescope.functions.text import one_decimal, word_count
 
 METRICS = ("hp", "ap", "fke")
 RUN_KEY = ("task", "model", "method", "scope")
-_BLOCK = 1 << 16  # draws one row expands to
 
 
 def answer_pass(correct: Column) -> Column:
@@ -77,36 +76,68 @@ def _summary(percentiles: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_hashed(cells: DataFrame, by: Sequence[str], replicates: int) -> DataFrame:
+def _log_gamma(x: str) -> str:
+    """SQL for ln of the gamma function, by Stirling's series ten places up; both engines have what it uses."""
+    up = f"({x} + 10)"
+    steps = " * ".join(f"({x} + {i})" for i in range(10))
+    series = f"1 / (12 * {up}) - 1 / (360 * pow({up}, 3)) + 1 / (1260 * pow({up}, 5))"
+    return f"(({up} - 0.5) * ln({up}) - {up} + 0.9189385332046727e0 + {series} - ln({steps}))"
+
+
+def binomial_sql(n: str, k: str, p: str) -> str:
+    """SQL for the probability of k hits in n draws, 0 < p < 1; arguments are names of doubles."""
+    ways = f"{_log_gamma(f'({n} + 1)')} - {_log_gamma(f'({k} + 1)')} - {_log_gamma(f'({n} - {k} + 1)')}"
+    return f"exp({ways} + {k} * ln({p}) + ({n} - {k}) * ln(1 - {p}))"
+
+
+def interval_places(replicates: int) -> list[tuple[int, int, float]]:
+    """Lower and higher place and the share of the higher one, for the 2.5th and 97.5th percentile of sorted draws."""
+    at = [(replicates - 1) * q for q in (0.025, 0.975)]
+    return [(int(x), min(int(x) + 1, replicates - 1), x - int(x)) for x in at]
+
+
+def bootstrap_hashed(cells: DataFrame, by: Sequence[str], replicates: int = 1000) -> DataFrame:
     """Percentile bootstrap with hashed draws, reproducible in any SQL engine.
 
-    Work is replicates x rows, spread in blocks of draws. Use ``bootstrap_ci``
-    for large runs: it has the same distribution at a cost independent of n.
+    The hits of a replicate, n draws with replacement, are binomial. A hashed
+    uniform per replicate is turned into hits by the inverse of that
+    distribution; as it is monotone, only the uniforms next to the two
+    percentiles are. The distribution is summed over twelve standard deviations
+    around the mean, so a run costs ``replicates`` hashes and about the root of
+    n numbers per metric.
     """
-    drawn = (
-        cells.withColumn("_key", F.concat_ws("|", *[F.col(c).cast("string") for c in by]))
-        .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"), F.lit(_BLOCK).cast("bigint"))))
-        .repartition("_key", "rep", "_block")
-        .withColumn("draw", F.explode(F.sequence("_block", F.least(F.col("_block") + _BLOCK - 1, F.col("n") - 1))))
-        .withColumn("u", hash32(F.concat_ws("|", "_key", F.col("rep").cast("string"), F.col("draw").cast("string"))) % F.col("n"))
-    )
-    ap_end = F.col("both") + F.col("ap_only")
-    hit_hp = F.col("u") < F.col("both")
-    hit_ap = F.col("u") < ap_end
-    hit_fke = hit_hp | ((F.col("u") >= ap_end) & (F.col("u") < ap_end + F.col("fke_only")))
-    fixed = [*by, "n", "both", "ap_only", "fke_only"]  # of a run; carried along to save a join
-    per_rep = drawn.groupBy(*fixed, "rep").agg(
-        *[(F.count_if(hit) * 100 / F.max("n")).alias(m) for m, hit in zip(METRICS, (hit_hp, hit_ap, hit_fke))]
-    )
-    seen = {"hp": F.col("both"), "ap": ap_end, "fke": F.col("both") + F.col("fke_only")}
-    bounds = (
-        per_rep.unpivot([*fixed, "rep"], list(METRICS), "metric", "rate")
-        .groupBy(*fixed, "metric")
-        .agg(F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
+    seen = {"hp": F.col("both"), "ap": F.col("both") + F.col("ap_only"), "fke": F.col("both") + F.col("fke_only")}
+    rows = cells.select(*by, F.col("n").cast("double").alias("n"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), hits.cast("double").alias("hits")) for m, hits in seen.items()
+    ])).alias("_m")).select(*by, "n", "_m.metric", "_m.hits")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in by], "metric")
+    uniform = F.array_sort(F.transform(
+        F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: hash60(F.concat_ws("|", key, r.cast("string"))) / F.lit(float(2**60))
+    ))
+    (low, low_next, low_part), (high, high_next, high_part) = interval_places(replicates)
+    rows = rows.withColumn("_u", uniform).withColumns({f"_u{i}": F.get("_u", F.lit(i)) for i in {low, low_next, high, high_next}})
+    rows = rows.withColumn("p", F.col("hits") / F.col("n")).withColumn("_reach", 12 * F.sqrt(F.col("n") * F.col("p") * (1 - F.col("p"))) + 1)
+    first = F.greatest(F.lit(0.0), F.floor(F.col("hits") - F.col("_reach"))).cast("bigint")
+    last = F.least(F.col("n"), F.ceil(F.col("hits") + F.col("_reach"))).cast("bigint")
+    certain = (F.col("hits") == 0) | (F.col("hits") == F.col("n"))
+    places = F.when(certain, F.array(F.col("hits").cast("bigint"))).otherwise(F.sequence(first, last))
+    counted = rows.drop("_u").withColumn("k", F.explode(F.transform(places, lambda k: k.cast("double"))))
+    chance = F.when(certain, F.lit(1.0)).otherwise(F.expr(binomial_sql("n", "k", "p")))
+    upto = W.partitionBy(*by, "metric").orderBy("k")
+    summed = counted.withColumn("_cdf", F.sum(chance).over(upto))
+
+    def hits_at(place: int) -> Column:
+        return F.coalesce(F.min(F.when(F.col("_cdf") >= F.col(f"_u{place}"), F.col("k"))), F.max("k"))
+
+    def between(a: int, b: int, part: float) -> Column:
+        return (hits_at(a) + F.lit(part) * (hits_at(b) - hits_at(a))) * 100 / F.first("n")
+
+    bounds = summed.groupBy(*by, "metric").agg(
+        (F.first("hits") * 100 / F.first("n")).alias("observed"),
+        between(low, low_next, low_part).alias("lower"),
+        between(high, high_next, high_part).alias("upper"),
     )
-    observed = F.coalesce(*[F.when(F.col("metric") == m, hits * 100 / F.col("n")) for m, hits in seen.items()])
-    return _summary(bounds.select(*by, "metric", observed.alias("observed"), F.col("_p")[0].alias("lower"), F.col("_p")[1].alias("upper")))
+    return _summary(bounds)
 
 
 def bootstrap_ci(cells: DataFrame, by: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorescope.functions.pycalls import library_calls
+from lorescope.operators.joins import same_keys
 from lorescope.functions.text import canonical_call, has_token, strip, strip_backticks
 
 CALL_FIELDS = (
@@ -85,7 +86,8 @@ def call_knowledge(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """Calls with generalised arguments, documentation and canonical text."""
     joined = calls.filter("function is not null").join(catalog, "function", "left")
     general = joined.withColumn("positional_args", generalize_args(F.col("positional_args"), F.col("positional_params")))
-    doc = F.when(strip(F.col("docstring")) != "", F.col("docstring")).otherwise(F.col("signature_string"))
+    written = strip(F.col("docstring"))
+    doc = F.when((written != "") & (written != "N/A"), F.col("docstring")).otherwise(F.col("signature_string"))
     return general.withColumn("docstring", doc).withColumn(
         "canonical_call", canonical_call(F.col("function"), F.col("positional_args"), F.col("keyword_args"))
     ).drop("positional_params", "signature_string")
@@ -98,16 +100,52 @@ def reuse_by_answer(facts: DataFrame, fields: Sequence[str], key: str = "item_id
     """
     wording = facts.groupBy("answer").agg(F.min(F.struct(key, "pos", *fields)).alias("_first"))
     once = facts.groupBy(key, "answer").agg(F.min("pos").alias("pos"))
-    return once.join(wording, "answer").select(key, "pos", "answer", *[F.col(f"_first.{f}").alias(f) for f in fields])
+    return same_keys(once, wording, ["answer"], "inner").select(key, "pos", "answer", *[F.col(f"_first.{f}").alias(f) for f in fields])
 
 
-_KQA = r"(?s)Knowledge: .*?\nQuestion: .*?\nAnswer: .*?(?=\nKnowledge:|\z)"
+def _kqa_blocks(text: Column) -> Column:
+    """Array of the blocks of a text, each from its ``Knowledge: `` to the next line that starts one.
+
+    A block is complete once a question and then an answer follow; until then
+    later lines that start with Knowledge belong to it. The text is cut at those
+    lines once, and one pass over the pieces tells which of them a block spans.
+    """
+    pieces = F.split(text, "(?=\\nKnowledge:)")
+
+    def past(piece: Column, label: str) -> Column:
+        at = F.locate(label, piece)
+        return F.when(at > 0, F.substr(piece, at + F.lit(len(label))))
+
+    def step(state: Column, piece: Column) -> Column:
+        opened = state["stage"] == 0
+        start = F.locate("Knowledge: ", piece)
+        first = F.when(opened, past(piece, "Knowledge: ")).otherwise(piece)
+        asked = F.when(state["stage"] == 2, piece).otherwise(past(first, "\nQuestion: "))
+        done = past(asked, "\nAnswer: ").isNotNull()
+        stage = F.when(done, 0).when(asked.isNotNull(), 2).when(first.isNotNull(), 1).otherwise(0)
+        begin = F.when(opened, state["i"]).otherwise(state["begin"])
+        cut = F.when(opened, start).otherwise(state["cut"])
+        found = F.struct(begin.alias("begin"), state["i"].alias("end"), cut.alias("cut"))
+        return F.struct(
+            stage.alias("stage"), begin.alias("begin"), cut.alias("cut"), (state["i"] + 1).alias("i"),
+            F.when(done, F.array_append(state["out"], found)).otherwise(state["out"]).alias("out"),
+        )
+
+    zero = F.struct(
+        F.lit(0).alias("stage"), F.lit(0).alias("begin"), F.lit(0).alias("cut"), F.lit(0).alias("i"),
+        F.array().cast("array<struct<begin:int,end:int,cut:int>>").alias("out"),
+    )
+    spans = F.aggregate(pieces, zero, step, lambda state: state["out"])
+    return F.transform(
+        spans,
+        lambda s: F.substr(F.array_join(F.slice(pieces, s["begin"] + 1, s["end"] - s["begin"] + 1), ""), s["cut"]),
+    )
 
 
 def parse_kqa(rows: DataFrame, text: str) -> DataFrame:
     """Knowledge/Question/Answer blocks of each text, one row per block; incomplete blocks are skipped.
 
-    One pattern finds the blocks; inside a block the first labels divide it.
+    Inside a block the first labels divide it.
     """
 
     def after(part: Column, label: str) -> Column:
@@ -118,7 +156,7 @@ def parse_kqa(rows: DataFrame, text: str) -> DataFrame:
     knowledge = F.substr(F.substring_index(block, "\nQuestion: ", 1), F.lit(len("Knowledge: ") + 1))
     keep = [c for c in rows.columns if c != text]
     return (
-        rows.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(_KQA), 0)).alias("_block"))
+        rows.select(*keep, F.explode(_kqa_blocks(F.col(text))).alias("_block"))
         .select(
             *keep,
             strip(knowledge).alias("knowledge"),

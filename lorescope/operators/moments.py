@@ -1,9 +1,9 @@
 """Mergeable second-order statistics of feature vectors.
 
-Every partition reduces its vectors to a small state in long form, one row per
-pair of dimensions. States of any partitions, batches or days merge by plain
-aggregation, with the means combined before the deviations so that nothing is
-lost to cancellation.
+Every task reduces its vectors to a state of one row, matrices as bytes. States
+of any tasks, batches or days merge into one in a tree, deviations corrected by
+the distance of the means so that nothing is lost to cancellation; the long form,
+one row per pair of dimensions, is made from the last state only.
 """
 
 from __future__ import annotations
@@ -12,13 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATE = (
-    "i int, j int, n bigint, mean_i double, mean_j double, comoment double, square_i double, square_j double"
-)
-OVERLAP_STATE = "i int, j int, n bigint, both bigint, ones_i bigint, ones_j bigint"
+STATE = "n bigint, mean_i binary, mean_j binary, comoment binary, square_i binary, square_j binary"
+OVERLAP_STATE = "n bigint, ones_i binary, ones_j binary, both binary"
+MOMENTS = "i int, j int, n bigint, mean_i double, mean_j double, comoment double, square_i double, square_j double"
+OVERLAPS = "i int, j int, n bigint, ones_i bigint, ones_j bigint, both bigint"
+FAN = 32  # tasks of the first round of a merge
+
+Parts = tuple  # a count and the arrays of a state, in the order of its schema
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -26,70 +30,115 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if rows and flat.size % rows:
+    sizes = pc.min_max(pc.list_value_length(column)).as_py()
+    if sizes["min"] != sizes["max"]:
         raise ValueError("vectors of different length")
-    return flat.reshape(rows, -1)
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a vector has a gap")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _packed(state: Parts, schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    arrays = [pa.array([state[0]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in state[1:]]]
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _unpacked(batch: pa.RecordBatch, dtype: type) -> Iterator[Parts]:
+    """Count, then arrays; the matrix among them is shaped by the first two, which go with its sides."""
+    for row in range(batch.num_rows):
+        n, *blobs = (batch.column(c)[row] for c in range(batch.num_columns))
+        arrays = [np.frombuffer(x.as_buffer(), dtype).copy() for x in blobs]
+        yield (n.as_py(), *[x.reshape(len(arrays[0]), -1) if i == 2 else x for i, x in enumerate(arrays)])
+
+
+def _joined(a: Parts | None, b: Parts) -> Parts:
+    """Two moment states as one."""
+    if a is None:
+        return b
+    (n, ai, aj, cross, si, sj), (m, bi, bj, other, ti, tj) = a, b
+    di, dj, share = bi - ai, bj - aj, n * m / (n + m)
+    return (
+        n + m, ai + di * m / (n + m), aj + dj * m / (n + m), cross + other + share * np.outer(di, dj),
+        si + ti + share * di * di, sj + tj + share * dj * dj,
+    )
 
 
-def _long(names: list[str], left: int, right: int, columns: list[np.ndarray], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    i, j = np.indices((left, right))
-    arrays = [pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32())]
-    arrays += [pa.array(np.broadcast_to(c, (left, right)).ravel(), k) for c, k in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays(arrays, names=["i", "j", *names])
+def _added(a: Parts | None, b: Parts) -> Parts:
+    return b if a is None else tuple(x + y for x, y in zip(a, b))
 
 
-def partial_moments(df: DataFrame, left: str, right: str | None = None) -> DataFrame:
-    """One state per partition for the vectors in ``left``, or for ``left`` against ``right``."""
-    right = right or left
+def _reduced(df: DataFrame, left: str, right: str | None, one, join, schema: str) -> DataFrame:
+    """One state per task of the vectors in ``left``, or of ``left`` against ``right``."""
+    columns = [left] if right in (None, left) else [left, right]
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mean_a, mean_b, cross, square_a, square_b = 0, None, None, None, None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = _matrix(batch.column(0)), _matrix(batch.column(batch.num_columns - 1))
-            m, at, bt = len(a), a.mean(axis=0), b.mean(axis=0)
-            a, b = a - at, b - bt
-            if n == 0:
-                n, mean_a, mean_b = m, at, bt
-                cross, square_a, square_b = a.T @ b, (a * a).sum(axis=0), (b * b).sum(axis=0)
-                continue
-            da, db, share = at - mean_a, bt - mean_b, n * m / (n + m)
-            cross += a.T @ b + share * np.outer(da, db)
-            square_a += (a * a).sum(axis=0) + share * da * da
-            square_b += (b * b).sum(axis=0) + share * db * db
-            mean_a, mean_b, n = mean_a + da * m / (n + m), mean_b + db * m / (n + m), n + m
-        if n:
-            double = pa.float64()
-            yield _long(
-                ["n", "mean_i", "mean_j", "comoment", "square_i", "square_j"], len(mean_a), len(mean_b),
-                [np.array(n), mean_a[:, None], mean_b[None, :], cross, square_a[:, None], square_b[None, :]],
-                [pa.int64(), double, double, double, double, double],
-            )
-
-    columns = [left] if right == left else [left, right]
-    return df.select(*columns).dropna("any").mapInArrow(reduce, STATE)
+            if batch.num_rows:
+                state = join(state, one(_matrix(batch.column(0)), _matrix(batch.column(batch.num_columns - 1))))
+        if state is not None:
+            yield _packed(state, schema)
+
+    return df.select(*columns).dropna("any").mapInArrow(run, schema)
+
+
+def _merged(states: DataFrame, join, dtype: type, schema: str) -> DataFrame:
+    """All states as one, over FAN tasks and then in one; each task holds one state at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            for other in _unpacked(batch, dtype):
+                state = join(state, other)
+        if state is not None:
+            yield _packed(state, schema)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return states.select(*names).repartition(FAN).mapInArrow(run, schema).repartition(1).mapInArrow(run, schema)
+
+
+def _spread_out(state: DataFrame, dtype: type, schema: str) -> DataFrame:
+    """The long form of a merged state, some rows of the matrix at a time."""
+    kind = pa.int64() if dtype is np.int64 else pa.float64()
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, left, right, matrix, *squares in _unpacked(batch, dtype):
+                step = max(1, 100_000 // len(right))
+                for start in range(0, len(left), step):
+                    rows = slice(start, min(start + step, len(left)))
+                    shape = (rows.stop - rows.start, len(right))
+                    sides = [left[rows, None], right[None, :], matrix[rows], *([squares[0][rows, None], squares[1][None, :]] if squares else [])]
+                    i, j = np.indices(shape)
+                    arrays = [pa.array((i + start).ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(np.full(i.size, n), pa.int64())]
+                    arrays += [pa.array(np.broadcast_to(x, shape).ravel(), kind) for x in sides]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return state.mapInArrow(run, schema)
+
+
+def partial_moments(df: DataFrame, left: str, right: str | None = None) -> DataFrame:
+    """One state per task for the vectors in ``left``, or for ``left`` against ``right``."""
+
+    def one(a: np.ndarray, b: np.ndarray) -> Parts:
+        mean_a, mean_b = a.mean(axis=0), b.mean(axis=0)
+        a, b = a - mean_a, b - mean_b
+        return len(a), mean_a, mean_b, a.T @ b, (a * a).sum(axis=0), (b * b).sum(axis=0)
+
+    return _reduced(df, left, right, one, _joined, STATE)
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One moment state from any number of them."""
+    return _merged(states, _joined, np.float64, STATE)
 
 
 def merge_moments(states: DataFrame) -> DataFrame:
     """One row per pair of dimensions from any number of states."""
-    pair = W.partitionBy("i", "j")  # as many rows as there are states
-    total = F.sum("n").over(pair)
-    centred = states.select(
-        "*", total.alias("_n"),
-        (F.sum(F.col("n") * F.col("mean_i")).over(pair) / total).alias("_mi"),
-        (F.sum(F.col("n") * F.col("mean_j")).over(pair) / total).alias("_mj"),
-    )
-    di, dj, n = F.col("mean_i") - F.col("_mi"), F.col("mean_j") - F.col("_mj"), F.col("n")
-    return centred.groupBy("i", "j").agg(
-        F.sum("n").alias("n"),
-        F.max("_mi").alias("mean_i"),
-        F.max("_mj").alias("mean_j"),
-        F.sum(F.col("comoment") + n * di * dj).alias("comoment"),
-        F.sum(F.col("square_i") + n * di * di).alias("square_i"),
-        F.sum(F.col("square_j") + n * dj * dj).alias("square_j"),
-    )
+    return _spread_out(merge_states(states), np.float64, MOMENTS)
 
 
 def covariance(merged: DataFrame, unbiased: bool = True) -> DataFrame:
@@ -111,31 +160,24 @@ def second_moment(merged: DataFrame) -> DataFrame:
 
 
 def partial_overlaps(df: DataFrame, left: str, right: str | None = None) -> DataFrame:
-    """Per partition: how often dimensions are positive together, and each alone."""
-    right = right or left
+    """Per task: how often dimensions are positive together, and each alone."""
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, both, ones_a, ones_b = 0, 0, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a = (_matrix(batch.column(0)) > 0).astype(np.float64)
-            b = (_matrix(batch.column(batch.num_columns - 1)) > 0).astype(np.float64)
-            n, both = n + len(a), both + (a.T @ b).astype(np.int64)
-            ones_a, ones_b = ones_a + a.sum(axis=0).astype(np.int64), ones_b + b.sum(axis=0).astype(np.int64)
-        if n:
-            yield _long(
-                ["n", "both", "ones_i", "ones_j"], len(ones_a), len(ones_b),
-                [np.array(n), both, ones_a[:, None], ones_b[None, :]], [pa.int64()] * 4,
-            )
+    def one(a: np.ndarray, b: np.ndarray) -> Parts:
+        a, b = (a > 0).astype(np.float64), (b > 0).astype(np.float64)
+        counts = (a.sum(axis=0), b.sum(axis=0), a.T @ b)
+        return len(a), *[np.rint(x).astype(np.int64) for x in counts]
 
-    columns = [left] if right == left else [left, right]
-    return df.select(*columns).dropna("any").mapInArrow(reduce, OVERLAP_STATE)
+    return _reduced(df, left, right, one, _added, OVERLAP_STATE)
+
+
+def merge_overlaps(states: DataFrame) -> DataFrame:
+    """One overlap state from any number of them."""
+    return _merged(states, _added, np.int64, OVERLAP_STATE)
 
 
 def iou(states: DataFrame) -> DataFrame:
     """Intersection, union and their ratio for each pair of dimensions."""
-    sums = states.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("both", "ones_i", "ones_j")])
+    sums = _spread_out(merge_overlaps(states), np.int64, OVERLAPS)
     union = F.col("ones_i") + F.col("ones_j") - F.col("both")
     return sums.select(
         "i", "j", F.col("both").alias("intersection"), union.alias("union"),
@@ -143,17 +185,21 @@ def iou(states: DataFrame) -> DataFrame:
     )
 
 
+def moment_matrix(moment: DataFrame) -> np.ndarray:
+    """The d x d second moment on the driver, as one array."""
+    entries = F.array_sort(F.collect_list(F.struct("i", "j", "moment")))
+    flat = np.array(moment.agg(F.transform(entries, lambda e: e["moment"]).alias("m")).first()["m"], float)
+    side = int(round(len(flat) ** 0.5))
+    return flat.reshape(side, side)
+
+
 def whiten(df: DataFrame, moment: DataFrame, key: str, vector: str) -> DataFrame:
     """Direction of (second moment)^-1 x for every vector x, with unit length.
 
     The moment is d x d whatever the number of rows; it is inverted once and
     shipped with the tasks.
     """
-    entries = moment.collect()  # d x d
-    size = max(r["i"] for r in entries) + 1
-    matrix = np.zeros((size, size))
-    for row in entries:
-        matrix[row["i"], row["j"]] = row["moment"]
+    matrix = moment_matrix(moment)
     inverse = np.linalg.inv(matrix)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorescope.operators.joins import same_keys
 from lorescope.operators.mining import CALL_FIELDS, call_rows
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -36,7 +37,7 @@ def judge_once(requests: DataFrame, key: Sequence[str], make_scorer: Callable[[]
     ``key`` are the columns the reply depends on; the scorer sees only those.
     """
     replies = score(requests.select(*key).distinct(), make_scorer, schema)
-    return requests.join(replies, list(key), "left")
+    return same_keys(requests, replies, key)
 
 
 class Statistic(Protocol):

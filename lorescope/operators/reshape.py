@@ -9,51 +9,42 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lorescope.functions import names
-from lorescope.functions.hashing import hash32
+from lorescope.functions.hashing import hash60
 from lorescope.functions.text import strip
 from lorescope.operators.ordering import dense_index, position_in_group
 from lorescope.session import broadcast_if_small, cut_lineage
 
-PART_SIZE = 1000  # facts one nested row may hold; longer lists go on in further parts
-
 
 def flatten_probes(items: DataFrame, key: str = "item_id", facts: str = "probe_questions") -> DataFrame:
     """One row per usable fact with a dense global id in (item, position) order.
 
     A fact without question or answer is dropped; missing knowledge reads 'None'.
-    Items split into parts keep their order through ``part``.
     """
-    part = F.col("part") if "part" in items.columns else F.lit(0)
     flat = (
-        items.select(key, part.alias("_part"), F.posexplode(facts).alias("_pos", "_fact"))
+        items.select(key, F.posexplode(facts).alias("_pos", "_fact"))
         .filter("_fact.question is not null and _fact.answer is not null")
         .select(
-            F.col(key).alias("complex_question_id"), "_part", "_pos",
+            F.col(key).alias("complex_question_id"), "_pos",
             F.col("_fact.question").alias("question"),
             F.col("_fact.answer").alias("answer"),
             F.coalesce("_fact.knowledge", F.lit("None")).alias("knowledge"),
         )
     )
     kept = ["complex_question_id", "question", "answer", "knowledge"]
-    return dense_index(flat, ["complex_question_id", "_part", "_pos"], "id", keep=kept)
+    return dense_index(flat, ["complex_question_id", "_pos"], "id", keep=kept)
 
 
-def nest(
-    items: DataFrame, facts: DataFrame, fields: Sequence[str], name: str, key: str = "item_id", part_size: int = PART_SIZE
-) -> DataFrame:
-    """Left join of items with their facts as an ordered array; empty array if none.
+def nest(items: DataFrame, facts: DataFrame, fields: Sequence[str], name: str, key: str = "item_id") -> DataFrame:
+    """Left join of items with their facts as an ordered array; one row per item, empty array if it has none.
 
-    ``facts`` has ``pos`` within the item. One row holds at most ``part_size``
-    facts, a longer list continues in rows with ``part`` 1, 2, ...
+    ``facts`` has ``pos`` within the item. A row is as long as its item; where
+    items may hold very many facts, stay with the long form (item, pos, ...).
     """
-    rows = facts.groupBy(key, F.floor(F.col("pos") / part_size).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_rows")
-    )
+    rows = facts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_rows"))
     bare = F.transform("_rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))
     return (
         items.join(rows, key, "left")
         .withColumn(name, F.when(F.col("_rows").isNull(), F.array()).otherwise(bare))
-        .withColumn("part", F.coalesce("part", F.lit(0)))
         .drop("_rows")
     )
 
@@ -82,7 +73,7 @@ def pair_locality(probes: DataFrame, attempts: int = 3) -> DataFrame:
 
     total = slim.count()
     tries = slim.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    offset = hash32(F.concat_ws("|", F.col("id").cast("string"), F.col("k").cast("string"))) % F.lit(max(total - 1, 1))
+    offset = hash60(F.concat_ws("|", F.col("id").cast("string"), F.col("k").cast("string"))) % F.lit(max(total - 1, 1))
     tries = tries.withColumn("other", (F.col("id") + 1 + offset) % F.lit(max(total, 1)))
     others = slim.select(F.col("id").alias("other"), F.col("p").alias("op"), F.col("q").alias("oq"))
     # (attempt, partner) in one number, so that the first that fits is a plain minimum.
@@ -153,9 +144,9 @@ def facts_to_inject(grouped: DataFrame, facts: DataFrame, only_unknown: bool = T
 
 
 # The wording models are prompted with, by task.
-_WITH_FACTS = "User:\n[Q]\nPlease update your knowledge with the following facts:\n[F]\nAssistant:\n"
-_CODE_WITH_FACTS = "User:\n[Q]\nPlease update your knowledge with following facts:\n[F]\nAssistant:\n"
-_WITHOUT_FACTS = "User:\n[Q]\nAssistant:\n"
+_USER, _ASSISTANT = "User:\n", "\nAssistant:\n"
+_UPDATE = "\nPlease update your knowledge with the following facts:\n"
+_CODE_UPDATE = "\nPlease update your knowledge with following facts:\n"
 
 
 def build_prompt(grouped: DataFrame, injected: DataFrame, code_tasks: Sequence[str] = ("code",)) -> DataFrame:
@@ -168,12 +159,11 @@ def build_prompt(grouped: DataFrame, injected: DataFrame, code_tasks: Sequence[s
             F.transform(F.array_sort(F.collect_list(F.struct("idx", "pos", "knowledge"))), lambda r: r["knowledge"]), " "
         ).alias("_facts")
     )
-    with_facts = F.when(F.col("task").isin(*code_tasks), _CODE_WITH_FACTS).otherwise(_WITH_FACTS)
-    template = F.when(F.coalesce("_facts", F.lit("")) != "", with_facts).otherwise(_WITHOUT_FACTS)
-    filled = F.replace(template, F.lit("[Q]"), F.col("question"))
-    return grouped.join(texts, ["scope", "group_id"], "left").select(
-        "item_id", "scope", F.replace(filled, F.lit("[F]"), F.coalesce("_facts", F.lit(""))).alias("prompt")
-    )
+    facts = F.coalesce("_facts", F.lit(""))
+    update = F.when(F.col("task").isin(*code_tasks), _CODE_UPDATE).otherwise(_UPDATE)
+    with_facts = F.when(facts != "", F.concat(update, facts)).otherwise("")
+    prompt = F.concat(F.lit(_USER), F.col("question"), with_facts, F.lit(_ASSISTANT))
+    return grouped.join(texts, ["scope", "group_id"], "left").select("item_id", "scope", prompt.alias("prompt"))
 
 
 def attach_context(results: DataFrame, raw: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -226,7 +216,7 @@ def model_dim(
 
 
 def display_names(runs: DataFrame) -> DataFrame:
-    """Add the names reports use for task and method; unknown ones keep their own."""
+    """Add the names reports use for task, model and method; unknown ones keep their own."""
 
     def named(column: str, table: Mapping[str, str], otherwise: Column) -> Column:
         return F.coalesce(*[F.when(F.col(column) == k, F.lit(v)) for k, v in table.items()], otherwise)
@@ -234,7 +224,11 @@ def display_names(runs: DataFrame) -> DataFrame:
     method = F.when((F.col("model") == names.THINKING_ONLY) & (F.col("method") == "base"), names.METHODS["append_t"]).otherwise(
         named("method", names.METHODS, F.col("method"))
     )
-    return runs.withColumns({"task_name": named("task", names.TASKS, F.upper("task")), "method_name": method})
+    return runs.withColumns({
+        "task_name": named("task", names.TASKS, F.upper("task")),
+        "model_name": named("model", names.MODELS, F.col("model")),
+        "method_name": method,
+    })
 
 
 def usage_totals(usage: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -298,7 +292,7 @@ def subset(rows: DataFrame, key: str, n: int, pseudorandom: bool = True, where:
     """n rows: the first by key, or a fixed pseudorandom choice; all when there are fewer."""
     if where is not None:
         rows = rows.filter(where)
-    order = [hash32(F.col(key).cast("string")), F.col(key)] if pseudorandom else [F.col(key)]
+    order = [hash60(F.col(key).cast("string")), F.col(key)] if pseudorandom else [F.col(key)]
     return rows.orderBy(*order).limit(n)
 
 

@@ -106,11 +106,9 @@ def retrieve_best(queries: DataFrame, facts: DataFrame, by: Sequence[str], text:
 
 
 # How a subquestion is put to the model, with and without a fact.
-_WITH = (
-    "Subquestion: [Q]\nRelevant Fact: [F]\n\n"
-    "From the provided fact, answer the given subquestion as concisely as possible.\nAnswer:"
-)
-_WITHOUT = "Subquestion: [Q]\n\nAnswer the given subquestion as concisely as possible.\nAnswer:"
+_ASK, _FACT = "Subquestion: ", "\nRelevant Fact: "
+_WITH = "\n\nFrom the provided fact, answer the given subquestion as concisely as possible.\nAnswer:"
+_WITHOUT = "\n\nAnswer the given subquestion as concisely as possible.\nAnswer:"
 
 
 def use_if_relevant(asked: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
@@ -119,8 +117,7 @@ def use_if_relevant(asked: DataFrame, verdicts: DataFrame, key: str) -> DataFram
     ``asked`` has subquestion and retrieved; ``verdicts`` the judge's reply.
     """
     relevant = F.contains(F.lower(F.coalesce("verdict_text", F.lit(""))), F.lit("yes")) & (F.col("retrieved") != "")
-    prompt = F.when(relevant, F.replace(F.replace(F.lit(_WITH), F.lit("[Q]"), F.col("subquestion")), F.lit("[F]"), F.col("retrieved"))).otherwise(
-        F.replace(F.lit(_WITHOUT), F.lit("[Q]"), F.col("subquestion"))
-    )
+    rest = F.when(relevant, F.concat(F.lit(_FACT), "retrieved", F.lit(_WITH))).otherwise(F.lit(_WITHOUT))
+    prompt = F.concat(F.lit(_ASK), "subquestion", rest)
     joined = asked.join(verdicts.select(key, "verdict_text"), key, "left")
     return joined.withColumns({"relevant": relevant, "prompt": prompt}).drop("verdict_text")

@@ -84,8 +84,9 @@ def exact_quantiles(long: DataFrame, group: str, value: str, key: str, parts: Se
     Sample i of n stands at (i - 1/2)/n, the extremes at 0 and 1. Values are
     ranked across range-partitioned chunks, so a large group is not sorted by
     one task; only the ranks next to a wanted quantile leave that step. Ranks
-    are computed in whole numbers.
+    are computed in whole numbers. NULLs take no part.
     """
+    long = long.filter(F.col(value).isNotNull())
     ranked = position_in_group(long.select(group, value, key), [group], [value, key], "_rank")
     sizes = long.groupBy(group).agg(F.count(value).alias("_n"))
     scaled = 2 * F.col("part") * F.col("_n") + F.lit(of)  # (q n + 1/2) * 2 of

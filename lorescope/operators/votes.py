@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorescope.functions.text import verdict, verdict_explanation
+from lorescope.operators.joins import same_keys
 
 
 def answer_freq(votes: DataFrame, key: str = "probe_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -30,7 +31,7 @@ def read_verdicts(judged: DataFrame, text: str = "verdict_text") -> DataFrame:
 
 def fan_out(votes: DataFrame, verdicts: DataFrame, key: str = "probe_id") -> DataFrame:
     """Give every vote the verdict of its distinct answer."""
-    return votes.join(verdicts.select(key, "answer", "equivalent", "explanation"), [key, "answer"], "left")
+    return same_keys(votes, verdicts.select(key, "answer", "equivalent", "explanation"), [key, "answer"])
 
 
 def merge_equivalent(freq: DataFrame, verdicts: DataFrame, key: str = "probe_id") -> DataFrame:
@@ -38,7 +39,7 @@ def merge_equivalent(freq: DataFrame, verdicts: DataFrame, key: str = "probe_id"
 
     ``merged_answer`` is NULL for that row, so no answer text can be taken for it.
     """
-    judged = freq.join(verdicts.select(key, "answer", "equivalent"), [key, "answer"], "left")
+    judged = same_keys(freq, verdicts.select(key, "answer", "equivalent"), [key, "answer"])
     is_truth = F.coalesce("equivalent", F.lit(False))
     return judged.groupBy(key, is_truth.alias("is_truth"), F.when(~is_truth, F.col("answer")).alias("merged_answer")).agg(
         F.sum("freq").alias("freq")
@@ -77,7 +78,7 @@ def majority(judged: DataFrame, truth: DataFrame, key: str = "probe_id") -> Data
 
 def evaluate_probes(votes: DataFrame, verdicts: DataFrame, truth: DataFrame, key: str = "probe_id") -> DataFrame:
     """Votes judged by a separate verdict table."""
-    judged = answer_freq(votes, key).join(verdicts.select(key, "answer", "equivalent"), [key, "answer"], "left")
+    judged = same_keys(answer_freq(votes, key), verdicts.select(key, "answer", "equivalent"), [key, "answer"])
     return majority(judged, truth, key)
 
 

@@ -94,6 +94,6 @@ def r6(t):
 
 @query("r7_sample", "WITH " + _POOL + """
     SELECT model, domain, task, idx, llm_label, question, context FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY
-      ('0x' || substr(md5(concat_ws('|', domain, idx)), 1, 8))::BIGINT, domain, idx) AS rn FROM pool) x WHERE rn <= 50""")
+      ('0x' || substr(md5(concat_ws('|', domain, idx)), 1, 15))::BIGINT, domain, idx) AS rn FROM pool) x WHERE rn <= 50""")
 def r7(t):
     return G.sample_per_task(pool(t), 50, ["domain", "idx"])

@@ -14,6 +14,7 @@ _WALKED_SQL = ", ".join(f"'{p}'" for p in WALKED)
 SUBJECT_RULES = {"placed_by": "order", "lives_in": "party", "top_customer": "place"}
 OBJECT_RULES = {"placed_by": "agent", "lives_in": "place", "based_in": "agent"}
 DAY = "2026-01-05"
+DEPTHS = (2, 3, 4, 5, 6)
 TEMPLATES = {
     "placed_by": ("Who placed [S]?", "[S] was placed by ___.", "the buyer of [S]"),
     "contains": ("What does [S] contain?", "[S] contains ___.", "the part in [S]"),
@@ -40,7 +41,8 @@ def bad_triples(t: Inputs) -> DataFrame:
 
 
 def edges(t: Inputs) -> DataFrame:
-    return B.single_valued(B.allowed_props(B.exclude_known_bad(t.triples, bad_triples(t)), WALKED))
+    allowed = B.allowed_props(t.triples, WALKED)
+    return B.walkable(allowed, bad_triples(t), t.entity_labels, t.prop_labels, typed(t), SUBJECT_RULES, OBJECT_RULES)
 
 
 def starts(t: Inputs) -> DataFrame:
@@ -127,7 +129,7 @@ def b7(t):
 
 @query("b8_sample", """
     SELECT id, links FROM (SELECT obj AS id, count(*) AS links FROM {triples} GROUP BY obj HAVING count(*) >= 5) p
-    ORDER BY ('0x' || substr(md5(id), 1, 8))::BIGINT, id LIMIT 500""")
+    ORDER BY ('0x' || substr(md5(id), 1, 15))::BIGINT, id LIMIT 500""")
 def b8(t):
     return B.sample_starts(B.popular(t.triples), 500)
 
@@ -144,39 +146,46 @@ def b9(t):
     )
 
 
-def _walk_sql(depth: int) -> str:
-    """CTEs up to ``chains``: one block per hop, the longest chain of each start wins."""
-    parts = [_BAD, f"""edges AS (SELECT subj, prop, min(obj) AS obj, min(prop_rank) AS prop_rank FROM {{triples}} t WHERE prop IN ({_WALKED_SQL})
-        AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.subj = t.subj AND b.prop = t.prop AND b.obj = t.obj) GROUP BY subj, prop HAVING count(*) = 1)""",
-        "hop0 AS (SELECT concat('O', o_orderkey) AS start, [concat('O', o_orderkey)] AS path, []::VARCHAR[] AS props FROM {orders})"]
-    for hop in range(1, depth + 1):
-        parts.append(f"""hop{hop} AS (SELECT start, list_append(path, obj) AS path, list_append(props, prop) AS props FROM (
-          SELECT *, row_number() OVER (PARTITION BY start ORDER BY prop_rank, prop, obj) AS rn FROM hop{hop - 1} JOIN edges ON subj = path[-1]
-          WHERE NOT list_contains(path, obj) AND NOT list_contains(props, prop)) x WHERE rn = 1)""")
-    every = " UNION ALL ".join(f"SELECT * FROM hop{h}" for h in range(depth + 1))
-    parts.append(f"""chains AS (SELECT start, path, props FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(path) DESC) AS rn
-        FROM ({every}) u) v WHERE rn = 1)""")
-    return "WITH " + ",\n".join(parts)
-
-
-@query("b10_walk", _walk_sql(6) + """
+# The walk as the rule says it: of all claims of the subject, a property counts when it has one claim; that claim must
+# not be known to be bad, have usable labels and the classes asked for, and lead somewhere new by a new property.
+_WALK = "WITH RECURSIVE " + _CLOSURE + ", " + _LABELLED + ", " + _BAD + f""",
+    counted AS (SELECT *, count(*) OVER (PARTITION BY subj, prop) AS claims FROM labelled),
+    ranks AS (SELECT DISTINCT prop, prop_rank FROM {{triples}}),
+    edges AS (SELECT c.subj, c.prop, c.obj, prop_rank FROM counted c JOIN ranks r ON c.prop = r.prop
+      WHERE c.prop IN ({_WALKED_SQL}) AND claims = 1
+        AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.subj = c.subj AND b.prop = c.prop AND b.obj = c.obj)
+        AND prop_label <> '' AND {_OK.format(c='subj_label')} AND {_OK.format(c='obj_label')}
+        AND (c.prop <> 'placed_by' OR EXISTS (SELECT 1 FROM typed t WHERE t.subj = c.subj AND target = 'order'))
+        AND (c.prop <> 'lives_in' OR EXISTS (SELECT 1 FROM typed t WHERE t.subj = c.subj AND target = 'party'))
+        AND (c.prop <> 'top_customer' OR EXISTS (SELECT 1 FROM typed t WHERE t.subj = c.subj AND target = 'place'))
+        AND (c.prop <> 'lives_in' OR EXISTS (SELECT 1 FROM typed t WHERE t.subj = c.obj AND target = 'place'))
+        AND (c.prop NOT IN ('placed_by', 'based_in') OR EXISTS (SELECT 1 FROM typed t WHERE t.subj = c.obj AND target = 'agent'))),
+    walk AS (SELECT concat('O', o_orderkey) AS start, [concat('O', o_orderkey)] AS path, []::VARCHAR[] AS props, 0 AS hops FROM {{orders}}
+      UNION ALL SELECT start, list_append(path, obj), list_append(props, prop), hops + 1 FROM (
+        SELECT w.*, prop, obj, row_number() OVER (PARTITION BY start ORDER BY prop_rank, prop, obj) AS rn FROM walk w JOIN edges ON subj = path[-1]
+        WHERE hops < 6 AND NOT list_contains(path, obj) AND NOT list_contains(props, prop)) x WHERE rn = 1),
+    chains AS (SELECT start, arg_max(path, hops) AS path, arg_max(props, hops) AS props FROM walk GROUP BY start)"""
+
+
+@query("b10_walk", _WALK + """
     SELECT start, len(props)::INT AS hops, array_to_string(path, '>') AS path, array_to_string(props, '>') AS props FROM chains""")
 def b10(t):
-    chains = B.walk_chains(starts(t), edges(t), 6)
+    chains = B.walk_chains(starts(t), edges(t), max(DEPTHS))
     return chains.select("start", F.size("props").alias("hops"), F.array_join("path", ">").alias("path"), F.array_join("props", ">").alias("props"))
 
 
-@query("b11_exact_depth", _walk_sql(4) + """
-    SELECT start, array_to_string(path, '>') AS path FROM chains WHERE len(path) = 5""")
+@query("b11_exact_depth", _WALK + """
+    SELECT start, hops::INT AS depth, array_to_string(path, '>') AS path FROM walk WHERE hops BETWEEN 2 AND 6""")
 def b11(t):
-    return B.exact_depth(B.walk_chains(starts(t), edges(t), 4), 4).select("start", F.array_join("path", ">").alias("path"))
+    chains = B.at_depths(B.walk_chains(starts(t), edges(t), max(DEPTHS)), DEPTHS)
+    return chains.select("start", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query("b12_depth_strata", """
     SELECT id, ([2, 3, 4, 5, 6])[((row_number() OVER (ORDER BY id) - 1) * 5 // (count(*) OVER ()) + 1)::INT]::INT AS depth
     FROM (SELECT concat('O', o_orderkey) AS id FROM {orders}) x""")
 def b12(t):
-    return B.stratify_depth(starts(t), [2, 3, 4, 5, 6])
+    return B.stratify_depth(starts(t), DEPTHS)
 
 
 def _case(column: str, part: int) -> str:
@@ -199,22 +208,16 @@ def b13(t):
 def asked_chains(t: Inputs) -> DataFrame:
     """Chains of at least one hop with the label of their head."""
     heads = t.entity_labels.select(F.col("id").alias("start"), F.col("label").alias("head"))
-    return B.walk_chains(starts(t), edges(t), 4).filter(F.size("props") > 0).join(heads, "start")
+    return B.walk_chains(starts(t), edges(t), max(DEPTHS)).filter(F.size("props") > 0).join(heads, "start")
 
 
 _COMPOSED = """heads AS (SELECT c.*, label AS head FROM chains c JOIN {entity_labels} ON start = id WHERE len(props) > 0)"""
 
 
-def _fold_sql() -> str:
-    """Nest at most four hops: each level replaces [S] by what is built so far."""
-    built = "head"
-    for i in range(1, 4):
-        built = f"CASE WHEN len(props) > {i} THEN replace({_case(f'props[{i}]', 2)}, '[S]', {built}) ELSE {built} END"
-    return f"replace({_case('props[-1]', 0)}, '[S]', {built})"
-
-
-@query("b14_compose", _walk_sql(4) + ", " + _COMPOSED + f""",
-    asked AS (SELECT start, {_fold_sql()} AS q FROM heads)
+@query("b14_compose", _WALK + ", " + _COMPOSED + f""",
+    fold AS (SELECT start, props, head AS built, 1 AS i FROM heads
+      UNION ALL SELECT start, props, replace({_case('props[i]', 2)}, '[S]', built), i + 1 FROM fold WHERE i < len(props)),
+    asked AS (SELECT start, replace({_case('props[i]', 0)}, '[S]', built) AS q FROM fold WHERE i = len(props))
     SELECT start, concat('By Jan. 05, 2026, ', lower(q[1]), q[2:]) AS question FROM asked""")
 def b14(t):
     question = B.compose_question(F.col("props"), F.col("head"), TEMPLATES, F.lit(DAY).cast("date"))
@@ -224,14 +227,18 @@ def b14(t):
 _NAMES_SQL = "CASE p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PROP_NAMES.items()) + " END"
 
 
-@query("b15_possessive", _walk_sql(4) + ", " + _COMPOSED + f"""
+@query("b15_possessive", _WALK + ", " + _COMPOSED + f"""
     SELECT start, concat('What is ', head, '''s ', array_to_string(list_transform(props, lambda p: {_NAMES_SQL}), '''s '), '?') AS question FROM heads""")
 def b15(t):
     return asked_chains(t).select("start", B.possessive_question(F.col("props"), F.col("head"), PROP_NAMES).alias("question"))
 
 
 @query("b16_similar", """
-    SELECT subj, class, coalesce(lead(subj) OVER w, first_value(subj) OVER w) AS similar FROM {instance_of}
-    WINDOW w AS (PARTITION BY class ORDER BY md5(subj), subj)""")
+    WITH classes AS (SELECT * FROM {instance_of} UNION ALL SELECT id, 'popular' FROM (SELECT obj AS id FROM {triples} GROUP BY obj HAVING count(*) >= 5) p),
+    firsts AS (SELECT subj, min(class) AS class FROM classes GROUP BY subj)
+    SELECT subj, class, coalesce(lead(subj) OVER w, first_value(subj) OVER w) AS similar FROM firsts
+    WHERE class IN (SELECT class FROM firsts GROUP BY class HAVING count(*) > 1) WINDOW w AS (PARTITION BY class ORDER BY md5(subj), subj)""")
 def b16(t):
-    return B.similar_entity(t.instance_of)
+    # Popular entities have a second class, which comes first only where its name does.
+    more = B.popular(t.triples).select(F.col("id").alias("subj"), F.lit("popular").alias("class"))
+    return B.similar_entity(B.first_class(t.instance_of.unionByName(more), "class"))

@@ -11,7 +11,7 @@ from lorescope.plans.views import LINE_ORDER
 
 TASKS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 SCOPES = (1, 10, 100, 500)
-REPLICATES = 20  # of the hashed bootstrap, which costs replicates x rows
+REPLICATES = 1000
 GRID = ("task", "model", "method")
 
 
@@ -53,23 +53,28 @@ _CELLS = """cells AS (SELECT task, model, method, count(*) AS n, count(*) FILTER
       count(*) FILTER (WHERE ap AND NOT fke) AS ap_only, count(*) FILTER (WHERE fke AND NOT ap) AS fke_only
       FROM {scored} GROUP BY task, model, method)"""
 
-BOOTSTRAP_SQL = "WITH " + _CELLS + f""",
-    draws AS (SELECT *, ('0x' || substr(md5(concat_ws('|', task, model, method, rep, draw)), 1, 8))::BIGINT % n AS u
-      FROM (SELECT *, unnest(range(n)) AS draw FROM (SELECT *, unnest(range({REPLICATES})) AS rep FROM cells) a) b),
-    reps AS (SELECT task, model, method, rep,
-        count(*) FILTER (WHERE u < both_ok) * 100 / max(n) AS hp,
-        count(*) FILTER (WHERE u < both_ok + ap_only) * 100 / max(n) AS ap,
-        count(*) FILTER (WHERE u < both_ok OR (u >= both_ok + ap_only AND u < both_ok + ap_only + fke_only)) * 100 / max(n) AS fke
-      FROM draws GROUP BY task, model, method, rep),
-    long AS (SELECT task, model, method, 'hp' AS metric, hp AS rate FROM reps UNION ALL SELECT task, model, method, 'ap', ap FROM reps
-      UNION ALL SELECT task, model, method, 'fke', fke FROM reps),
-    bounds AS (SELECT task, model, method, metric, quantile_cont(rate, 0.025) AS lower, quantile_cont(rate, 0.975) AS upper
-      FROM long GROUP BY task, model, method, metric),
-    seen AS (SELECT task, model, method, 'hp' AS metric, both_ok * 100 / n AS observed FROM cells
-      UNION ALL SELECT task, model, method, 'ap', (both_ok + ap_only) * 100 / n FROM cells
-      UNION ALL SELECT task, model, method, 'fke', (both_ok + fke_only) * 100 / n FROM cells),
-    ci AS (SELECT task, model, method, metric, observed, lower, upper, (lower + upper) / 2 AS midpoint, (upper - lower) / 2 AS margin
-      FROM bounds JOIN seen USING (task, model, method, metric))"""
+_PLACES = M.interval_places(REPLICATES)
+_SEEN = """seen AS (SELECT task, model, method, 'hp' AS metric, both_ok::DOUBLE AS hits, n::DOUBLE AS n FROM cells
+      UNION ALL SELECT task, model, method, 'ap', (both_ok + ap_only)::DOUBLE, n::DOUBLE FROM cells
+      UNION ALL SELECT task, model, method, 'fke', (both_ok + fke_only)::DOUBLE, n::DOUBLE FROM cells)"""
+
+# Draws at the places of the two percentiles among 1000 sorted ones, by inverting the binomial distribution of hits.
+BOOTSTRAP_SQL = "WITH " + _CELLS + ", " + _SEEN + f""",
+    draws AS (SELECT task, model, method, metric, ('0x' || substr(md5(concat_ws('|', task, model, method, metric, rep)), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u
+      FROM seen, range({REPLICATES}) r(rep)),
+    sorted AS (SELECT *, row_number() OVER (PARTITION BY task, model, method, metric ORDER BY u) - 1 AS place FROM draws),
+    counted AS (SELECT *, hits / n AS p, unnest(range(0, n::BIGINT + 1))::DOUBLE AS k FROM seen),
+    chances AS (SELECT *, CASE WHEN hits = 0 OR hits = n THEN (k = hits)::INT::DOUBLE ELSE {M.binomial_sql('n', 'k', 'p')} END AS chance FROM counted),
+    summed AS (SELECT *, sum(chance) OVER (PARTITION BY task, model, method, metric ORDER BY k) AS cdf FROM chances),
+    found AS (SELECT d.task, d.model, d.method, d.metric, place, min(k) AS hits FROM sorted d JOIN summed s
+        ON d.task = s.task AND d.model = s.model AND d.method = s.method AND d.metric = s.metric AND cdf >= u
+      WHERE place IN ({", ".join(str(p) for a, b, _ in _PLACES for p in (a, b))}) GROUP BY ALL),
+    bounds AS (SELECT task, model, method, metric, """ + ", ".join(
+    f"max(hits) FILTER (WHERE place = {a}) + {part!r} * (max(hits) FILTER (WHERE place = {b}) - max(hits) FILTER (WHERE place = {a})) AS {name}"
+    for name, (a, b, part) in zip(("low", "high"), _PLACES)) + """ FROM found GROUP BY ALL),
+    ci AS (SELECT s.task, s.model, s.method, s.metric, s.hits * 100 / n AS observed, low * 100 / n AS lower, high * 100 / n AS upper,
+        (low + high) / 2 * 100 / n AS midpoint, (high - low) / 2 * 100 / n AS margin
+      FROM bounds b JOIN seen s ON s.task = b.task AND s.model = b.model AND s.method = b.method AND s.metric = b.metric)"""
 
 
 @query("m5_bootstrap", BOOTSTRAP_SQL + """
@@ -80,9 +85,25 @@ def m5(t):
     return rounded(ci, "observed", "lower", "upper", "midpoint", "margin")
 
 
-@query("m5b_multinomial")
+# How far a percentile of 1000 multinomial draws may lie from that of the normal distribution: its own spread, about
+# 0.085 standard deviations, five times, and one item for the steps of counts.
+_NEAR = "abs({bound} - ({rate} {sign} 1.959964 * {sd})) <= 0.45 * {sd} + 100.0 / n"
+
+
+@query("m5b_multinomial", """
+    WITH cells AS (SELECT task, model, method, scope, count(*) AS n, count(*) FILTER (WHERE ap AND fke) AS hp, count(*) FILTER (WHERE ap) AS ap,
+      count(*) FILTER (WHERE fke) AS fke FROM {scored} GROUP BY ALL),
+    long AS (UNPIVOT cells ON hp, ap, fke INTO NAME metric VALUE hits)
+    SELECT task, model, method, scope, metric, n, round(hits * 100 / n, 6) AS observed, true AS lower_near, true AS upper_near FROM long""")
 def m5b(t):
-    return M.bootstrap_ci(M.cell_counts(scored(t), M.RUN_KEY), M.RUN_KEY)
+    cells = M.cell_counts(scored(t), M.RUN_KEY)
+    ci = M.bootstrap_ci(cells, M.RUN_KEY, REPLICATES).join(cells.select(*M.RUN_KEY, "n"), list(M.RUN_KEY))
+    sd = "sqrt(observed * (100 - observed) / n)"
+    return rounded(ci, "observed").select(
+        *M.RUN_KEY, "metric", "n", "observed",
+        F.expr(_NEAR.format(bound="lower", rate="observed", sign="-", sd=sd)).alias("lower_near"),
+        F.expr(_NEAR.format(bound="upper", rate="observed", sign="+", sd=sd)).alias("upper_near"),
+    )
 
 
 def _pivot_sql(tasks, columns):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorescope.operators import metrics as M
-from lorescope.operators.ordering import position_in_group
+from lorescope.operators.ordering import dense_index, position_in_group
+from lorescope.operators.reshape import display_names
 from lorescope.plans.metric_queries import BOOTSTRAP_SQL, GRID, LINKS_SQL, REPLICATES, TASKS, fact_matrix, scored
 from lorescope.plans.registry import Inputs, query
-from lorescope.plans.reshape_queries import raw_items
+from lorescope.plans.reshape_queries import MODEL_IDS_SQL, MODEL_NAMES_SQL, model_id, raw_items
 from lorescope.session import scratch_path
 from lorescope.sources import records as A
 from lorescope.sources import report
@@ -76,14 +77,18 @@ def a4(t):
 
 
 @query("a5_patch", """
-    SELECT item_id, CASE WHEN done THEN 'kept' ELSE 'patched' END AS origin, final_answer_correct AS ap FROM {items}""")
+    SELECT row_number() OVER (ORDER BY item_id) - 1 AS place, item_id, CASE WHEN done THEN 'kept' ELSE 'patched' END AS origin, final_answer_correct AS ap FROM {items}""")
 def a5(t):
     items = t.items
 
     def judge(rows, origin="patched"):
         return rows.select("item_id", F.lit(origin).alias("origin"), M.answer_pass(F.col("final_answer_correct")).alias("ap"))
 
-    return A.patch_missing(items, judge(items.filter("done"), "kept"), ["item_id"], judge)
+    patched = A.patch_missing(items, judge(items.filter("done"), "kept"), ["item_id"], judge, order=["item_id"])
+    # The place of a row as it comes back: rows before its partition and in it.
+    path = scratch_path(t.spark, "patched")
+    patched.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    return dense_index(t.spark.read.parquet(path), ["_at"], "place", keep=["item_id", "origin", "ap"])
 
 
 @query("a6_stat_roundtrip", """
@@ -102,15 +107,18 @@ _CELL = r"""CASE WHEN best THEN printf('\textbf{%.1f} \textsubscript{$\pm$ %.1f}
       ELSE printf('%.1f \textsubscript{$\pm$ %.1f}', round_even(round(midpoint, 6), 1), round_even(round(margin, 6), 1)) END"""
 
 
-@query("a7_report_rows", BOOTSTRAP_SQL + f""",
-    flagged AS (SELECT *, abs(midpoint - max(midpoint) OVER (PARTITION BY task, metric)) < 1e-5 AS best FROM ci),
+@query("a7_report_rows", BOOTSTRAP_SQL + """,
+    named AS (SELECT * REPLACE (CASE method WHEN 'original' THEN 'Base Model' WHEN 'base' THEN CASE WHEN model = '5-LOW' THEN 'Append-T' ELSE 'Append' END ELSE 'MeLLo' END AS method,
+        """ + MODEL_NAMES_SQL.replace("CASE model", "CASE " + MODEL_IDS_SQL).replace("ELSE model", "ELSE " + MODEL_IDS_SQL) + f""" AS model) FROM ci),
+    flagged AS (SELECT *, abs(midpoint - max(midpoint) OVER (PARTITION BY task, metric)) < 1e-5 AS best FROM named),
     shown AS (SELECT task, model, method, metric, {_CELL} AS cell FROM flagged)
     SELECT model, method, concat(model, ' & ', method""" + "".join(
     f", ' & ', coalesce(max(cell) FILTER (WHERE task = '{t}' AND metric = '{m}'), ' ')" for t in TASKS for m in _SHOWN)
     + r", ' \\') AS line FROM shown GROUP BY model, method")
 def a7(t):
     ci = M.bootstrap_hashed(M.cell_counts(scored(t), GRID), GRID, REPLICATES)
-    return report.emit_table(ci, TASKS, _SHOWN)
+    shown = display_names(ci.withColumn("model", model_id(F.col("model"))))
+    return report.emit_table(shown.drop("model", "method").withColumnsRenamed({"model_name": "model", "method_name": "method"}), TASKS, _SHOWN)
 
 
 @query("a8_links", LINKS_SQL + """

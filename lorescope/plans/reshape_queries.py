@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorescope.operators import reshape as R
@@ -41,10 +41,10 @@ def c1(t):
     return R.flatten_probes(raw_items(t))
 
 
-@query("c2_nest", f"""
-    SELECT i.item_id AS id, coalesce(part, 0) AS part, question, gt_answer AS answer, coalesce(n_facts, 0) AS n_facts, coalesce(body, '') AS body
-    FROM {{items}} i LEFT JOIN (SELECT item_id, pos // {R.PART_SIZE} AS part, count(*) AS n_facts, string_agg(concat(knowledge, ':', CASE WHEN knowledgable THEN 'known' ELSE 'unknown' END, ':',
-      round(knowledge_confidence * 100)::INT), '|' ORDER BY pos) AS body FROM {{facts}} GROUP BY ALL) f ON i.item_id = f.item_id
+@query("c2_nest", """
+    SELECT i.item_id AS id, question, gt_answer AS answer, coalesce(n_facts, 0) AS n_facts, coalesce(body, '') AS body
+    FROM {items} i LEFT JOIN (SELECT item_id, count(*) AS n_facts, string_agg(concat(knowledge, ':', CASE WHEN knowledgable THEN 'known' ELSE 'unknown' END, ':',
+      round(knowledge_confidence * 100)::INT), '|' ORDER BY pos) AS body FROM {facts} GROUP BY ALL) f ON i.item_id = f.item_id
     WHERE question IS NOT NULL""")
 def c2(t):
     items = t.items.select("item_id", "question", F.col("gt_answer").alias("answer"))
@@ -57,14 +57,14 @@ def c2(t):
         ),
     )
     return nested.select(
-        F.col("item_id").alias("id"), "part", "question", "answer",
+        F.col("item_id").alias("id"), "question", "answer",
         F.size("required_knowledge").cast("bigint").alias("n_facts"), F.array_join(line, "|").alias("body"),
     )
 
 
 _PAIRS = """probes AS (SELECT row_number() OVER (ORDER BY item_id, pos) - 1 AS id, item_id AS p, knowledge AS q, probe_answer AS answer FROM {facts}),
     size AS (SELECT count(*) AS n FROM probes),
-    tries AS (SELECT id, p, q, k, (id + 1 + ('0x' || substr(md5(concat_ws('|', id, k)), 1, 8))::BIGINT % (n - 1)) % n AS other
+    tries AS (SELECT id, p, q, k, (id + 1 + ('0x' || substr(md5(concat_ws('|', id, k)), 1, 15))::BIGINT % (n - 1)) % n AS other
       FROM probes, size, (VALUES (1), (2), (3)) a(k)),
     picked AS (SELECT t.id, min_by(t.other, t.k) AS other FROM tries t JOIN probes o ON t.other = o.id
       WHERE t.p <> o.p AND t.q <> o.q GROUP BY t.id),
@@ -197,16 +197,26 @@ def c12(t):
     return R.model_dim(models, aliases, {"7b": 30.0, "11b": 30.0}, default=12.0)
 
 
+# The order priorities stand for models; one keeps its name.
+MODEL_IDS = {"1-URGENT": "llama-3.2-1b", "2-HIGH": "qwen-3-4b", "3-MEDIUM": "gpt-4.1-mini", "5-LOW": "o4-mini"}
+MODEL_IDS_SQL = "CASE model " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MODEL_IDS.items()) + " ELSE model END"
+MODEL_NAMES_SQL = """CASE model WHEN 'llama-3.2-1b' THEN 'Llama-3.2 \\textsubscript{(1B)}' WHEN 'qwen-3-4b' THEN 'Qwen-3 \\textsubscript{(4B)}'
+      WHEN 'gpt-4.1-mini' THEN 'GPT-4.1-mini & o4-mini' WHEN 'o4-mini' THEN 'GPT-4.1-mini & o4-mini' ELSE model END"""
+
+
+def model_id(model: Column) -> Column:
+    return F.coalesce(*[F.when(model == k, F.lit(v)) for k, v in MODEL_IDS.items()], model)
+
+
 @query("c13_display", """
-    SELECT CASE task WHEN 'grow' THEN 'WIKI' ELSE upper(task) END AS task_name, model,
+    SELECT CASE task WHEN 'grow' THEN 'WIKI' ELSE upper(task) END AS task_name, """ + MODEL_NAMES_SQL + """ AS model_name,
       CASE WHEN model = 'o4-mini' AND method = 'base' THEN 'Append-T' ELSE CASE method WHEN 'original' THEN 'Base Model' WHEN 'base' THEN 'Append' ELSE 'MeLLo' END END AS method_name,
-      count(*) AS n FROM (SELECT CASE task WHEN 'MACHINERY' THEN 'grow' ELSE lower(task) END AS task, CASE model WHEN '5-LOW' THEN 'o4-mini' ELSE model END AS model, method FROM {items}) x
+      count(*) AS n FROM (SELECT CASE task WHEN 'MACHINERY' THEN 'grow' ELSE lower(task) END AS task, """ + MODEL_IDS_SQL + """ AS model, method FROM {items}) x
     GROUP BY ALL""")
 def c13(t):
     task = F.when(F.col("task") == "MACHINERY", "grow").otherwise(F.lower("task"))
-    model = F.when(F.col("model") == "5-LOW", "o4-mini").otherwise(F.col("model"))
-    runs = t.items.select(task.alias("task"), model.alias("model"), "method")
-    return R.display_names(runs).groupBy("task_name", "model", "method_name").agg(F.count(F.lit(1)).alias("n"))
+    runs = t.items.select(task.alias("task"), model_id(F.col("model")).alias("model"), "method")
+    return R.display_names(runs).groupBy("task_name", "model_name", "method_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c14_usage", """
@@ -254,7 +264,7 @@ def c16(t):
 
 
 @query("c17_subset", """
-    SELECT doc_id, lang, 'pseudorandom' AS kind FROM (SELECT * FROM {documents} ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, doc_id LIMIT 100)
+    SELECT doc_id, lang, 'pseudorandom' AS kind FROM (SELECT * FROM {documents} ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id LIMIT 100)
     UNION ALL SELECT doc_id, lang, 'first French' FROM (SELECT * FROM {documents} WHERE lang = 'fr' ORDER BY doc_id LIMIT 50)""")
 def c17(t):
     drawn = R.subset(t.documents, "doc_id", 100).select("doc_id", "lang", F.lit("pseudorandom").alias("kind"))

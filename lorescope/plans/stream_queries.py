@@ -18,10 +18,9 @@ from lorescope.plans.registry import Inputs, query
 from lorescope.plans.vector_queries import _PAIRS
 from lorescope.plans.vote_queries import _EVALUATED
 from lorescope.session import scratch_path
-from lorescope.sources.tables import table_stream
 from lorescope.streaming import streams as T
 
-FILES = 2  # arriving files, one per batch
+FILES = 4  # arriving files, one per batch
 
 
 def arriving(t: Inputs, rows: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -36,8 +35,8 @@ def arriving(t: Inputs, rows: DataFrame, label: str) -> tuple[DataFrame, str]:
     FROM {events} GROUP BY event_type""")
 def t1(t):
     path = scratch_path(t.spark, "stream-stats")
-    T.drain(T.running_stats(table_stream(t.spark, t.folder, "events"), "event_type", "value"), "complete", path)
-    return rounded(T.latest_complete(t.spark, path), "mean", "variance")
+    stream, _ = arriving(t, t.events, "events")
+    return rounded(T.latest_complete(T.running_stats(stream, "event_type", "value"), path), "mean", "variance")
 
 
 @query("t1b_stream_bincount", """
@@ -45,9 +44,7 @@ def t1(t):
 def t1b(t):
     stream, _ = arriving(t, t.events, "events")
     bins = stream.groupBy("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    path = scratch_path(t.spark, "stream-bincount")
-    T.drain(bins, "update", path)
-    return T.latest_per_key(t.spark, path, ["event_type", "bin"])
+    return T.latest_per_key(bins, ["event_type", "bin"], scratch_path(t.spark, "stream-bincount"))
 
 
 @query("t2_stream_merge", "WITH " + _PAIRS + " SELECT i, j, round(covar_samp(a, b), 9) AS covariance FROM pairs GROUP BY i, j")
@@ -88,6 +85,19 @@ def t4(t):
     )
 
 
+@query("t4b_stream_once_bounded", """
+    SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_keys, round(sum(value), 4) AS total FROM {events} GROUP BY event_type""")
+def t4b(t):
+    # Every event arrives twice; the events span less than the delay, and keys older than that are forgotten.
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = events.unionByName(events)
+    stream, _ = arriving(t, twice, "events")
+    stored = T.append_once(stream, ["event_id"], scratch_path(t.spark, "stream-once"), late="60 days", event_time="ts")
+    return stored.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_keys"), F.round(F.sum("value"), 4).alias("total")
+    )
+
+
 @query("t5_stream_rates", """
     SELECT task, method, count(*) AS n, round(avg(hp::INT), 6) AS hp, round(avg(ap::INT), 6) AS ap, round(avg(fke::INT), 6) AS fke
     FROM {scored} GROUP BY task, method""")

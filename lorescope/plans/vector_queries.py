@@ -12,6 +12,7 @@ from lorescope.operators.ordering import dense_index
 from lorescope.operators.reshape import scope_groups
 from lorescope.plans.metric_queries import rounded
 from lorescope.plans.registry import Inputs, query
+from lorescope.plans.reshape_queries import SCOPES
 from lorescope.plans.text_queries import checksum, sql_checksum
 from lorescope.session import scratch_path
 
@@ -109,9 +110,23 @@ def s11(t):
     return rounded(S.exact_quantiles(long, "dim", "x", "vec_id", QUANTILES, 100), "quantile", digits=9)
 
 
-@query("s11b_kll")
+# A value's ranks must come within the error bound of its quantile; a sketch of 3072 keeps below this share of n.
+KLL_ERROR = 0.002
+
+
+@query("s11b_kll", "WITH " + _LONG + """
+    SELECT DISTINCT dim, part, count(*) OVER (PARTITION BY dim, part) AS n, true AS near FROM vals, (VALUES """ + ", ".join(f"({q})" for q in QUANTILES) + """) p(part)""")
 def s11b(t):
-    return S.kll_quantiles(S.long_vectors(t.embeddings, "embedding"), "dim", "x", [q / 100 for q in QUANTILES])
+    long = S.long_vectors(t.embeddings, "embedding")
+    found = S.kll_quantiles(long, "dim", "x", [q / 100 for q in QUANTILES]).select("dim", "quantile", "value")
+    # Seven values per dimension meet the dimension's rows.
+    ranks = long.join(found, "dim").groupBy("dim", "quantile").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto")
+    )
+    room = KLL_ERROR * F.col("n") + 1
+    wanted = F.col("quantile") * F.col("n")
+    near = (F.col("below") <= wanted + room) & (F.col("upto") >= wanted - room)
+    return ranks.select("dim", F.round(F.col("quantile") * 100).cast("int").alias("part"), "n", near.alias("near"))
 
 
 _READOUT = "WITH " + _LONG + ", " + _quantile_sql(1000, "SELECT unnest(range(1001))")
@@ -176,14 +191,25 @@ def s18(t):
 
 
 @query("s19_bernoulli", """
-    SELECT doc_id, lang FROM {documents} WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT < 1073741824""")
+    SELECT doc_id, lang FROM {documents} WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT < 288230376151711744""")
 def s19(t):
     return S.sample_portion(t.documents, "doc_id", 0.25).select("doc_id", "lang")
 
 
-@query("s20_whiten")
+@query("s20_whiten", """
+    SELECT vec_id, 1.0::DOUBLE AS length, 1.0::DOUBLE AS cosine FROM {embeddings}""")
 def s20(t):
-    return P.whiten(t.embeddings, P.second_moment(merged(t)), "vec_id", "embedding")
+    # What the moment makes of a turned vector must point where the vector points.
+    moment = P.second_moment(merged(t))
+    turned = P.whiten(t.embeddings, moment, "vec_id", "embedding").withColumnRenamed("embedding", "turned")
+    rows = F.array(*[F.lit(r) for r in P.moment_matrix(moment).tolist()])
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+    back = turned.join(t.embeddings.select("vec_id", "embedding"), "vec_id").withColumn("back", F.transform(rows, lambda r: dot(r, F.col("turned"))))
+    cosine = dot(F.col("back"), F.col("embedding")) / (S.l2_norm(F.col("back")) * S.l2_norm(F.col("embedding")))
+    return rounded(back.select("vec_id", S.l2_norm(F.col("turned")).alias("length"), cosine.alias("cosine")), "length", "cosine", digits=9)
 
 
 _POOLED = _LONG + """, firsts AS (SELECT vec_id, x > 0 AS attended FROM vals WHERE dim = 0),
@@ -211,14 +237,14 @@ def v2(t):
 
 @query("v3_knn_scoped", """
     WITH grouped AS (SELECT idx // scope AS group_id, scope, vec_id, label, embedding::DOUBLE[] AS e
-      FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM {embeddings}) x, (VALUES (1), (100)) s(scope)),
+      FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM {embeddings}) x, (VALUES (1), (10), (100), (500)) s(scope)),
     scored AS (SELECT q.scope, q.vec_id, f.vec_id AS fact_id, f.label, round(list_inner_product(q.e, f.e), 9) AS score
       FROM grouped q JOIN grouped f ON q.scope = f.scope AND q.group_id = f.group_id AND f.e[1] > 0),
     best AS (SELECT *, row_number() OVER (PARTITION BY scope, vec_id ORDER BY score DESC, fact_id) AS rn FROM scored)
     SELECT g.scope, g.vec_id, b.fact_id, round(score, 6) AS score, CASE WHEN b.fact_id IS NULL THEN '' ELSE concat('label ', b.label) END AS retrieved
     FROM grouped g LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON g.scope = b.scope AND g.vec_id = b.vec_id""")
 def v3(t):
-    grouped = scope_groups(dense_index(t.embeddings, ["vec_id"], "idx"), (1, 100))
+    grouped = scope_groups(dense_index(t.embeddings, ["vec_id"], "idx"), SCOPES)
     queries = grouped.select(F.struct("scope", "vec_id").alias("query_id"), "scope", "group_id", "embedding")
     queries = queries.withColumn("query_id", F.concat_ws("|", "query_id.scope", "query_id.vec_id"))
     known = grouped.filter(F.get("embedding", F.lit(0)) > 0)

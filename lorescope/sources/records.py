@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FACT = "knowledge STRING, knowledgable BOOLEAN, knowledge_confidence DOUBLE"
-REASONING_ITEM = f"item_id BIGINT, question STRING, answer STRING, required_knowledge ARRAY<STRUCT<{FACT}>>, part BIGINT"
+REASONING_ITEM = f"item_id BIGINT, question STRING, answer STRING, required_knowledge ARRAY<STRUCT<{FACT}>>"
 RAW_ITEM = (
     "item_id BIGINT, multihop_question STRING, multihop_answer STRING,"
-    " probe_questions ARRAY<STRUCT<question STRING, answer STRING, knowledge STRING>>, part BIGINT"
+    " probe_questions ARRAY<STRUCT<question STRING, answer STRING, knowledge STRING>>"
 )
 ANNOTATION = "MAP<STRING, MAP<STRING, MAP<STRING, ARRAY<INT>>>>"
 
@@ -36,7 +36,7 @@ def write_runs(runs: DataFrame, path: str, dims: Sequence[str], files_per_run: i
 
 
 def read_runs(spark: SparkSession, path: str, where: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """Result sets of the wanted run keys. Other partitions are not listed; missing ones give no rows."""
+    """Result sets of the wanted run keys. All partitions are listed, only wanted ones read; missing ones give no rows."""
     runs = spark.read.option("ignoreMissingFiles", "true").parquet(path)
     for dim, values in (where or {}).items():
         runs = runs.filter(F.col(dim).isin(list(values)))
@@ -112,10 +112,17 @@ def append_results(results: DataFrame, path: str, key: Sequence[str]) -> DataFra
     return spark.read.parquet(path)
 
 
-def patch_missing(full: DataFrame, partial: DataFrame, key: Sequence[str], recompute) -> DataFrame:
-    """Partial results with the missing rows recomputed from the full input, gaps anywhere."""
+def patch_missing(
+    full: DataFrame, partial: DataFrame, key: Sequence[str], recompute, order: Sequence[str | Column] = ()
+) -> DataFrame:
+    """Partial results with the missing rows recomputed from the full input, gaps anywhere.
+
+    With ``order``, columns of the result, rows come back sorted by it, the
+    order of the input when those name it.
+    """
     missing = full.join(partial.select(*key), list(key), "left_anti")
-    return partial.unionByName(recompute(missing))
+    patched = partial.unionByName(recompute(missing))
+    return patched.orderBy(*order) if order else patched
 
 
 def save_stat(state: DataFrame, path: str, args: Mapping[str, str]) -> None:

@@ -1,7 +1,8 @@
 """Streaming forms: the same operators over files as they arrive.
 
 Every sink is idempotent per batch: a batch that is replayed after a failure
-overwrites its own folder, so results equal those of one batch run.
+overwrites its own folder, so results equal those of one batch run. Results that
+add up are kept as one state that each batch replaces.
 """
 
 from __future__ import annotations
@@ -42,19 +43,79 @@ def batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data")
 
 
-def latest_complete(spark: SparkSession, path: str) -> DataFrame:
-    """Result of the last batch of a complete-mode stream."""
-    rows = batches(spark, path)
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.filter(F.col("batch") == last).drop("batch")
+def _store(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def latest_per_key(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest row of each key of an update-mode stream."""
-    rows = batches(spark, path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
-    return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+def _version(path: str, number: int) -> str:
+    return f"{path}/state/version={number}"
+
+
+def state_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a stream's state, oldest first."""
+    place, store = _store(spark, f"{path}/state")
+    names = [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+    return sorted(int(n.split("=")[1]) for n in names if store.exists(_store(spark, f"{path}/state/{n}/_SUCCESS")[0]))
+
+
+def versioned(stream: DataFrame, mode: str, path: str, make: Callable[[DataFrame, DataFrame | None, int], DataFrame]) -> DataFrame:
+    """Process what is there, keeping one state that every batch replaces, and return it.
+
+    ``make`` gets a batch, the state before it (None at first) and the batch's
+    number. Batch n reads the newest version below n, writes version n and drops
+    what is older than the version it read. A replayed batch finds the version
+    it started from, so it leaves the same state; two versions remain.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        older = [v for v in state_versions(spark, path) if v < number]
+        before = spark.read.parquet(_version(path, older[-1])) if older else None
+        make(batch, before, number).write.mode("overwrite").parquet(_version(path, number))
+        for version in older[:-1]:
+            place, store = _store(spark, _version(path, version))
+            store.delete(place, True)
+
+    query = (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(_version(path, state_versions(spark, path)[-1]))
+
+
+def fold(
+    stream: DataFrame, path: str, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The merged state of a stream: ``partial`` reduces a batch to state rows, ``merge`` any state rows to one state."""
+
+    def make(batch: DataFrame, before: DataFrame | None, number: int) -> DataFrame:
+        rows = partial(batch)
+        return merge(rows if before is None else before.unionByName(rows))
+
+    return versioned(stream, "append", path, make)
+
+
+def latest_complete(stream: DataFrame, path: str) -> DataFrame:
+    """The result of a complete-mode stream."""
+    return versioned(stream, "complete", path, lambda batch, before, number: batch)
+
+
+def latest_per_key(stream: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
+    """The newest row of each key of an update-mode stream."""
+    rest = [c for c in stream.columns if c not in keys]
+
+    def make(batch: DataFrame, before: DataFrame | None, number: int) -> DataFrame:
+        rows = batch.withColumn("_batch", F.lit(number).cast("bigint"))
+        rows = rows if before is None else before.unionByName(rows)
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest, "_batch"), "_batch").alias("_r"))
+        return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in (*rest, "_batch")])
+
+    return versioned(stream, "update", path, make).drop("_batch")
 
 
 def running_stats(events: DataFrame, key: str, value: str) -> DataFrame:
@@ -66,16 +127,19 @@ def running_stats(events: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def stream_moments(vectors: DataFrame, vector: str, path: str) -> DataFrame:
-    """Second-order statistics of a stream: each batch leaves its states, which merge on read."""
-    drain(vectors, "append", path, lambda batch: P.partial_moments(batch, vector))
-    return P.merge_moments(batches(vectors.sparkSession, path).drop("batch"))
+    """Second-order statistics of a stream, in one state of one row."""
+    state = fold(vectors, path, lambda batch: P.partial_moments(batch, vector), P.merge_states)
+    return P.merge_moments(state)
 
 
 def stream_topk(vectors: DataFrame, vector: str, key: str, k: int, path: str) -> DataFrame:
     """Top-k per dimension of a stream: the best of each batch's best."""
-    drain(vectors, "append", path, lambda batch: S.topk(batch, vector, key, k).drop("place"))
     rank = F.row_number().over(W.partitionBy("dim").orderBy(F.col("x").desc(), key))
-    return batches(vectors.sparkSession, path).drop("batch").withColumn("place", rank).filter(F.col("place") <= k)
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.drop("place").withColumn("place", rank).filter(F.col("place") <= k)
+
+    return fold(vectors, path, lambda batch: S.topk(batch, vector, key, k), best)
 
 
 def stream_votes(votes: DataFrame, path: str, key: str = "probe_id") -> DataFrame:
@@ -87,8 +151,7 @@ def stream_votes(votes: DataFrame, path: str, key: str = "probe_id") -> DataFram
     counts = votes.groupBy(key, "gt_answer", "answer").agg(
         F.count(F.lit(1)).alias("freq"), F.bool_or(verdict(F.col("verdict_text"))).alias("equivalent")
     )
-    drain(counts, "update", path)
-    newest = latest_per_key(votes.sparkSession, path, [key, "gt_answer", "answer"])
+    newest = latest_per_key(counts, [key, "gt_answer", "answer"], path)
     truth = newest.groupBy(key).agg(F.min("gt_answer").alias("gt_answer"))
     return V.majority(newest.drop("gt_answer"), truth, key)
 
@@ -114,24 +177,13 @@ def append_once(rows: DataFrame, keys: Sequence[str], path: str, late: str | Non
     return rows.sparkSession.read.parquet(f"{path}/data")
 
 
-def stream_rates(judged: DataFrame, by: Sequence[str], path: str, key: str = "item_id") -> DataFrame:
-    """AP, FKE and HP rates per run key of judged items as they arrive.
-
-    Each batch leaves its counts, which add up on read. Items split into parts
-    may arrive over several batches, so for those a batch leaves one narrow row
-    per item and the parts are combined on read.
-    """
+def stream_rates(judged: DataFrame, by: Sequence[str], path: str) -> DataFrame:
+    """AP, FKE and HP rates per run key of judged items as they arrive, from counts that add up."""
     scored = judged.withColumn("ap", M.answer_pass(F.col("final_answer_correct"))).withColumn(
         "fke", M.facts_entailed(F.col("required_knowledge"))
     )
-    spark, split = judged.sparkSession, "part" in judged.columns
 
-    def per_item(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(key, *by).agg(F.bool_or("ap").alias("ap"), F.bool_and("fke").alias("fke"))
+    def added(counts: DataFrame) -> DataFrame:
+        return counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts.columns if c not in by])
 
-    drain(scored, "append", path, per_item if split else lambda batch: M.cell_counts(batch, by))
-    stored = batches(spark, path).drop("batch")
-    if split:
-        return M.rates(M.cell_counts(per_item(stored), by))
-    counts = [c for c in stored.columns if c not in by]
-    return M.rates(stored.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts]))
+    return M.rates(fold(scored, path, lambda batch: M.cell_counts(batch, by), added))

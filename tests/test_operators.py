@@ -54,12 +54,11 @@ def test_flatten_drops_incomplete_facts(spark):
     ]
 
 
-def test_nest_keeps_order_and_splits(spark):
+def test_nest_keeps_order_in_one_row(spark):
     items = spark.createDataFrame([(1,), (2,)], "item_id bigint")
-    facts = spark.createDataFrame([(1, p, f"k{p}") for p in (4, 0, 3, 1, 2)], "item_id bigint, pos bigint, knowledge string")
-    out = R.nest(items, facts, ["knowledge"], "rk", part_size=2)
-    got = sorted((r["item_id"], r["part"], [k["knowledge"] for k in r["rk"]]) for r in out.collect())
-    assert got == [(1, 0, ["k0", "k1"]), (1, 1, ["k2", "k3"]), (1, 2, ["k4"]), (2, 0, [])]
+    facts = spark.createDataFrame([(1, p, f"k{p}") for p in reversed(range(3000))], "item_id bigint, pos bigint, knowledge string")
+    got = sorted((r["item_id"], [k["knowledge"] for k in r["rk"]]) for r in R.nest(items, facts, ["knowledge"], "rk").collect())
+    assert got == [(1, [f"k{p}" for p in range(3000)]), (2, [])]
 
 
 def test_nest_knowledge_drops_partial_facts_and_items(spark):
