@@ -31,7 +31,7 @@ from lorescope.llm.registry import documents, query
 
 MODEL = os.environ.get("LORESCOPE_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 THREADS = 2  # of a task, for encoding batches
-KNOWN = 400_000  # segments a task remembers before it starts anew
+KNOWN = 150_000  # segments a task remembers before it starts anew
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -215,21 +215,28 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 
 def encode(docs: DataFrame, model: bytes, threads: int = THREADS) -> DataFrame:
-    """doc_id, text, ids and parity of every row. The model file (below a few MB) travels with the tasks."""
+    """doc_id, n_bytes, ids, parity and round_trip (the ids decode to the text) of every row.
+
+    The model file (below a few MB) travels with the tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, threads)
         for batch in batches:
             for row, end, raw, at in texts_of(batch.column(1)):
-                data, at = raw.tobytes(), at.tolist()
-                ids, parity = codec.encode([data[a:b].decode() for a, b in zip(at[:-1], at[1:])])
+                data, n_bytes, at = raw.tobytes(), np.diff(at), at.tolist()
+                texts = [data[a:b].decode() for a, b in zip(at[:-1], at[1:])]
+                ids, parity = codec.encode(texts)
                 sizes = _offsets([len(x) // 4 for x in ids])
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                back = codec.decode(flat.astype(np.int64), sizes)
+                same = [a == b for a, b in zip(texts, back)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[row:end], batch.column(1)[row:end], pa.ListArray.from_arrays(sizes, flat), pa.array(parity)], ["doc_id", "text", "ids", "parity"]
+                    [batch.column(0)[row:end], pa.array(n_bytes), pa.ListArray.from_arrays(sizes, pa.array(flat)), pa.array(parity), pa.array(same)],
+                    ["doc_id", "n_bytes", "ids", "parity", "round_trip"],
                 )
 
-    return narrowed(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id bigint, text string, ids array<int>, parity boolean")
+    return narrowed(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id bigint, n_bytes bigint, ids array<int>, parity boolean, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -257,9 +264,5 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
 @query("op4_sentencepiece")
 def op4(spark, folder):
-    model = model_bytes()
-    coded = decode(encode(documents(spark, folder), model), model)
-    return coded.select(
-        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_tokens"),
-        F.xxhash64("ids").alias("ids_hash"), "parity", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    coded = encode(documents(spark, folder), model_bytes())
+    return coded.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "parity", "round_trip")
