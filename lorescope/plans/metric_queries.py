@@ -16,7 +16,7 @@ GRID = ("task", "model", "method")
 
 
 def scored(t: Inputs) -> DataFrame:
-    return M.score_items(t.items, t.lines)
+    return M.score_items(t.items, t.classes)
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -163,7 +163,7 @@ FACT_FLOW_SQL = """
 
 
 def fact_matrix(t: Inputs) -> DataFrame:
-    return M.fact_transition(t.items, M.fact_flows(t.lines, "item_id", LINE_ORDER), "item_id")
+    return M.fact_transition(t.items, M.fact_flows(t.classes, "item_id", LINE_ORDER), "item_id")
 
 
 @query("m10_fact_transition", FACT_FLOW_SQL)

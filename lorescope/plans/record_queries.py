@@ -22,7 +22,7 @@ def a1(t):
     path = scratch_path(t.spark, "items")
     raw_items(t).write.json(path)
     probes = F.col("probe_questions")
-    return A.read_items(t.spark, path).groupBy("item_id", "multihop_question").agg(
+    return A.sound_items(A.read_items(t.spark, path)).groupBy("item_id", "multihop_question").agg(
         F.sum(F.size(probes)).alias("n_probes"),
         F.sum(F.size(F.filter(probes, lambda p: p["question"].isNotNull()))).alias("n_asked"),
     )

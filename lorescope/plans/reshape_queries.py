@@ -81,10 +81,17 @@ _PAIRS = """probes AS (SELECT row_number() OVER (ORDER BY item_id, pos) - 1 AS i
       FROM probes r LEFT JOIN picked k ON r.id = k.id LEFT JOIN rest s ON r.id = s.id)"""
 
 
-@query("c3_pairs", "WITH " + _PAIRS + """
-    SELECT id, p AS complex_question_id, q AS question, efficacy_id, locality_id FROM pairs""")
+@query("c3_pairs", """
+    WITH probes AS (SELECT row_number() OVER (ORDER BY item_id, pos) - 1 AS id, item_id AS p, knowledge AS q FROM {facts}),
+    counted AS (SELECT *, count(*) OVER () - count(*) OVER (PARTITION BY p) - count(*) OVER (PARTITION BY q) + count(*) OVER (PARTITION BY p, q) AS partners FROM probes)
+    SELECT id, p AS complex_question_id, q AS question, id AS efficacy_id, partners > 0 AS paired, partners > 0 AS valid FROM counted""")
 def c3(t):
-    return R.pair_locality(flat_probes(t)).select("id", "complex_question_id", "question", "efficacy_id", "locality_id")
+    pairs = R.pair_locality(flat_probes(t)).select("id", "complex_question_id", "question", "efficacy_id", "locality_id")
+    others = pairs.select(F.col("id").alias("locality_id"), F.col("complex_question_id").alias("op"), F.col("question").alias("oq"))
+    differs = (F.col("op") != F.col("complex_question_id")) & (F.col("oq") != F.col("question"))
+    return pairs.join(others, "locality_id", "left").select(
+        "id", "complex_question_id", "question", "efficacy_id", F.col("locality_id").isNotNull().alias("paired"), F.coalesce(differs, F.lit(False)).alias("valid")
+    )
 
 
 @query("c4_pair_lookup", "WITH " + _PAIRS + """

@@ -41,6 +41,11 @@ VIEWS: dict[str, str] = {
           CASE WHEN p_size > 1 THEN concat('What is the brand of ', p_name, '?') END AS probe_question,
           p_brand AS probe_answer
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    "classes": """
+        SELECT l_orderkey AS item_id, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice,
+          l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_linestatus = 'O' AS knowledgable,
+          CASE WHEN l_discount <= 0.08 THEN 'entailment' WHEN l_discount <= 0.09 THEN 'contradiction' ELSE 'neutral' END AS nli_class
+        FROM {lineitem}""",
     "facts": f"""
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY {", ".join(LINE_ORDER)}) - 1 AS pos,
           knowledge, knowledgable, knowledge_confidence, nli_class, probe_question, probe_answer
@@ -49,7 +54,7 @@ VIEWS: dict[str, str] = {
         SELECT i.item_id, task, model, method, scope, coalesce(final_answer_correct, false) AS ap, coalesce(all_entailed, true) AS fke,
           coalesce(final_answer_correct, false) AND coalesce(all_entailed, true) AS hp
         FROM {items} i LEFT JOIN (SELECT item_id, bool_and(coalesce(nli_class = 'entailment', false)) AS all_entailed
-          FROM {lines} GROUP BY item_id) f ON i.item_id = f.item_id""",
+          FROM {classes} GROUP BY item_id) f ON i.item_id = f.item_id""",
     "votes": """
         SELECT l_orderkey AS probe_id, l_linestatus AS answer, o_orderstatus AS gt_answer,
           CASE WHEN l_linestatus = o_orderstatus THEN 'Equivalence: Yes, the same.' ELSE 'Equivalence: No, they differ.' END AS verdict_text

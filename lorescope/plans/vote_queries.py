@@ -106,8 +106,11 @@ def e7(t):
 
 def _histogram_sql(by: str) -> str:
     return "WITH " + _EVALUATED + f""",
-    binned AS (SELECT {by}, knowledgable, CASE WHEN n_votes = 0 THEN 0 ELSE least((20 * n_truth + n_votes) // (2 * n_votes), 10) END AS bin
-      FROM evaluated JOIN {{items}} ON probe_id = item_id),
+    shares AS (SELECT {by}, knowledgable, n_votes = 0 AS none, n_truth / greatest(n_votes, 1)::DOUBLE AS share,
+        n_votes > 0 AND (20 * n_truth) % greatest(n_votes, 1) = 0 AND (20 * n_truth // greatest(n_votes, 1)) % 2 = 1 AS on_edge FROM evaluated JOIN {{items}} ON probe_id = item_id),
+    -- Edges -0.05, 0.05, ..., 1.05: a value belongs to the bin between two of them, one on an edge to the upper one.
+    binned AS (SELECT {by}, knowledgable, CASE WHEN none THEN 0 WHEN on_edge THEN (round(20 * share)::INT + 1) // 2
+        ELSE len(list_filter(range(1, 11), lambda k: share > -0.05 + 0.1 * k)) END AS bin FROM shares),
     totals AS (SELECT {by}, count(*) AS total FROM binned GROUP BY {by}),
     cells AS (SELECT {by}, bin, count(*) FILTER (WHERE knowledgable) AS k, count(*) FILTER (WHERE NOT knowledgable) AS u FROM binned GROUP BY {by}, bin)
     SELECT t.{by}, b.bin::INT AS bin, coalesce(k, 0) AS known, coalesce(u, 0) AS unknown, round(coalesce(k, 0) / total, 9) AS known_ratio,

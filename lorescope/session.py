@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "lorescope") -> SparkSession:
@@ -75,14 +74,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` written out and, when it really has at most ``rows`` rows, marked for broadcast.
-
-    For narrow lookup tables that should be small but follow from the data.
-    """
-    table = cut_lineage(df)
-    return F.broadcast(table) if table.count() <= rows else table
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

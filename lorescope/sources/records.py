@@ -17,22 +17,33 @@ RAW_ITEM = (
 ANNOTATION = "MAP<STRING, MAP<STRING, MAP<STRING, ARRAY<INT>>>>"
 
 
+BROKEN = "_broken"
+
+
 def read_items(spark: SparkSession, path: str, schema: str = RAW_ITEM, fmt: str = "json") -> DataFrame:
-    """Nested items under a fixed schema; a record that is no item reads as nothing."""
-    reader = spark.read.schema(schema)
-    if fmt == "json":
-        reader = reader.option("mode", "DROPMALFORMED")
-    return reader.format(fmt).load(path)
+    """Nested items under a fixed schema.
+
+    A JSON record that is no item stays, with its text in the column ``_broken``
+    and all else NULL, so that it can be counted; ``sound_items`` leaves it out.
+    """
+    if fmt != "json":
+        return spark.read.schema(schema).format(fmt).load(path).withColumn(BROKEN, F.lit(None).cast("string"))
+    reader = spark.read.schema(f"{schema}, {BROKEN} STRING").option("columnNameOfCorruptRecord", BROKEN)
+    return reader.option("mode", "PERMISSIVE").json(path)
+
+
+def sound_items(items: DataFrame) -> DataFrame:
+    """The records that were items."""
+    return items.filter(F.col(BROKEN).isNull()).drop(BROKEN)
 
 
-def write_runs(runs: DataFrame, path: str, dims: Sequence[str], files_per_run: int = 8) -> None:
-    """Result sets as one partition per run key, a few files each.
+def write_runs(runs: DataFrame, path: str, dims: Sequence[str]) -> None:
+    """Result sets as one partition per run key.
 
-    Rows of one key are spread over ``files_per_run`` tasks, so that a run that
-    holds most rows is not written by a single one.
+    Adaptive execution deals rows into tasks by size, so that a run that holds
+    most rows is written by many.
     """
-    spread = F.pmod(F.xxhash64(*[c for c in runs.columns if c not in dims]), F.lit(files_per_run))
-    runs.repartition(*dims, spread).write.partitionBy(*dims).mode("append").parquet(path)
+    runs.hint("rebalance", *[F.col(d) for d in dims]).write.partitionBy(*dims).mode("append").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str, where: Mapping[str, Sequence] | None = None) -> DataFrame:

@@ -247,7 +247,7 @@ TRIPLE = "subj string, prop string, obj string, prop_rank int"
 def test_walk_avoids_cycles_and_used_properties(spark):
     edges = [("A", "p", "B", 1), ("B", "q", "A", 1), ("B", "p", "C", 2), ("B", "r", "D", 3), ("D", "q", "E", 1), ("E", "s", "A", 1)]
     starts = spark.createDataFrame([("A",), ("E",), ("Z",)], "id string")
-    out = B.walk_chains(starts, spark.createDataFrame(edges, TRIPLE), 4, cut_every=2)
+    out = B.walk_chains(starts, spark.createDataFrame(edges, TRIPLE), 4)
     got = {r["start"]: (r["path"], r["props"]) for r in out.collect()}
     assert got["A"] == (["A", "B", "D", "E"], ["p", "r", "q"])
     assert got["E"] == (["E", "A", "B", "D"], ["s", "p", "r"])
@@ -288,3 +288,69 @@ def test_math_question_ends_with_stop(spark):
     df = spark.createDataFrame([("Q?", " a plan. "), ("Q?", "a plan")], "q string, p string")
     texts = [r[0] for r in df.select(Q.augment_math_question(F.col("q"), F.col("p"))).collect()]
     assert texts[0] == texts[1] and texts[0].endswith("focus on a plan.")
+
+
+def test_one_of_two_claims_is_bad(spark):
+    triples = spark.createDataFrame(
+        [("A", "p", "B", 1), ("A", "p", "C", 1), ("A", "q", "D", 2), ("D", "p", "E", 1), ("E", "q", "F", 2)], "subj string, prop string, obj string, prop_rank int"
+    )
+    bad = spark.createDataFrame([("A", "p", "B"), ("D", "p", "E")], "subj string, prop string, obj string")
+    labels = spark.createDataFrame([(x, f"name {x}") for x in "ABCDEF"], "id string, label string")
+    names = spark.createDataFrame([("p", "one"), ("q", "two")], "prop string, prop_label string")
+    typed = spark.createDataFrame([("F", "t")], "subj string, target string")
+    edges = B.walkable(triples, bad, labels, names, typed, {}, {"q": "t"})
+    # A-p has two claims though one is bad; D-p is bad; only F has the class that q asks of its object.
+    assert collected(edges, "subj", "prop", "obj") == [("E", "q", "F")]
+
+
+def test_chains_at_depths(spark):
+    edges = spark.createDataFrame([(f"N{i}", f"p{i}", f"N{i + 1}", 1) for i in range(5)], "subj string, prop string, obj string, prop_rank int")
+    chains = B.walk_chains(spark.createDataFrame([("N0",), ("N3",), ("X",)], "id string"), edges, 6)
+    assert collected(chains.select("start", F.size("props").alias("n")), "start", "n") == [("N0", 5), ("N3", 2), ("X", 0)]
+    found = B.at_depths(chains, (2, 3, 4, 5, 6)).select("start", "depth", F.array_join("path", ">").alias("path"))
+    assert collected(found, "start", "depth", "path") == [
+        ("N0", 2, "N0>N1>N2"), ("N0", 3, "N0>N1>N2>N3"), ("N0", 4, "N0>N1>N2>N3>N4"), ("N0", 5, "N0>N1>N2>N3>N4>N5"), ("N3", 2, "N3>N4>N5"),
+    ]
+
+
+def test_null_answers_keep_their_rows(spark):
+    votes = spark.createDataFrame([(1, None), (1, None), (1, "x")], "probe_id int, answer string")
+    verdicts = spark.createDataFrame([(1, None, True, "e"), (1, "x", False, "e")], "probe_id int, answer string, equivalent boolean, explanation string")
+    assert sorted(r["equivalent"] for r in V.fan_out(votes, verdicts).collect()) == [False, True, True]
+    merged = V.merge_equivalent(V.answer_freq(votes), verdicts)
+    assert collected(merged, "is_truth", "freq") == [(False, 1), (True, 2)]
+    facts = spark.createDataFrame([(1, 0, None, "a"), (2, 0, None, "b"), (2, 1, "y", "c")], "item_id int, pos int, answer string, text string")
+    assert collected(Q.reuse_by_answer(facts, ["text"]).fillna("-"), "item_id", "pos", "answer", "text") == [(1, 0, "-", "a"), (2, 0, "-", "a"), (2, 1, "y", "c")]
+
+
+def test_prompts_with_placeholders_in_questions(spark):
+    grouped = spark.createDataFrame([(1, 0, 1, 0, "math", "why [F]?"), (2, 1, 1, 1, "math", "so?")], "item_id int, idx int, scope int, group_id int, task string, question string")
+    injected = spark.createDataFrame([(1, 0, 0, 0, "FACT [Q]")], "scope int, group_id int, idx int, pos int, knowledge string")
+    found = {r["item_id"]: r["prompt"] for r in R.build_prompt(grouped, injected).collect()}
+    assert found[1] == "User:\nwhy [F]?\nPlease update your knowledge with the following facts:\nFACT [Q]\nAssistant:\n"
+    assert found[2] == "User:\nso?\nAssistant:\n"
+
+
+def test_hashed_bootstrap_is_binomial(spark):
+    cells = spark.createDataFrame([("a", 400, 100, 60, 40, 200), ("b", 50, 50, 0, 0, 0), ("c", 10**9, 3 * 10**8, 0, 0, 7 * 10**8)],
+                                  "run string, n bigint, both bigint, ap_only bigint, fke_only bigint, neither bigint")
+    found = {(r["run"], r["metric"]): r for r in M.bootstrap_hashed(cells, ["run"]).collect()}
+    rng = np.random.default_rng(0)
+    for metric, hits in (("hp", 100), ("ap", 160), ("fke", 140)):
+        low, high = np.percentile(rng.binomial(400, hits / 400, 200_000) / 4, [2.5, 97.5])
+        assert abs(found["a", metric]["lower"] - low) < 1 and abs(found["a", metric]["upper"] - high) < 1
+        assert found["a", metric]["observed"] == hits / 4
+    assert found["b", "hp"]["lower"] == found["b", "hp"]["upper"] == 100
+    spread = 100 * (0.3 * 0.7 / 10**9) ** 0.5
+    assert abs(found["c", "hp"]["lower"] - (30 - 1.96 * spread)) < 0.3 * spread
+
+
+def test_a_sample_finds_the_large_group(spark, monkeypatch):
+    seen = []
+    across = O._position_across_tasks
+    monkeypatch.setattr(O, "_position_across_tasks", lambda df, *rest: seen.append({r["k"] for r in df.select("k").distinct().collect()}) or across(df, *rest))
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("k"), "id")
+    placed = O.position_in_group(rows, ["k"], ["id"], limit=5000)  # a fifth of the rows is sampled
+    assert seen == [{"hot"}]
+    assert placed.filter("k = 'hot' and pos * 2 != id").count() == 0
+    assert placed.groupBy("k").agg((F.max("pos") + 1 == F.count("*")).alias("dense")).filter("not dense").count() == 0

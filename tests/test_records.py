@@ -13,7 +13,9 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_read_items_skips_what_is_no_item(spark, tmp_path):
     (tmp_path / "items.json").write_text('{"item_id": 1, "probe_questions": [{"question": "q"}]}\nnot json\n')
-    rows = A.read_items(spark, str(tmp_path)).collect()
+    read = A.read_items(spark, str(tmp_path)).cache()
+    assert read.filter("_broken is not null").count() == 1
+    rows = A.sound_items(read).collect()
     assert [(r["item_id"], r["probe_questions"][0]["question"], r["multihop_question"]) for r in rows] == [(1, "q", None)]
 
 
@@ -43,6 +45,8 @@ def test_patch_fills_gaps_anywhere(spark):
     partial = spark.createDataFrame([(1, "old"), (4, "old")], "id bigint, x string")
     out = {r["id"]: r["x"] for r in A.patch_missing(full, partial, ["id"], lambda missing: missing).collect()}
     assert out == {0: "new", 1: "old", 2: "new", 3: "new", 4: "old", 5: "new"}
+    ordered = A.patch_missing(full, partial, ["id"], lambda missing: missing, order=["id"]).collect()
+    assert [r["id"] for r in ordered] == list(range(6))
 
 
 def test_stat_is_reloaded_only_under_same_arguments(spark, tmp_path):

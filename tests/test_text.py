@@ -149,6 +149,26 @@ def test_parse_kqa_follows_pattern(spark, parts):
     assert [sorted(g) for g in got] == [sorted(python_kqa(t)) for t in texts]
 
 
+def test_parse_kqa_is_linear(spark):
+    import time
+
+    blocks = "".join(f"\nKnowledge: k{i}\nQuestion: q{i}" for i in range(800))
+    rows = spark.createDataFrame([(1, blocks), (2, blocks + "\nAnswer: a")], "i int, t string").cache()
+    rows.count()
+    Q.parse_kqa(rows.limit(0), "t").count()
+    start = time.time()
+    found = Q.parse_kqa(rows, "t").collect()
+    assert time.time() - start < 5
+    assert [(r["i"], r["answer"]) for r in found] == [(2, "a")] and found[0]["knowledge"] == "k0"
+
+
+def test_a_docstring_that_is_not_there_falls_back(spark):
+    calls = spark.createDataFrame([("f", ["x"], [])], "function string, positional_args array<string>, keyword_args array<struct<name string, value string>>")
+    for doc, want in (("N/A", "f(a)"), ("  ", "f(a)"), ("Does.", "Does.")):
+        catalog = spark.createDataFrame([("f", "f(a)", ["a"], doc)], "function string, signature_string string, positional_params array<string>, docstring string")
+        assert Q.call_knowledge(calls, catalog).first()["docstring"] == want
+
+
 def test_property_tables_agree():
     assert len(ALLOWED_PROPS) == 36 and "P30" not in ALLOWED_PROPS
     assert set(SUBJECT_RULES) | set(OBJECT_RULES) <= set(ALLOWED_PROPS)

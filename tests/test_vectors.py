@@ -8,7 +8,6 @@ from lorescope.operators import moments as P
 from lorescope.operators import plugins as U
 from lorescope.operators import retrieval as V
 from lorescope.operators import stats as S
-from lorescope.plans.catalog import QUERIES
 from lorescope.plans.stream_queries import MeanAndVariance
 from lorescope.sources.tables import table
 
@@ -60,9 +59,40 @@ def test_divisibility_indicators(spark):
 
 
 def test_vectors_of_different_length_are_refused(spark):
-    df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, v array<double>").coalesce(1)
-    with pytest.raises(Exception, match="different length"):
-        P.partial_moments(df, "v").collect()
+    for rows in ([(1, [1.0]), (2, [1.0, 2.0])], [(1, [1.0] * 3), (2, [1.0] * 5)]):
+        df = spark.createDataFrame(rows, "id bigint, v array<double>").coalesce(1)
+        with pytest.raises(Exception, match="different length"):
+            P.partial_moments(df, "v").collect()
+    gap = spark.createDataFrame([(1, [1.0, None])], "id bigint, v array<double>")
+    with pytest.raises(Exception, match="a gap"):
+        P.partial_moments(gap, "v").collect()
+
+
+def test_merging_moves_one_row_per_task(spark):
+    df = frame(spark, np.random.default_rng(3).normal(size=(64, 5)))
+    states = P.partial_moments(df, "v")
+    assert states.count() <= df.rdd.getNumPartitions()
+    plan = P.covariance(P.merge_moments(states))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_quantiles_leave_out_nulls(spark):
+    rows = spark.createDataFrame([("g", float(i), i) for i in range(1, 6)] + [("g", None, 9)], "g string, x double, k int")
+    found = {r["part"]: r["quantile"] for r in S.exact_quantiles(rows, "g", "x", "k", [0, 50, 100], 100).collect()}
+    assert found == {0: 1.0, 50: 3.0, 100: 5.0}
+
+
+def test_facts_with_placeholders_in_questions(spark):
+    asked = spark.createDataFrame([(1, "why [F] and [Q]?", "FACT")], "k int, subquestion string, retrieved string")
+    verdicts = spark.createDataFrame([(1, "yes")], "k int, verdict_text string")
+    prompt = V.use_if_relevant(asked, verdicts, "k").first()["prompt"]
+    assert prompt.startswith("Subquestion: why [F] and [Q]?\nRelevant Fact: FACT\n")
+
+
+def test_judge_replies_to_null_requests(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", "b")], "i int, x string, y string")
+    out = U.judge_once(rows, ["x", "y"], U.stub_judge, "x string, y string, verdict_text string").collect()
+    assert len(out) == 3 and all(r["verdict_text"] for r in out)
 
 
 def test_whiten(spark):
@@ -70,7 +100,9 @@ def test_whiten(spark):
     inverse = np.linalg.inv(data.T @ data / len(data))
     want = data @ inverse.T
     want /= np.linalg.norm(want, axis=1, keepdims=True)
-    got = np.stack([r["embedding"] for r in QUERIES["s20_whiten"](spark, SMALL).orderBy("vec_id").collect()])
+    vectors = table(spark, SMALL, "embeddings")
+    moment = P.second_moment(P.merge_moments(P.partial_moments(vectors, "embedding")))
+    got = np.stack([r["embedding"] for r in P.whiten(vectors, moment, "vec_id", "embedding").orderBy("vec_id").collect()])
     assert np.allclose(got, want, atol=1e-8)
 
 
