@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import crc_mod, lowered, mixed, narrowed, span_hashes, texts_of, word_spans
+from lorescope.llm.common import batch_rows, crc_mod, lowered, mixed, narrowed, span_hashes, texts_of, word_spans
 from lorescope.llm.registry import documents, query
 from lorescope.session import cut_lineage
 
@@ -415,7 +415,16 @@ def _summed(rows: DataFrame, width: int) -> np.ndarray:
     return np.frombuffer(few.first()["hashes"]).copy()
 
 
+BATCH = 500  # rows that Python tasks get at a time
+
+
 def score(docs: DataFrame, learn: Column) -> DataFrame:
+    """The scores of all rows as a stored table; see ``_scored``."""
+    with batch_rows(docs.sparkSession, BATCH):
+        return cut_lineage(_scored(docs, learn))
+
+
+def _scored(docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, learned (whether ``learn`` holds), n_bytes, n_tokens, n_known, train_tokens, base_score, score (log10 of
     the text's probability) and bits_per_byte of every row, from the rows for which ``learn`` holds."""
     spark = docs.sparkSession
