@@ -62,9 +62,10 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
 
 
 def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many of each size to take, at most counts, so that they add up to budget or as near below as can be.
+    """How many of each size to take, at most counts, so that they add up as near to budget as can be.
 
-    Within the window the sum is the best there is; before it, sizes are taken in proportion and then the longest.
+    Within the window the sum is the best there is, the lower of two as near; before it, sizes are taken in
+    proportion and then the longest.
     """
     take = np.zeros(len(sizes), np.int64)
     whole = int((sizes * counts).sum())
@@ -82,7 +83,7 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
         take[i] += more
         left -= more * int(sizes[i])
     # Bit s of reach is set when some choice of the sizes seen so far adds up to s.
-    limit = min(left, max(window, int(sizes.max())))
+    limit = left + int(sizes.max())
     mask = (1 << (limit + 1)) - 1
     reach, steps = 1, []
     for i in order[::-1]:  # short sizes first
@@ -90,13 +91,16 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
         if size > limit:
             continue
         free = min(free, limit // size)
-        while free > 0 and not reach >> limit & 1:
+        while free > 0 and not reach >> left & 1:
             k = min(unit, free)
             steps.append((i, k, reach))
             reach |= reach << (k * size) & mask
             free -= k
             unit *= 2
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reach >> (left + 1)
+    above = left + 1 + (above & -above).bit_length() - 1 if above else None
+    at = below if above is None or left - below <= above - left else above
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             take[i] += k

@@ -85,7 +85,7 @@ def test_mixing(odd):
     for source in {r["source"] for r in rows}:
         own = [r for r in rows if r["source"] == source]
         taken = sum(r["size"] * r["copies"] for r in own)
-        assert taken <= own[0]["target"] + 0.5 and own[0]["source_size"] == sum(r["size"] for r in own)
+        assert taken <= 3 * own[0]["source_size"] and own[0]["source_size"] == sum(r["size"] for r in own)
     out = mixing.mixture(odd)
     assert out.columns == odd.columns
     assert out.count() == sum(r["copies"] for r in rows)
