@@ -134,4 +134,5 @@ def document_lengths(spark: SparkSession, folder: str, end: int = END, dtype: st
 def op7(spark, folder):
     place = scratch_path(spark, "tokens")
     order = write_tokens(documents(spark, folder), place, read_ranks())
-    return document_lengths(spark, place).join(order, ["file", "nth"]).select("doc_id", "n_tokens")
+    # The lengths come from a short list of files, which says nothing of their number: never a side to broadcast.
+    return document_lengths(spark, place).hint("merge").join(order, ["file", "nth"]).select("doc_id", "n_tokens")
