@@ -71,10 +71,12 @@ def position_in_group(
     fraction = min(1.0, _SAMPLED / limit)
     seen = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction, seed=17)
     counts = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = cut_lineage(counts.filter(F.col("__n") > limit * fraction).select(*keys))  # at most rows / limit keys
+    found = counts.filter(F.col("__n") > limit * fraction).select(*keys)
+    rows = found.collect()  # at most rows / limit keys
     within = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1
-    if large.isEmpty():
+    if not rows:
         return df.withColumn(name, within)
+    large = df.sparkSession.createDataFrame(rows, found.schema)
     small = df.join(F.broadcast(large), keys, "left_anti").withColumn(name, within)
     hot = df.join(F.broadcast(large), keys, "left_semi").select(*df.columns)
     return small.unionByName(_position_across_tasks(hot, keys, order, name))

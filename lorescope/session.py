@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -52,8 +53,23 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lorescope-{spark.sparkContext.applicationId}"
 
 
+_left_behind: set[str] = set()
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        clear_scratch(spark)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for this application under the shared folder; nothing is created yet."""
+    """A fresh path for this application under the shared folder; nothing is created yet.
+
+    What is written there is deleted when the driver's Python ends, if the
+    session still runs then; ``clear_scratch`` does it earlier.
+    """
+    if _own_folder(spark) not in _left_behind:
+        _left_behind.add(_own_folder(spark))
+        atexit.register(_clear_at_exit, spark)
     return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
