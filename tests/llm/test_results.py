@@ -334,3 +334,8 @@ def test_lm_learns(spark):
 def test_an_oracle_belongs_to_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_oracle(spark, name):
+    assert compare(catalog.QUERIES[name](spark, TINY), catalog.ORACLES[name], TINY) == ""
