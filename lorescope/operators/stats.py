@@ -128,10 +128,9 @@ def quantile_normalize(df: DataFrame, vector: str, key: str, table: DataFrame, c
     The readout has ``count`` numbers per dimension whatever the data size; it
     is shipped with the tasks.
     """
-    entries = table.select("dim", "part", "quantile").collect()  # d x count
-    grid = np.zeros((max(r["dim"] for r in entries) + 1, count))
-    for row in entries:
-        grid[row["dim"], row["part"]] = row["quantile"]
+    entries = F.array_sort(F.collect_list(F.struct("dim", "part", "quantile")))
+    flat = table.agg(F.transform(entries, lambda e: e["quantile"]).alias("q")).first()["q"]  # one row of d x count numbers
+    grid = np.array(flat, float).reshape(-1, count)
     levels = np.arange(count) / (count - 1)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorescope.functions import names
 from lorescope.operators import reshape as R
 from lorescope.operators.ordering import dense_index
 from lorescope.plans.registry import Inputs, query
@@ -185,23 +186,25 @@ def c11(t):
     return R.completeness(grid(t), asked, asked.filter("done"), GRID)
 
 
-_ALIASES = [("promo-7b", "lab/Promo-7B-Instruct"), ("small-11b", "lab/Small-11B-Vision"), ("economy-3b", "lab/Economy-3B")]
+# Part types stand for model lines, part sizes for billions of parameters.
+_LINES = {"PROMO": "llama-3.2", "SMALL": "qwen-2.5", "ECONOMY": "qwen-3"}
+_SIZE_SQL = "regexp_extract(model, '(\\d+(\\.\\d+)?)b', 1)"
 
 
-@query("c12_model_dim", """
-    SELECT model, CASE model WHEN 'promo-7b' THEN 'lab/Promo-7B-Instruct' WHEN 'small-11b' THEN 'lab/Small-11B-Vision'
-        WHEN 'economy-3b' THEN 'lab/Economy-3B' ELSE model END AS full_name,
-      TRY_CAST(regexp_extract(model, '(\\d+(\\.\\d+)?)b', 1) AS DOUBLE) AS size_b, n_parts,
-      CASE regexp_extract(model, '(\\d+(\\.\\d+)?)b', 1) WHEN '' THEN 12.0::DOUBLE WHEN '7' THEN 30.0 WHEN '11' THEN 30.0
-        ELSE 4 * TRY_CAST(regexp_extract(model, '(\\d+(\\.\\d+)?)b', 1) AS DOUBLE) END AS memory_gb
-    FROM (SELECT concat(lower(p_type), CASE WHEN p_size > 40 THEN '' ELSE concat('-', p_size, CASE WHEN p_type = 'LARGE' THEN '.5b' ELSE 'b' END) END) AS model,
-      count(*) AS n_parts FROM {part} GROUP BY 1) x""")
+@query("c12_model_dim", f"""
+    SELECT model, CASE model {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.MODEL_ALIASES.items())} ELSE model END AS full_name,
+      TRY_CAST({_SIZE_SQL} AS DOUBLE) AS size_b, n_parts,
+      CASE {_SIZE_SQL} WHEN '' THEN 12.0::DOUBLE WHEN '7' THEN 30.0 WHEN '11' THEN 30.0 ELSE 4 * TRY_CAST({_SIZE_SQL} AS DOUBLE) END AS memory_gb
+    FROM (SELECT concat(CASE p_type WHEN 'PROMO' THEN 'llama-3.2' WHEN 'SMALL' THEN 'qwen-2.5' WHEN 'ECONOMY' THEN 'qwen-3' ELSE lower(p_type) END,
+        CASE WHEN p_size > 40 THEN '' ELSE concat('-', p_size, CASE WHEN p_type = 'LARGE' THEN '.5b' ELSE 'b' END) END) AS model,
+      count(*) AS n_parts FROM {{part}} GROUP BY 1) x""")
 def c12(t):
+    line = F.coalesce(*[F.when(F.col("p_type") == k, F.lit(v)) for k, v in _LINES.items()], F.lower("p_type"))
     suffix = F.when(F.col("p_type") == "LARGE", ".5b").otherwise("b")
     size = F.when(F.col("p_size") > 40, "").otherwise(F.concat(F.lit("-"), F.col("p_size").cast("string"), suffix))
-    models = t.part.groupBy(F.concat(F.lower("p_type"), size).alias("model")).agg(F.count(F.lit(1)).alias("n_parts"))
-    aliases = t.spark.createDataFrame(_ALIASES, "alias string, full_name string")
-    return R.model_dim(models, aliases, {"7b": 30.0, "11b": 30.0}, default=12.0)
+    models = t.part.groupBy(F.concat(line, size).alias("model")).agg(F.count(F.lit(1)).alias("n_parts"))
+    aliases = t.spark.createDataFrame(list(names.MODEL_ALIASES.items()), "alias string, full_name string")
+    return R.model_dim(models, aliases, names.MODEL_MEMORY, names.DEFAULT_MEMORY)
 
 
 # The order priorities stand for models; one keeps its name.

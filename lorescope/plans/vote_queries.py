@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lorescope.operators import distributions as H
 from lorescope.operators import votes as V
+from lorescope.functions import names
 from lorescope.plans.registry import Inputs, query
+from lorescope.plans.reshape_queries import MODEL_IDS
 
 
 def truth(t: Inputs) -> DataFrame:
@@ -129,11 +131,11 @@ def h1(t):
     return _histogram(t, "task")
 
 
-_FAMILY = {"1-URGENT": "high", "2-HIGH": "high", "3-MEDIUM": "middle", "4-NOT SPECIFIED": "low", "5-LOW": "low"}
-_FAMILY_SQL = "CASE model " + " ".join(f"WHEN '{m}' THEN '{f}'" for m, f in _FAMILY.items()) + " END AS family"
+_FAMILY_SQL = "CASE model WHEN '1-URGENT' THEN 'Llama-3.2 Series' WHEN '2-HIGH' THEN 'Qwen-3 Series' WHEN '3-MEDIUM' THEN 'GPT Series' WHEN '5-LOW' THEN 'GPT Series' END AS family"
 
 
 @query("h2_kconf_model", f"SELECT *, {_FAMILY_SQL} FROM (" + _histogram_sql("model") + ") h")
 def h2(t):
-    families = t.spark.createDataFrame(list(_FAMILY.items()), "model string, family string")
-    return _histogram(t, "model").join(F.broadcast(families), "model")
+    families = [(m, names.FAMILIES[i]) for m, i in MODEL_IDS.items()]
+    known = t.spark.createDataFrame(families, "model string, family string")
+    return _histogram(t, "model").join(F.broadcast(known), "model", "left")
