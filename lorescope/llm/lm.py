@@ -46,6 +46,7 @@ KIND_BITS = 3
 BLEND = 0.05  # of the whole corpus in the word shares of a kind
 STEPS = 33  # of an adaptive map
 PRIOR = 20.0  # tokens' worth of belief in the usual share of unknown words
+FAN = 16  # states of tasks that one task adds up
 CELLS = 1 << 17  # bytes spelled at a time
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -400,19 +401,22 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 
 def _summed(rows: DataFrame, width: int) -> np.ndarray:
-    """Sum of the vectors in ``hashes``, over tasks in two steps; one vector of fixed size reaches the driver."""
+    """Sum of the vectors in ``hashes``, FAN of them a task at a time; one vector of fixed size reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
-            for x in batch.column(1):
+            for x in batch.column(0):
                 total += np.frombuffer(x.as_buffer())
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], ["block", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["hashes"])
 
-    few = rows.select("block", "hashes")
-    for parts in (8, 1):
-        few = few.repartition(parts).mapInArrow(run, "block bigint, hashes binary")
-    return np.frombuffer(few.first()["hashes"]).copy()
+    few = rows.select("hashes")
+    parts = few.count()
+    while True:
+        parts = max(1, -(-parts // FAN))
+        few = few.repartition(parts).mapInArrow(run, "hashes binary")
+        if parts == 1:
+            return np.frombuffer(few.first()["hashes"]).copy()
 
 
 BATCH = 500  # rows that Python tasks get at a time
@@ -450,7 +454,7 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([mixer.state().tobytes()], pa.binary())], ["block", "hashes"])
 
     vocabulary = table.filter((F.col("kind") == _WORDS) & (F.octet_length("lens") > 0)).select("lens", "words")
-    weights = _summed(vocabulary.mapInArrow(weigh, "block bigint, hashes binary"), Mixer.width(len(SPELL_SLOTS), gates))
+    weights = _summed(cut_lineage(vocabulary.mapInArrow(weigh, "block bigint, hashes binary")), Mixer.width(len(SPELL_SLOTS), gates))
 
     counted = table.filter(F.col("kind") == _COUNTS).select("block", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("learned"), F.lit(None).cast("string").alias("text"), "hashes", "counts", F.col("lens").alias("kinds"))
     texts = rows.select(F.spark_partition_id().alias("block"), "doc_id", "learned", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("kinds"))
