@@ -106,10 +106,6 @@ def m5b(t):
     )
 
 
-def _pivot_sql(tasks, columns):
-    return ", ".join(columns(task) for task in tasks)
-
-
 @query("m6_main_table", "SELECT model, method, " + ", ".join(
     f"round(avg({m}::INT * 100.0) FILTER (WHERE task = '{t}'), 6) AS {t}_{m.upper()}" for t in TASKS for m in M.METRICS)
     + " FROM {scored} GROUP BY model, method")

@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lorescope.operators.ordering import position_in_group
 from lorescope.sources.tables import TABLES, table
