@@ -106,14 +106,6 @@ def crc_mod(column: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")) % n
 
 
-def free_name(df: DataFrame, wish: str) -> str:
-    """``wish``, or the same with underscores before it if a column of df has that name."""
-    taken = {c.lower() for c in df.columns}
-    while wish.lower() in taken:
-        wish = "_" + wish
-    return wish
-
-
 def narrowed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns, so that others, whatever their names, cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
