@@ -1,4 +1,8 @@
-"""From raw documents to token ids: five stages, each on all that the one before kept."""
+"""From raw documents to token ids: five stages, each on all that the one before kept.
+
+All stages but the last return the columns they got, extra ones included and whatever their names; an empty table
+stays empty; repeated rows are judged each, until the third stage leaves one row of an id.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +18,37 @@ SURE = 0.4  # least share of the likelihood that the best language must have
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; a NULL or empty text is judged like any other."""
+    """Documents that the quality classifier accepts.
+
+    A NULL text is judged as an empty one; rows with a NULL id are judged too; without labels all stay.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=~quality.held_out())
     return quality.keep_good(docs, model)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language of the table, not undecided between several; texts without a letter go."""
+    """Documents in a language of the table, not undecided between several.
+
+    NULL texts and texts without a letter go; a NULL ``lang`` is never learned from; without any language all go.
+    """
     return language.keep_known(docs, language.fit(docs, learn=~language.held_out()), SURE)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group, by shingles of five words and a similarity of 0.8."""
+    """One document, the smallest id, of every near-duplicate group, by shingles of five words and a similarity of 0.8.
+
+    NULL and empty texts are no copies of each other; rows with a NULL id stay.
+    """
     return neardup.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, up to three times."""
+    """Documents as often as the mix takes them, up to three times; a NULL source is a source."""
     return mixing.mixture(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row."""
+    """doc_id, n_tokens and ids of every row; a NULL or empty text has no ids."""
     return pieces.encode(docs, pieces.model_bytes()).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
 
 
