@@ -103,7 +103,8 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
 
 def crc_mod(column: str | Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; NULL counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")) % n
+    value = F.col(column) if isinstance(column, str) else column
+    return F.crc32(F.coalesce(value.cast("string"), F.lit(""))) % n
 
 
 def narrowed(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -178,3 +178,8 @@ def test_lm(odd, tmp_path):
     nothing = lm.score(docs, F.lit(False)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] < 0 for r in nothing)
     assert lm.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_held_out_rows_without_an_id(odd):
+    for module in (quality, language, lm):
+        assert odd.select(module.held_out().alias("h")).filter("h is null").count() == 0

@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from test_edges import odd  # noqa: F401  (a fixture)
 from test_results import SMALL, WORD, near_classes
 
 import corpus_pipeline
@@ -65,3 +66,14 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SMALL)
         assert out.count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd):
+    rows = odd
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, rows, SMALL)
+        if name != "tokens":
+            assert got.columns == odd.columns
+            assert got.count() <= (3 if name == "mixing" else 1) * rows.count()
+        rows = cut_lineage(got) if name != "tokens" else got
+    assert rows.count() >= 0 and rows.columns == ["doc_id", "n_tokens", "ids"]
