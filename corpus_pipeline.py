@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorescope.llm import language, mixing, neardup, pieces, quality
+from lorescope.llm.common import small_batches
 from lorescope.session import cut_lineage
 
 SURE = 0.4  # least share of the likelihood that the best language must have
@@ -22,6 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A NULL text is judged as an empty one; rows with a NULL id are judged too; without labels all stay.
     """
+    small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=~quality.held_out())
     return quality.keep_good(docs, model)
 
@@ -31,6 +33,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     NULL texts and texts without a letter go; a NULL ``lang`` is never learned from; without any language all go.
     """
+    small_batches(spark)
     return language.keep_known(docs, language.fit(docs, learn=~language.held_out()), SURE)
 
 
@@ -39,16 +42,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     NULL and empty texts are no copies of each other; rows with a NULL id stay.
     """
+    small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to three times; a NULL source is a source."""
+    small_batches(spark)
     return mixing.mixture(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every row; a NULL or empty text has no ids."""
+    small_batches(spark)
     return pieces.encode(docs, pieces.model_bytes()).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -153,4 +154,33 @@ def filtered(docs: DataFrame, column: str, make: Callable[[], Callable[[pa.Array
         for batch in batches:
             yield batch.filter(pa.array(test(batch.column(at)), pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(frugal(run), plain.schema).toDF(*docs.columns)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same function of batches; when a task ends, its free memory goes back to the system.
+
+    Python workers serve one task after another, and what one leaves allocated counts against the next.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library, which has no such call
+                pass
+
+    return go
+
+
+TEXT_ROWS = 1000  # rows with whole texts that a Python task should get at a time
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to hand Python tasks TEXT_ROWS rows at a time, if it would hand them more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))

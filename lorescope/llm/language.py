@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import crc_mod, filtered, narrowed, texts_of
+from lorescope.llm.common import crc_mod, filtered, frugal, narrowed, texts_of
 from lorescope.llm.registry import documents, query
 
 SAMPLE_DOCS = 64
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             labels, scores = own.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    return narrowed(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return narrowed(docs, ["doc_id", "text"]).mapInArrow(frugal(run), "doc_id bigint, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import batch_rows, crc_mod, lowered, mixed, narrowed, span_hashes, texts_of, word_spans
+from lorescope.llm.common import batch_rows, crc_mod, frugal, lowered, mixed, narrowed, span_hashes, texts_of, word_spans
 from lorescope.llm.registry import documents, query
 from lorescope.session import cut_lineage
 
@@ -331,7 +331,7 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
                 yield _row(_WORDS, b, block, hashes[own], counts[own], lens[own].astype(np.int32), _gathered(words, place[own], lens[own]))
         yield _row(_REPEATS, -1 - block % 16, block, np.concatenate([table.ravel(), mixer.state()]))
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(frugal(run), _SCHEMA)
 
 
 def _by_kind(back: np.ndarray, counts: np.ndarray, n: int, kind: type = np.int32) -> np.ndarray:
@@ -397,7 +397,7 @@ def _merged(rows: DataFrame) -> DataFrame:
             yield _row(_SPELLING, -1, task, spelling.astype(np.float64))
         yield _row(_TOTALS, -1, task, totals)
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _SCHEMA)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(run), _SCHEMA)
 
 
 def _summed(rows: DataFrame, width: int) -> np.ndarray:
@@ -414,7 +414,7 @@ def _summed(rows: DataFrame, width: int) -> np.ndarray:
     parts = few.count()
     while True:
         parts = max(1, -(-parts // FAN))
-        few = few.repartition(parts).mapInArrow(run, "hashes binary")
+        few = few.repartition(parts).mapInArrow(frugal(run), "hashes binary")
         if parts == 1:
             return np.frombuffer(few.first()["hashes"]).copy()
 
@@ -454,7 +454,7 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([mixer.state().tobytes()], pa.binary())], ["block", "hashes"])
 
     vocabulary = table.filter((F.col("kind") == _WORDS) & (F.octet_length("lens") > 0)).select("lens", "words")
-    weights = _summed(cut_lineage(vocabulary.mapInArrow(weigh, "block bigint, hashes binary")), Mixer.width(len(SPELL_SLOTS), gates))
+    weights = _summed(cut_lineage(vocabulary.mapInArrow(frugal(weigh), "block bigint, hashes binary")), Mixer.width(len(SPELL_SLOTS), gates))
 
     counted = table.filter(F.col("kind") == _COUNTS).select("block", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("learned"), F.lit(None).cast("string").alias("text"), "hashes", "counts", F.col("lens").alias("kinds"))
     texts = rows.select(F.spark_partition_id().alias("block"), "doc_id", "learned", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("kinds"))
@@ -515,7 +515,7 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
 
     names = ["doc_id", "learned", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = "doc_id bigint, learned boolean, n_bytes bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    scored = both.repartition("block").sortWithinPartitions("block", "order").mapInArrow(run, schema)
+    scored = both.repartition("block").sortWithinPartitions("block", "order").mapInArrow(frugal(run), schema)
     return scored.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")))
 
 
@@ -544,7 +544,7 @@ def _totals(table: DataFrame) -> tuple[int, ...]:
             values = np.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([pa.array(values[:, i]) for i in range(len(names))], names)
 
-    found = table.filter(F.col("kind") == _TOTALS).select("hashes").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    found = table.filter(F.col("kind") == _TOTALS).select("hashes").mapInArrow(frugal(run), ", ".join(f"{c} bigint" for c in names))
     return tuple(found.agg(*[F.sum(c) for c in names]).first())
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import narrowed, texts_of
+from lorescope.llm.common import frugal, narrowed, texts_of
 from lorescope.llm.registry import documents, query
 
 BLOCK = 576  # bytes of 24 x 24 grey or 24 x 8 coloured pixels
@@ -141,7 +141,7 @@ def texts_as_media(docs: DataFrame) -> DataFrame:
                     media.append(stored(data[a : a + n].ljust(full, b"\xff")))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return narrowed(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return narrowed(docs, ["doc_id", "text"]).mapInArrow(frugal(run), "doc_id bigint, n_bytes bigint, media binary")
 
 
 FEATURES = (
@@ -175,7 +175,7 @@ def media_features(rows: DataFrame, keep: list[str], media: str = "media") -> Da
             arrays = [pa.array(list(column), kind) for column, kind in zip(zip(*own), types)] if own else [pa.array([], kind) for kind in types]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names)
 
-    return narrowed(rows, [*keep, media]).mapInArrow(run, f"{schema}, {FEATURES}")
+    return narrowed(rows, [*keep, media]).mapInArrow(frugal(run), f"{schema}, {FEATURES}")
 
 
 @query("op8_media")

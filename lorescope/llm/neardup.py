@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import batch_rows, lowered, mixed, narrowed, rows_of, rows_without, span_hashes, texts_of, word_spans
+from lorescope.llm.common import batch_rows, frugal, lowered, mixed, narrowed, rows_of, rows_without, span_hashes, texts_of, word_spans
 from lorescope.llm.registry import documents, query
 from lorescope.session import cut_lineage
 
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             )
 
     schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, mins array<int>"
-    return narrowed(docs, ["doc_id", "text"]).mapInArrow(run, schema)
+    return narrowed(docs, ["doc_id", "text"]).mapInArrow(frugal(run), schema)
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
     rows = first.unionByName(rest).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
     with batch_rows(docs.sparkSession, 256):
-        return cut_lineage(rows.mapInArrow(run, "a bigint, b bigint").distinct())
+        return cut_lineage(rows.mapInArrow(frugal(run), "a bigint, b bigint").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _pairs_within(groups: DataFrame, docs: DataFrame, words: int, percent: int)
 
     dealt = rows.repartition("b", "p", "q").sortWithinPartitions("b", "p", "q")
     with batch_rows(docs.sparkSession, 256):
-        return cut_lineage(dealt.mapInArrow(run, "a bigint, b bigint").distinct())
+        return cut_lineage(dealt.mapInArrow(frugal(run), "a bigint, b bigint").distinct())
 
 
 def _shared(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lorescope.llm.common import narrowed, texts_of
+from lorescope.llm.common import frugal, narrowed, texts_of
 from lorescope.llm.registry import documents, query
 
 MODEL = os.environ.get("LORESCOPE_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = THREADS) -> DataFrame:
                     ["doc_id", "n_bytes", "ids", "parity", "round_trip"],
                 )
 
-    return narrowed(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id bigint, n_bytes bigint, ids array<int>, parity boolean, round_trip boolean")
+    return narrowed(docs, ["doc_id", "text"]).mapInArrow(frugal(run), "doc_id bigint, n_bytes bigint, ids array<int>, parity boolean, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -259,7 +259,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
             texts = pa.array([x if v else None for x, v in zip(decoded, valid)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    return encoded.mapInArrow(frugal(run), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 @query("op4_sentencepiece")

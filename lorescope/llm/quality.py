@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import crc_mod, filtered, lowered, narrowed, span_hashes, texts_of, word_spans
+from lorescope.llm.common import crc_mod, filtered, frugal, lowered, narrowed, span_hashes, texts_of, word_spans
 from lorescope.llm.registry import documents, query
 
 N_STATS = 18
@@ -128,7 +128,7 @@ def _with_statistics(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, stats.size + 1, N_STATS, dtype=np.int32), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "fold", "stats"])
 
-    return docs.select("doc_id", "fold", "text").mapInArrow(run, "doc_id bigint, fold int, stats array<float>")
+    return docs.select("doc_id", "fold", "text").mapInArrow(frugal(run), "doc_id bigint, fold int, stats array<float>")
 
 
 def _stats_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -147,7 +147,7 @@ def _summed(rows: DataFrame, run, width: int) -> dict[int, np.ndarray]:
         return pd.DataFrame({"fold": [frame["fold"].iloc[0]], "part": [0], "state": [total.tobytes()]})
 
     schema = "fold int, part int, state binary"
-    states = rows.mapInArrow(run, schema)
+    states = rows.mapInArrow(frugal(run), schema)
     for keys in (["fold", F.col("part") % 8], ["fold"]):
         states = states.groupBy(*keys).applyInPandas(add, schema)
     return {r["fold"]: np.frombuffer(r["state"]).copy() for r in states.collect()}
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 [batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"]
             )
 
-    return narrowed(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return narrowed(docs, ["doc_id", "text"]).mapInArrow(frugal(run), "doc_id bigint, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

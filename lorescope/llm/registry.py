@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorescope.llm.common import small_batches
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -23,4 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of whole texts; from here on Python tasks of the session get fewer rows at a time."""
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from lorescope.llm.common import narrowed, texts_of
+from lorescope.llm.common import frugal, narrowed, texts_of
 from lorescope.llm.registry import documents, query
 from lorescope.session import cut_lineage, scratch_path
 
@@ -78,7 +78,7 @@ def write_tokens(docs: DataFrame, folder: str, ranks: dict[bytes, int], end: int
                 nth += n
         store.move(working, f"{path}/{name}")
 
-    return cut_lineage(narrowed(docs, ["doc_id", "text"]).mapInArrow(run, "file string, nth bigint, doc_id bigint"))
+    return cut_lineage(narrowed(docs, ["doc_id", "text"]).mapInArrow(frugal(run), "file string, nth bigint, doc_id bigint"))
 
 
 def token_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
@@ -112,7 +112,7 @@ def document_lengths(spark: SparkSession, folder: str, end: int = END, dtype: st
     names = ["file", "start", "size", "ends", "before", "last_end", "inner"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     schema = "file string, start bigint, size bigint, ends bigint, before bigint, last_end bigint, inner array<bigint>"
-    found = blocks.repartition(parts, "file", "start").mapInArrow(scan, schema)
+    found = blocks.repartition(parts, "file", "start").mapInArrow(frugal(scan), schema)
     earlier = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     last = F.row_number().over(W.partitionBy("file").orderBy(F.col("start").desc())) == 1
     # Where the document at a block's first token began, and how many documents ended before.
