@@ -33,7 +33,7 @@ from lorescope.llm.common import batch_rows, crc_mod, frugal, lowered, mixed, na
 from lorescope.llm.registry import documents, query
 from lorescope.session import cut_lineage
 
-BUCKET_WORDS = 2_000_000  # words of blocks that meet in one bucket, about
+BUCKET_WORDS = 500_000  # words of blocks that meet in one bucket, about
 END = np.uint64(0x5BD1E995A1B2C3D5)  # stands for the end token among word hashes
 
 # Slots of the context tables for spelling: by place, by the last byte, the last two, three and four.
@@ -317,7 +317,7 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
                     for s in own:
                         table[0] += np.bincount(s, 1 - bits, width)
                         table[1] += np.bincount(s, bits, width)
-                if len(waiting) > 15:
+                if len(waiting) > 47:
                     have = merged([have, *waiting])
                     waiting = []
         hashes, counts, lens, words = merged([have, *waiting])
@@ -419,7 +419,7 @@ def _summed(rows: DataFrame, width: int) -> np.ndarray:
             return np.frombuffer(few.first()["hashes"]).copy()
 
 
-BATCH = 500  # rows that Python tasks get at a time
+BATCH = 100  # rows, with whole texts or with words by bucket, that Python tasks get at a time
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
