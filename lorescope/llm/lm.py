@@ -10,9 +10,14 @@ what they hold; counts and maps are added up, weights averaged by the bits behin
 Known words cost by kind of document: a few bits of a hash of its words name a text's kind in training, and a text is
 scored by the kinds mixed as they predicted it so far.
 
+Word order counts by a second prediction of every known word, repeated or not: CODE_BITS bits of its hash, each
+predicted from the text's kind, the word before and the two before, mixed, gated and refined as above, and then the
+word's share of the training tokens with these bits. Both predictions are averaged by weights that follow how well each
+did in the text so far. The tables of the last two contexts grow with the corpus up to 2**MOST_CODE_SLOTS slots each.
+
 Counts of words are exact and grow with the corpus: a block of documents sends each of its words once to the word's
-bucket, where counts are added and sent back to the blocks that have the word. Words meet by 64-bit hashes. Tables
-of contexts have a fixed size. A block is what one task reads, so ``docs`` has to be a stored table, whose tasks
+bucket, where counts are added and sent back to the blocks that have the word. Words meet by 64-bit hashes. The other
+tables of contexts have a fixed size. A block is what one task reads, so ``docs`` has to be a stored table, whose tasks
 are the same each time; a word that a block did not announce raises an error.
 
 Cases: a NULL text is empty and has only the end token; repeated rows are scored, and learned from, each; without
@@ -48,6 +53,11 @@ STEPS = 33  # of an adaptive map
 PRIOR = 20.0  # tokens' worth of belief in the usual share of unknown words
 FAN = 16  # states of tasks that one task adds up
 CELLS = 1 << 17  # bytes spelled at a time
+CODE_BITS = 8  # of a word's hash that are predicted in context
+MOST_CODE_SLOTS = 21  # log2 of the slots by the last word, and of those by the last two
+PIECE = 1 << 17  # numbers of the code tables that travel in one row
+TRUST = 0.3  # in the words predicted in context, at the start of a text
+TRUST_TOKENS = 8.0  # how many tokens that belief is worth
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -85,7 +95,7 @@ class Mixer:
     def _dot(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         dot = np.zeros(len(gate))
         for j, x in enumerate(inputs):
-            dot += self.weights[gate, j] * x
+            dot += self.weights[:, j][gate] * x
         return np.clip(dot, -12, 12)
 
     def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bits: np.ndarray) -> None:
@@ -196,6 +206,93 @@ def spell_cost(words: np.ndarray, lens: np.ndarray, table: np.ndarray, mixer: Mi
     return cost
 
 
+# Known words in context.
+
+
+def code_slots(size: int) -> int:
+    """log2 of the slots that each of the two tables by earlier words has for texts of ``size`` bytes in all."""
+    return min(max(size.bit_length() - 7, 12), MOST_CODE_SLOTS)
+
+
+def _code_bits(code: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray], log_slots: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Each bit of the codes, highest first, and its slot by kind (no two share one) and by every context."""
+    mask, base = (1 << log_slots) - 1, KINDS << CODE_BITS
+    spread = [(mixed(c * _A + np.uint64(j)) >> np.uint64(8)).astype(np.int64) for j, c in enumerate(contexts)]
+    node = np.ones(len(code), np.int64)
+    for shift in range(CODE_BITS - 1, -1, -1):
+        bit = code >> shift & 1
+        slots = [(kind << CODE_BITS) + node]
+        for j, context in enumerate(spread):
+            slots.append(base + (j << log_slots) + ((context + node * 0x9E3779B1) & mask))
+        yield bit, slots
+        node = node * 2 + bit
+
+
+def code_table(log_slots: int) -> np.ndarray:
+    """Zeros and ones seen in every slot."""
+    return np.zeros(((KINDS << CODE_BITS) + (2 << log_slots), 2), np.float32)
+
+
+def _levels(seen: np.ndarray) -> np.ndarray:
+    """0 to 3: a context never seen, once or twice, up to fifteen times, more often."""
+    return (seen > 0).astype(np.int8) + (seen > 2) + (seen > 15)
+
+
+CODE_INPUTS, CODE_GATES = 3, 16
+
+
+def code_mixer(state: np.ndarray | None = None) -> Mixer:
+    return Mixer(CODE_INPUTS, CODE_GATES, state)
+
+
+def code_learn(code: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray], log_slots: int, table: np.ndarray, mixer: Mixer) -> None:
+    """Learn the weights from what the table holds so far, then add the codes to it."""
+    flat, gate, seen = table.reshape(-1), None, []
+    for bit, slots in _code_bits(code, kind, contexts, log_slots):
+        counts = [table[s] for s in slots]
+        if gate is None:
+            gate = sum(_levels(c.sum(1)).astype(np.int64) << 2 * j for j, c in enumerate(counts[1:]))
+        mixer.learn([_stretch(c[:, 0], c[:, 1]) for c in counts], gate, bit.astype(np.float64))
+        seen += [2 * s + bit for s in slots]
+    for at in seen:
+        np.add.at(flat, at, np.float32(1))
+
+
+class Codes:
+    """What scoring needs of the summed tables: stretched predictions, how often slots were seen, mass of each code by kind."""
+
+    def __init__(self, table: np.ndarray, log_slots: int, state: np.ndarray):
+        self.log_slots, self.state = log_slots, state
+        self.stretched = _stretch(table[:, 0], table[:, 1]).astype(np.float32)
+        self.levels = _levels(table.sum(1))
+        half = 1 << CODE_BITS - 1
+        leaves = table[: KINDS << CODE_BITS].reshape(KINDS, 2 * half, 2)[:, half:]
+        self.mass = leaves.reshape(KINDS, 2 * half).T.astype(np.float64)  # code x kind
+
+    def chances(self, code: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of every code, and how often its longest context was seen (0 to 3)."""
+        mixer, gate, p, level = code_mixer(self.state), None, np.ones(len(code)), None
+        for bit, slots in _code_bits(code, kind, contexts, self.log_slots):
+            if gate is None:
+                levels = [self.levels[s].astype(np.int64) for s in slots[1:]]
+                gate, level = sum(x << 2 * j for j, x in enumerate(levels)), levels[-1]
+            one = mixer.predict([self.stretched[s] for s in slots], gate)
+            p *= np.where(bit == 1, one, 1 - one)
+        return p, level
+
+
+def averaged(t: Tokens, first: np.ndarray, second: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Both probabilities of every token averaged; the weight is that the second earned in its group of tokens of the text so far."""
+    earned = TRUST * second / np.maximum(TRUST * second + (1 - TRUST) * first, 1e-300)
+    weight = np.zeros(len(first))
+    for g in range(4):
+        own = group == g
+        told = TRUST_TOKENS * TRUST + t.since_start(np.where(own, earned, 0.0))
+        weight = np.where(own, told / (TRUST_TOKENS + t.since_start(own.astype(np.float64))), weight)
+    weight = np.clip(weight, 0.0, 1.0)
+    return (1 - weight) * first + weight * second
+
+
 # Tokens of texts.
 
 
@@ -236,6 +333,11 @@ class Tokens:
             kind = kind * 2 + (np.bincount(self.text, sign, len(self.size)) > 0)
         return kind
 
+    def codes(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """CODE_BITS bits of every token's hash, and its contexts: the word before and the two before."""
+        last = self.earlier(self.hash, 1)
+        return (self.hash >> np.uint64(64 - CODE_BITS)).astype(np.int64), [last, mixed(last + self.earlier(self.hash, 2) * _B)]
+
     def since_start(self, values: np.ndarray) -> np.ndarray:
         """Sum of the values of earlier tokens of the same text."""
         total = np.cumsum(values) - values
@@ -270,7 +372,7 @@ def _by_key(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[t
                 start = i
 
 
-_WORDS, _COUNTS, _REPEATS, _SPELLING, _TOTALS = range(5)
+_WORDS, _COUNTS, _REPEATS, _SPELLING, _TOTALS, _CODES, _CODE_WEIGHTS = range(7)
 _SCHEMA = "kind int, bucket int, block int, hashes binary, counts binary, lens binary, words binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _TYPES = [pa.int32()] * 3 + [pa.binary()] * 4
@@ -281,8 +383,8 @@ def _row(kind: int, bucket: int, block: int, *blobs: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES)], _NAMES)
 
 
-def _announced(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of each block's words by bucket, with how often training rows of the block have them, and of repeats."""
+def _announced(docs: DataFrame, buckets: int, log_slots: int) -> DataFrame:
+    """Rows of each block's words by bucket, with how often training rows of the block have them, of repeats and of codes."""
     width = sum(REPEAT_SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,6 +393,7 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
         block = TaskContext.get().partitionId()
         have = (np.zeros(0, np.uint64), np.zeros((0, KINDS), np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint8))
         table, mixer = np.zeros((2, width)), Mixer(len(REPEAT_SLOTS), 8)
+        coded, code_weights = code_table(log_slots), code_mixer()
         waiting: list[tuple] = []
 
         def merged(parts: list[tuple]) -> tuple:
@@ -307,7 +410,8 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
                 learned = train[row:end][t.text]
                 unique, first, back = np.unique(t.hash, return_index=True, return_inverse=True)
                 lens = (t.ends - t.starts)[first]
-                counts = np.bincount(back * KINDS + t.kinds()[t.text], learned, len(unique) * KINDS).astype(np.int32).reshape(-1, KINDS)
+                kinds = t.kinds()[t.text]
+                counts = np.bincount(back * KINDS + kinds, learned, len(unique) * KINDS).astype(np.int32).reshape(-1, KINDS)
                 waiting.append((unique, counts, lens, _gathered(t.raw, t.starts[first], lens)))
                 if learned.any():
                     slots, gate = t.repeat_contexts()
@@ -317,6 +421,8 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
                     for s in own:
                         table[0] += np.bincount(s, 1 - bits, width)
                         table[1] += np.bincount(s, bits, width)
+                    code, contexts = t.codes()
+                    code_learn(code[learned], kinds[learned], [c[learned] for c in contexts], log_slots, coded, code_weights)
                 if len(waiting) > 47:
                     have = merged([have, *waiting])
                     waiting = []
@@ -330,6 +436,10 @@ def _announced(docs: DataFrame, buckets: int) -> DataFrame:
             if len(own):
                 yield _row(_WORDS, b, block, hashes[own], counts[own], lens[own].astype(np.int32), _gathered(words, place[own], lens[own]))
         yield _row(_REPEATS, -1 - block % 16, block, np.concatenate([table.ravel(), mixer.state()]))
+        yield _row(_CODE_WEIGHTS, -1 - block % 16, block, code_weights.state())
+        coded = coded.reshape(-1)
+        for i in range(0, len(coded), PIECE):
+            yield _row(_CODES, -17 - i // PIECE, block, coded[i : i + PIECE])
 
     return docs.mapInArrow(frugal(run), _SCHEMA)
 
@@ -356,7 +466,8 @@ def _merged(rows: DataFrame) -> DataFrame:
         task = TaskContext.get().partitionId()
         spelling = np.zeros((2, sum(SPELL_SLOTS)), np.float32)
         totals = np.zeros(3 + KINDS, np.int64)
-        sums, at, held = None, None, []
+        sums, weights, at, held = None, None, None, []
+        piece, piece_sum = None, None
 
         def bucket() -> Iterator[pa.RecordBatch]:
             hashes = np.concatenate([h[1] for h in held])
@@ -380,6 +491,19 @@ def _merged(rows: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 kind, b, block = (batch.column(c)[i].as_py() for c in range(3))
                 blobs = [batch.column(c)[i].as_buffer() for c in range(3, 7) if batch.column(c)[i].is_valid]
+                if kind == _CODES:
+                    own = np.frombuffer(blobs[0], np.float32)
+                    if b != piece:
+                        if piece_sum is not None:
+                            yield _row(_CODES, piece, -1, piece_sum)
+                        piece, piece_sum = b, own.copy()
+                    else:
+                        piece_sum += own
+                    continue
+                if kind == _CODE_WEIGHTS:
+                    own = np.frombuffer(blobs[0])
+                    weights = own.copy() if weights is None else weights + own
+                    continue
                 if kind == _REPEATS:
                     own = np.frombuffer(blobs[0])
                     sums = own.copy() if sums is None else sums + own
@@ -391,8 +515,12 @@ def _merged(rows: DataFrame) -> DataFrame:
                 held.append((block, *[np.frombuffer(x, t).copy() for x, t in zip(blobs, (np.uint64, np.int32, np.int32, np.uint8))]))
         if held:
             yield from bucket()
+        if piece_sum is not None:
+            yield _row(_CODES, piece, -1, piece_sum)
         if sums is not None:
             yield _row(_REPEATS, -1, task, sums)
+        if weights is not None:
+            yield _row(_CODE_WEIGHTS, -1, task, weights)
         if totals[0]:
             yield _row(_SPELLING, -1, task, spelling.astype(np.float64))
         yield _row(_TOTALS, -1, task, totals)
@@ -435,7 +563,8 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id"), F.coalesce(learn, F.lit(False)).alias("learned"), F.col("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, size // (8 * BUCKET_WORDS))
-    table = cut_lineage(_merged(_announced(rows.select("text", "learned"), buckets)))
+    log_slots = code_slots(size)
+    table = cut_lineage(_merged(_announced(rows.select("text", "learned"), buckets, log_slots)))
 
     seen = [int(v or 0) for v in _totals(table)]
     totals, by_kind = dict(zip(("n", "v", "once"), seen)), np.maximum(np.array(seen[3:], np.float64), 1)
@@ -444,6 +573,12 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
     slots = sum(SPELL_SLOTS)
     spelling = _summed(table.filter(F.col("kind") == _SPELLING), 2 * slots).reshape(2, slots).astype(np.float32)
     gates = len(SPELL_SLOTS) + 1
+    coded = code_table(log_slots)
+    for r in table.filter(F.col("kind") == _CODES).select("bucket", "hashes").toLocalIterator():
+        own, begin = np.frombuffer(r["hashes"], np.float32), (-17 - r["bucket"]) * PIECE
+        coded.reshape(-1)[begin : begin + len(own)] += own
+    code_state = _summed(table.filter(F.col("kind") == _CODE_WEIGHTS), Mixer.width(CODE_INPUTS, CODE_GATES))
+    shared_codes = spark.sparkContext.broadcast(Codes(coded, log_slots, code_state))  # bounded by MOST_CODE_SLOTS
     shared_table = spark.sparkContext.broadcast(spelling)  # of fixed size
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,6 +598,8 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell_mixer = Mixer(len(SPELL_SLOTS), gates, weights)
         repeat_table, repeat_mixer = repeats[: 2 * width].reshape(2, width), Mixer(len(REPEAT_SLOTS), 8, repeats[2 * width :])
+        codes = shared_codes.value
+        code_shares = (1 - BLEND) * codes.mass / by_kind + (BLEND / max(1, totals["n"])) * codes.mass.sum(1, keepdims=True)
         fresh = max(1.0, repeat_table[0][: REPEAT_SLOTS[0]].sum())  # training tokens that repeat nothing
         usual = min(0.9, (totals["once"] + 0.5) / (fresh + 1))
         at, parts, hashes, counts, shares = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, KINDS))
@@ -498,9 +635,13 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
                 unknown = (c == 0).astype(np.float64)
                 other = 1.0 - t.repeats
                 odd = (t.since_start(unknown * other) + PRIOR * usual) / (t.since_start(other) + PRIOR)
-                known = _known_share(t, shares[which], (c > 0) & (t.before == 0), by_kind / by_kind.sum())
+                known, kind = _known_share(t, shares[which], (c > 0) & (t.before == 0), by_kind / by_kind.sum())
                 anew = np.where(c > 0, (1 - odd) * known, odd * 10.0 ** np.maximum(np.nan_to_num(spelled[which]), -290.0))
                 p = np.where(t.before > 0, again * t.before / np.maximum(t.place, 1), (1 - again) * anew)
+                code, contexts = t.codes()
+                chance, level = codes.chances(code, kind, contexts)
+                part = np.where(c > 0, shares[which, kind] / np.maximum(code_shares[code, kind], 1e-300), 0.0)
+                p = averaged(t, p, chance * np.minimum(part, 1.0), level)
                 cost = np.log10(np.maximum(p, 1e-300))
                 plain = np.log10((c + 1) / (totals["n"] + totals["v"] + 1))
                 n = end - row
@@ -519,8 +660,8 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
     return scored.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")))
 
 
-def _known_share(t: Tokens, shares: np.ndarray, new: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Probability of the words that are new to their text, among known words not yet in it.
+def _known_share(t: Tokens, shares: np.ndarray, new: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of the words that are new to their text, among known words not yet in it, and the likeliest kind so far.
 
     Every kind of document has its own shares; the kinds are weighed by how well they predicted the text so far.
     """
@@ -532,7 +673,7 @@ def _known_share(t: Tokens, shares: np.ndarray, new: np.ndarray, prior: np.ndarr
         told[:, k] = np.log(prior[k]) + t.since_start(np.where(new, np.log(np.maximum(shares[:, k], 1e-300)), 0))
     told -= told.max(1, keepdims=True)
     weight = np.exp(told)
-    return np.minimum((weight * shares).sum(1) / weight.sum(1), 1.0)
+    return np.minimum((weight * shares).sum(1) / weight.sum(1), 1.0), told.argmax(1)
 
 
 def _totals(table: DataFrame) -> tuple[int, ...]:

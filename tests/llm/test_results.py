@@ -331,6 +331,26 @@ def test_lm_learns(spark):
     assert sum(r["score"] for r in known) > sum(r["base_score"] for r in known)
 
 
+def test_lm_hears_word_order(spark, tmp_path):
+    """Texts in the order of the training texts cost fewer bits than the same words shuffled; no word repeats in a text."""
+    from lorescope.llm import lm
+
+    draw = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+
+    def fluent():
+        at = np.cumsum(draw.choice([1, 2, 4], 14)) + draw.integers(60)
+        return [words[i % 60] for i in at]
+
+    learned = [(i, " ".join(fluent())) for i in range(1, 1000)]
+    asked = [fluent() for _ in range(50)]
+    rows = learned + [(1000 + k, " ".join(x)) for k, x in enumerate(asked)] + [(2000 + k, " ".join(draw.permutation(x))) for k, x in enumerate(asked)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    score = {r["doc_id"]: r["score"] for r in lm.score(spark.read.parquet(str(tmp_path / "d")), F.col("doc_id") < 1000).collect()}
+    lead = [score[1000 + k] - score[2000 + k] for k in range(50)]
+    assert sum(x > 0 for x in lead) >= 49 and sum(lead) / 50 > 2.0  # log10 of the probability
+
+
 def test_an_oracle_belongs_to_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
