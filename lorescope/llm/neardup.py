@@ -33,6 +33,8 @@ SIDE = 9
 ROWS = 2
 N_MINS = 2 * SIDE * ROWS
 CELL = 500_000  # shingles of a group compared with as many others in one step
+CELL_MEMBERS = 2000  # members of a group compared with as many others in one step, about
+TILE = 1024  # members on each side of the largest matrix
 SHARE = 64  # members checked against one copy of a bucket's smallest
 
 _GOLD = 0x9E3779B97F4A7C15
@@ -164,7 +166,7 @@ def components(links: DataFrame) -> DataFrame:
 def _groups(stars: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """(b, id, comp, slices) of all centres b and members whose group holds several components, but for centre pairs.
 
-    A group of more than CELL shingles in all is compared in slices.
+    A group of more than CELL shingles or CELL_MEMBERS members in all is compared in slices.
     """
     members = stars.select("b", F.col("a").alias("member")).union(stars.select("b", F.col("b").alias("member"))).distinct()
     sizes = reps.groupBy(F.col("rep").alias("member")).agg(F.max("n_shingles").alias("size"))
@@ -172,7 +174,8 @@ def _groups(stars: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     placed = placed.select("b", "member", F.coalesce("comp", "member").alias("comp"), "size")
     # A centre has met all its members, so two components matter only among three members or more.
     mixed_groups = placed.groupBy("b").agg(
-        F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.sum("size") / CELL).cast("int").alias("slices")
+        F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.ceil(F.greatest(F.sum("size") / CELL, F.count(F.lit(1)) / CELL_MEMBERS)).cast("int").alias("slices"),
     ).filter("n > 2 and low < high")
     return placed.join(mixed_groups.select("b", "slices"), "b").select("b", F.col("member").alias("id"), "comp", "slices")
 
@@ -181,7 +184,7 @@ def _pairs_within(groups: DataFrame, docs: DataFrame, words: int, percent: int)
     """Links (a, b) between members of different components in one group, on the full sets, as a stored table.
 
     Members are dealt into slices by a hash; every two slices meet in one cell, where products of membership
-    matrices count what any two sets share. Only links are written out.
+    matrices count what any two sets share, TILE members by TILE at a time. Only links are written out.
     """
     ids = cut_lineage(groups.select("id").distinct())
     texts = rows_of(narrowed(docs, ["doc_id", "text"]), "doc_id", ids)
@@ -196,50 +199,66 @@ def _pairs_within(groups: DataFrame, docs: DataFrame, words: int, percent: int)
         held: list[tuple] = []
         at = None
 
-        def links() -> pa.RecordBatch:
+        def links() -> Iterator[pa.RecordBatch]:
             own, ids, comps = (np.array([x[i] for x in held]) for i in range(3))
             size = np.array([len(x[3]) for x in held])
-            shared = _shared([x[3] for x in held])
-            good = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
-            good &= (shared > 0) & (comps[:, None] != comps[None, :]) & (ids[:, None] > ids[None, :])
-            good &= (own[:, None] != own[None, :]) | (at[1] == at[2])
-            i, j = np.nonzero(good)
-            return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64())], ["a", "b"])
+            for i, j, shared in _shared([x[3] for x in held]):
+                rows, columns = slice(i, i + shared.shape[0]), slice(j, j + shared.shape[1])
+                good = 100 * shared >= percent * (size[rows, None] + size[None, columns] - shared)
+                good &= (shared > 0) & (comps[rows, None] != comps[None, columns]) & (ids[rows, None] != ids[None, columns])
+                good &= (own[rows, None] != own[None, columns]) | (at[1] == at[2])
+                x, y = np.nonzero(good)
+                x, y = ids[x + i], ids[y + j]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], ["a", "b"])
 
         for batch in batches:
             heads = zip(*[batch.column(i).to_pylist() for i in range(6)])
             for (b, p, q, own, id_, comp), grams in zip(heads, shingle_sets(batch.column(6), words)):
                 if at != (b, p, q):
                     if len(held) > 1:
-                        yield links()
+                        yield from links()
                     held, at = [], (b, p, q)
                 held.append((own, id_, comp, grams))
         if len(held) > 1:
-            yield links()
+            yield from links()
 
     dealt = rows.repartition("b", "p", "q").sortWithinPartitions("b", "p", "q")
     with batch_rows(docs.sparkSession, 256):
         return cut_lineage(dealt.mapInArrow(frugal(run), "a bigint, b bigint").distinct())
 
 
-def _shared(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
-    """How many elements every two of the sets share; elements of one set only take no part."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, which, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    often = seen > 1
-    place = np.cumsum(often) - 1
-    keep = often[which]
-    column, owner = place[which[keep]], owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    total = np.zeros((len(sets), len(sets)), np.int64)
-    for low in range(0, int(often.sum()), columns):
-        a, b = np.searchsorted(column, [low, low + columns])
-        block = np.zeros((len(sets), columns), np.float32)
-        block[owner[a:b], column[a:b] - low] = 1
-        total += np.rint(block @ block.T).astype(np.int64)
-    return total
+def _shared(sets: list[np.ndarray], columns: int = 2048) -> Iterator[tuple[int, int, np.ndarray]]:
+    """How many elements every two of the sets share, in tiles: first row, first column and counts.
+
+    Tiles above the diagonal are left out, as they mirror those below.
+    """
+    tiles = []
+    for low in range(0, len(sets), TILE):
+        own = sets[low : low + TILE]
+        flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = np.argsort(flat, kind="stable")
+        tiles.append((low, len(own), flat[order], owner[order], *np.unique(flat, return_counts=True)))
+
+    def membership(tile: tuple, part: np.ndarray) -> np.ndarray:
+        _, n, flat, owner, *_ = tile
+        a, b = np.searchsorted(flat, part[0], "left"), np.searchsorted(flat, part[-1], "right")
+        column = np.searchsorted(part, flat[a:b])
+        has = part[column] == flat[a:b]
+        block = np.zeros((n, len(part)), np.float32)
+        block[owner[a:b][has], column[has]] = 1
+        return block
+
+    for k, tall in enumerate(tiles):
+        for wide in tiles[: k + 1]:
+            same = tall is wide
+            common = tall[4][tall[5] > 1] if same else np.intersect1d(tall[4], wide[4], assume_unique=True)
+            total = np.zeros((tall[1], wide[1]), np.int64)
+            for c in range(0, len(common), columns):
+                left = membership(tall, common[c : c + columns])
+                right = left if same else membership(wide, common[c : c + columns])
+                total += np.rint(left @ right.T).astype(np.int64)
+            yield tall[0], wide[0], total
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -351,6 +351,26 @@ def test_lm_hears_word_order(spark, tmp_path):
     assert sum(x > 0 for x in lead) >= 49 and sum(lead) / 50 > 2.0  # log10 of the probability
 
 
+def test_neardup_cells_are_bounded_in_members(spark):
+    """5001 short members of one centre are compared in three slices, and no matrix has a side for all of them."""
+    stars = spark.range(1, 5001).selectExpr("id AS a", "0L AS b")
+    reps = spark.range(5001).selectExpr("id AS rep", "7L AS n_shingles")
+    groups = neardup._groups(stars, spark.createDataFrame([], "id bigint, comp bigint"), reps)
+    assert [r["slices"] for r in groups.select("slices").distinct().collect()] == [3]
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 4000, 9).astype(np.uint64)) for _ in range(2500)]
+    found = {}
+    for i, j, shared in neardup._shared(sets):
+        assert max(shared.shape) <= 1024
+        found.update({(i + x, j + y): shared[x, y] for x, y in zip(*np.nonzero(shared)) if i + x > j + y})
+    holders, truth = collections.defaultdict(list), collections.Counter()
+    for k, own in enumerate(sets):
+        for g in own.tolist():
+            truth.update((k, other) for other in holders[g])
+            holders[g].append(k)
+    assert found == dict(truth)
+
+
 def test_an_oracle_belongs_to_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
