@@ -8,7 +8,7 @@ instead of SIDE * SIDE * 2 * ROWS. A pair at similarity t meets in some table wi
 Equal shingle sets are one representative from the start. Every bucket checks its members against its smallest
 one, and links join components, so groups of copies cost one check a member. Members of one centre that are then
 still in different components are compared in cells of bounded size by their full sets, and only links are
-written out, so that no link of a bucket is lost. That last step is quadratic in work, not in rows, for large groups
+written out, so that no link of a bucket is lost. That last step is quadratic in work and in rows for large groups
 whose members are all just below the threshold.
 
 Cases: texts without words or NULL have an empty set and are alone; with fewer words than a shingle the whole
