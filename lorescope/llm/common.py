@@ -113,6 +113,11 @@ def narrowed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever and as often as body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within the block, Python tasks get at most ``rows`` rows at a time: for rows with texts that repeat."""
