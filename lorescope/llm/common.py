@@ -108,6 +108,13 @@ def crc_mod(column: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(value.cast("string"), F.lit(""))) % n
 
 
+def crc_sql(value: str) -> str:
+    """DuckDB's expression for the CRC-32 of a short ASCII text: bit by bit, as a fold over its bytes."""
+    steps = f"flatten(list_transform(range(1, length({value}) + 1), lambda i: [ord({value}[i]), 0, 0, 0, 0, 0, 0, 0]))"
+    bit = f"CASE WHEN xor(x, b) & 1 = 1 THEN xor(xor(x, b) >> 1, {0xEDB88320}) ELSE xor(x, b) >> 1 END"
+    return f"xor(list_reduce(list_prepend({0xFFFFFFFF}::BIGINT, {steps}::BIGINT[]), lambda x, b: {bit}), {0xFFFFFFFF}::BIGINT)"
+
+
 def narrowed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns, so that others, whatever their names, cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
