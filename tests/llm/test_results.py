@@ -373,7 +373,7 @@ def test_neardup_cells_are_bounded_in_members(spark):
 
 def test_an_oracle_belongs_to_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
