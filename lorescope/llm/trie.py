@@ -221,7 +221,8 @@ def trie(rows: DataFrame, convs: DataFrame) -> DataFrame:
     small_batches(rows.sparkSession)
     seqs, turns = sequences(rows, convs)
     col, none, zero = F.col, F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
-    members = seqs.select("*", F.lit("").alias("box"), F.lit(None).cast("string").alias("parent"), zero.alias("at"), none.alias("above"), zero.alias("top_bytes"))
+    # Stored, so that the first container is a value of a column and joins by it like any other.
+    members = cut_lineage(seqs.select("*", F.lit("").alias("box"), F.lit(None).cast("string").alias("parent"), zero.alias("at"), none.alias("above"), zero.alias("top_bytes")))
     heads: list[tuple[DataFrame, DataFrame]] = []
     settled = []
     while True:
