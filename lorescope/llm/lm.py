@@ -58,6 +58,7 @@ MOST_CODE_SLOTS = 21  # log2 of the slots by the last word, and of those by the
 PIECE = 1 << 17  # numbers of the code tables that travel in one row
 TRUST = 0.3  # in the words predicted in context, at the start of a text
 TRUST_TOKENS = 8.0  # how many tokens that belief is worth
+FIXED = 30  # bits after the point of sums over the tokens of a text
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -95,8 +96,8 @@ class Mixer:
     def _dot(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         dot = np.zeros(len(gate))
         for j, x in enumerate(inputs):
-            dot += self.weights[:, j][gate] * x
-        return np.clip(dot, -12, 12)
+            dot += np.ascontiguousarray(self.weights[:, j])[gate] * x
+        return np.clip(dot, -12, 12, out=dot)
 
     def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bits: np.ndarray) -> None:
         dot = self._dot(inputs, gate)
@@ -120,7 +121,8 @@ class Mixer:
         at = (dot + 12) * (STEPS - 1) / 24
         low = np.minimum(at.astype(np.int64), STEPS - 2)
         part = at - low
-        refined = curve[gate, low] * (1 - part) + curve[gate, low + 1] * part
+        cell, curve = gate * STEPS + low, curve.reshape(-1)
+        refined = curve[cell] * (1 - part) + curve[cell + 1] * part
         return np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
 
 
@@ -248,10 +250,11 @@ def code_mixer(state: np.ndarray | None = None) -> Mixer:
 def code_learn(code: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray], log_slots: int, table: np.ndarray, mixer: Mixer) -> None:
     """Learn the weights from what the table holds so far, then add the codes to it."""
     flat, gate, seen = table.reshape(-1), None, []
+    pairs = table.view(np.uint64).reshape(-1)  # both counts of a slot are read at once
     for bit, slots in _code_bits(code, kind, contexts, log_slots):
-        counts = [table[s] for s in slots]
+        counts = [pairs[s].view(np.float32).reshape(-1, 2) for s in slots]
         if gate is None:
-            gate = sum(_levels(c.sum(1)).astype(np.int64) << 2 * j for j, c in enumerate(counts[1:]))
+            gate = sum(_levels(c[:, 0] + c[:, 1]).astype(np.int64) << 2 * j for j, c in enumerate(counts[1:]))
         mixer.learn([_stretch(c[:, 0], c[:, 1]) for c in counts], gate, bit.astype(np.float64))
         seen += [2 * s + bit for s in slots]
     for at in seen:
@@ -259,15 +262,20 @@ def code_learn(code: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray], l
 
 
 class Codes:
-    """What scoring needs of the summed tables: stretched predictions, how often slots were seen, mass of each code by kind."""
+    """Scoring by the summed tables: stretched predictions, how often slots were seen, mass of each code by kind.
 
-    def __init__(self, table: np.ndarray, log_slots: int, state: np.ndarray):
-        self.log_slots, self.state = log_slots, state
-        self.stretched = _stretch(table[:, 0], table[:, 1]).astype(np.float32)
-        self.levels = _levels(table.sum(1))
+    A task makes it from the arrays of ``parts``, which are what a broadcast carries: they load without this package.
+    """
+
+    def __init__(self, log_slots: int, state: np.ndarray, stretched: np.ndarray, levels: np.ndarray, mass: np.ndarray):
+        self.log_slots, self.state, self.stretched, self.levels, self.mass = log_slots, state, stretched, levels, mass
+
+    @staticmethod
+    def parts(table: np.ndarray, log_slots: int, state: np.ndarray) -> tuple:
         half = 1 << CODE_BITS - 1
         leaves = table[: KINDS << CODE_BITS].reshape(KINDS, 2 * half, 2)[:, half:]
-        self.mass = leaves.reshape(KINDS, 2 * half).T.astype(np.float64)  # code x kind
+        mass = leaves.reshape(KINDS, 2 * half).T.astype(np.float64)  # code x kind
+        return log_slots, state, _stretch(table[:, 0], table[:, 1]).astype(np.float32), _levels(table.sum(1)), mass
 
     def chances(self, code: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Probability of every code, and how often its longest context was seen (0 to 3)."""
@@ -277,7 +285,7 @@ class Codes:
                 levels = [self.levels[s].astype(np.int64) for s in slots[1:]]
                 gate, level = sum(x << 2 * j for j, x in enumerate(levels)), levels[-1]
             one = mixer.predict([self.stretched[s] for s in slots], gate)
-            p *= np.where(bit == 1, one, 1 - one)
+            p *= np.abs((1 - bit) - one)  # the chance of the bit that came
         return p, level
 
 
@@ -339,9 +347,16 @@ class Tokens:
         return (self.hash >> np.uint64(64 - CODE_BITS)).astype(np.int64), [last, mixed(last + self.earlier(self.hash, 2) * _B)]
 
     def since_start(self, values: np.ndarray) -> np.ndarray:
-        """Sum of the values of earlier tokens of the same text."""
-        total = np.cumsum(values) - values
-        return total - total[self.begin][self.text]
+        """Sum of the values of earlier tokens of the same text.
+
+        In whole units of 2**-FIXED, so that the texts before it in the buffer do not change a text's rounding: the sums
+        may pass the range of 64 bits, their differences are exact all the same.
+        """
+        whole = values.dtype.kind == "i"
+        units = values if whole else np.rint(values * 2.0**FIXED).astype(np.int64)
+        total = np.cumsum(units) - units
+        found = total - total[self.begin][self.text]
+        return found if whole else found * 2.0**-FIXED
 
     def earlier(self, values: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros_like(values)
@@ -578,7 +593,7 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
         own, begin = np.frombuffer(r["hashes"], np.float32), (-17 - r["bucket"]) * PIECE
         coded.reshape(-1)[begin : begin + len(own)] += own
     code_state = _summed(table.filter(F.col("kind") == _CODE_WEIGHTS), Mixer.width(CODE_INPUTS, CODE_GATES))
-    shared_codes = spark.sparkContext.broadcast(Codes(coded, log_slots, code_state))  # bounded by MOST_CODE_SLOTS
+    shared_codes = spark.sparkContext.broadcast(Codes.parts(coded, log_slots, code_state))  # bounded by MOST_CODE_SLOTS
     shared_table = spark.sparkContext.broadcast(spelling)  # of fixed size
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -598,7 +613,7 @@ def _scored(docs: DataFrame, learn: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell_mixer = Mixer(len(SPELL_SLOTS), gates, weights)
         repeat_table, repeat_mixer = repeats[: 2 * width].reshape(2, width), Mixer(len(REPEAT_SLOTS), 8, repeats[2 * width :])
-        codes = shared_codes.value
+        codes = Codes(*shared_codes.value)
         code_shares = (1 - BLEND) * codes.mass / by_kind + (BLEND / max(1, totals["n"])) * codes.mass.sum(1, keepdims=True)
         fresh = max(1.0, repeat_table[0][: REPEAT_SLOTS[0]].sum())  # training tokens that repeat nothing
         usual = min(0.9, (totals["once"] + 0.5) / (fresh + 1))
@@ -665,15 +680,18 @@ def _known_share(t: Tokens, shares: np.ndarray, new: np.ndarray, prior: np.ndarr
 
     Every kind of document has its own shares; the kinds are weighed by how well they predicted the text so far.
     """
-    shares = shares.astype(np.float64)
-    told = np.zeros(shares.shape)
-    for k in range(KINDS):
-        left = np.maximum(1 - t.since_start(np.where(new, shares[:, k], 0)), 1e-9)
-        shares[:, k] /= left
-        told[:, k] = np.log(prior[k]) + t.since_start(np.where(new, np.log(np.maximum(shares[:, k], 1e-300)), 0))
-    told -= told.max(1, keepdims=True)
+    told, fair = np.zeros((KINDS, len(new))), np.zeros((KINDS, len(new)))
+    for k in range(KINDS):  # a row a kind, as what follows runs along tokens
+        own = shares[:, k].astype(np.float64)
+        own /= np.maximum(1 - t.since_start(np.where(new, own, 0)), 1e-9)
+        fair[k] = own
+        told[k] = np.log(prior[k]) + t.since_start(np.where(new, np.log(np.maximum(own, 1e-300)), 0))
+    told -= told.max(0)
     weight = np.exp(told)
-    return np.minimum((weight * shares).sum(1) / weight.sum(1), 1.0), told.argmax(1)
+    total = mass = np.zeros(len(new))
+    for k in range(KINDS):
+        total, mass = total + weight[k], mass + weight[k] * fair[k]
+    return np.minimum(mass / total, 1.0), told.argmax(0)
 
 
 def _totals(table: DataFrame) -> tuple[int, ...]:

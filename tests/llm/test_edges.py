@@ -168,7 +168,7 @@ def test_winnowing(spark, odd):
 
 
 def test_lm(odd, tmp_path):
-    odd.drop("a.b").write.parquet(str(tmp_path / "docs"))
+    odd.write.parquet(str(tmp_path / "docs"))
     docs = odd.sparkSession.read.parquet(str(tmp_path / "docs"))
     rows = lm.score(docs, F.col("doc_id") % 2 == 0).collect()
     assert len(rows) == odd.count() and all(r["score"] < 0 and r["base_score"] <= 0 for r in rows)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import itertools
 import math
 import re
 import struct
@@ -310,18 +311,17 @@ def test_lm_base_by_brute_force(spark, texts):
     assert all(len(x) == 1 for x in same.values())
 
 
-def test_lm_next_words_are_a_distribution(spark, tmp_path):
-    """Whatever word comes next, the probabilities of all one-word ends of a text add up to at most one."""
+def test_lm_texts_are_a_distribution(spark, tmp_path):
+    """The probabilities of all texts of up to six words from a vocabulary of three add up to at most one, and to most of it."""
     from lorescope.llm import lm
 
-    words = ["aa", "bb", "cc", "dd", "ee"]
-    learned = [(i, " ".join(words[(i * k) % 5] for k in range(1, 30))) for i in range(1, 20)]
-    asked = [(1000 + k, f"aa bb {w}") for k, w in enumerate([*words, "ff", "gg", "a", "zz", "aaa"])] + [(2000, "aa bb")]
+    words = ["aa", "bb", "cc"]
+    learned = [(i, " ".join(words[(i * k) % 3] for k in range(i % 5 + 1))) for i in range(1, 60)]
+    texts = [" ".join(x) for n in range(7) for x in itertools.product(words, repeat=n)]
+    asked = [(1000 + k, x) for k, x in enumerate(texts)]
     spark.createDataFrame(learned + asked, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
-    rows = {r["doc_id"]: r["score"] for r in lm.score(spark.read.parquet(str(tmp_path / "d")), F.col("doc_id") < 1000).collect()}
-    # A text's score has the end token; these texts are as long, so it costs about the same in each.
-    start = rows[2000]
-    assert sum(10 ** (rows[1000 + k] - start) for k in range(10)) < 2.0
+    rows = lm.score(spark.read.parquet(str(tmp_path / "d")), F.col("doc_id") < 1000).filter("doc_id >= 1000").collect()
+    assert len(rows) == 1093 and 0.5 < sum(10 ** r["score"] for r in rows) <= 1 + 1e-9
 
 
 def test_lm_learns(spark):
