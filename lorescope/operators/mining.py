@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,68 +104,53 @@ def reuse_by_answer(facts: DataFrame, fields: Sequence[str], key: str = "item_id
     return same_keys(once, wording, ["answer"], "inner").select(key, "pos", "answer", *[F.col(f"_first.{f}").alias(f) for f in fields])
 
 
-def _kqa_blocks(text: Column) -> Column:
-    """Array of the blocks of a text, each from its ``Knowledge: `` to the next line that starts one.
+_KQA = ("Knowledge: ", "\nQuestion: ", "\nAnswer: ", "\nKnowledge:")  # fixed values: the labels of a reply
 
-    A block is complete once a question and then an answer follow; until then
-    later lines that start with Knowledge belong to it. The text is cut at those
-    lines once, and one pass over the pieces tells which of them a block spans.
-    """
-    pieces = F.split(text, "(?=\\nKnowledge:)")
-
-    def past(piece: Column, label: str) -> Column:
-        at = F.locate(label, piece)
-        return F.when(at > 0, F.substr(piece, at + F.lit(len(label))))
-
-    def step(state: Column, piece: Column) -> Column:
-        opened = state["stage"] == 0
-        start = F.locate("Knowledge: ", piece)
-        first = F.when(opened, past(piece, "Knowledge: ")).otherwise(piece)
-        asked = F.when(state["stage"] == 2, piece).otherwise(past(first, "\nQuestion: "))
-        done = past(asked, "\nAnswer: ").isNotNull()
-        stage = F.when(done, 0).when(asked.isNotNull(), 2).when(first.isNotNull(), 1).otherwise(0)
-        begin = F.when(opened, state["i"]).otherwise(state["begin"])
-        cut = F.when(opened, start).otherwise(state["cut"])
-        found = F.struct(begin.alias("begin"), state["i"].alias("end"), cut.alias("cut"))
-        return F.struct(
-            stage.alias("stage"), begin.alias("begin"), cut.alias("cut"), (state["i"] + 1).alias("i"),
-            F.when(done, F.array_append(state["out"], found)).otherwise(state["out"]).alias("out"),
-        )
 
-    zero = F.struct(
-        F.lit(0).alias("stage"), F.lit(0).alias("begin"), F.lit(0).alias("cut"), F.lit(0).alias("i"),
-        F.array().cast("array<struct<begin:int,end:int,cut:int>>").alias("out"),
-    )
-    spans = F.aggregate(pieces, zero, step, lambda state: state["out"])
-    return F.transform(
-        spans,
-        lambda s: F.substr(F.array_join(F.slice(pieces, s["begin"] + 1, s["end"] - s["begin"] + 1), ""), s["cut"]),
-    )
+def kqa_spans(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Where each block's knowledge starts, its question and its answer label stand, and the block ends.
+
+    One scan that never goes back: a block runs from its first label to the next line that starts one once a question
+    and then an answer have followed. Until then later lines that start with Knowledge belong to it, and without both
+    there is no further block.
+    """
+    knowledge, question, answer, opening = _KQA
+    at = text.find(knowledge)
+    while at >= 0:
+        begin = at + len(knowledge)
+        asked = text.find(question, begin)
+        told = text.find(answer, asked + len(question)) if asked >= 0 else -1
+        if told < 0:
+            return
+        end = text.find(opening, told + len(answer))
+        yield begin, asked, told, end if end >= 0 else len(text)
+        at = text.find(knowledge, end) if end >= 0 else -1
+
+
+def _kqa_blocks(texts: pa.Array) -> pa.Array:
+    """The whole blocks of every text of an Arrow batch, built column by column."""
+    knowledge, question, answer, ends = [], [], [], [0]
+    for text in texts.to_pylist():
+        for begin, asked, told, end in kqa_spans(text or ""):
+            block = text[begin:asked].strip(), text[asked + len(_KQA[1]) : told].strip(), text[told + len(_KQA[2]) : end].strip()
+            if all(block):
+                for column, part in zip((knowledge, question, answer), block):
+                    column.append(part)
+        ends.append(len(knowledge))
+    parts = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (knowledge, question, answer)], ["knowledge", "question", "answer"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
 
 
 def parse_kqa(rows: DataFrame, text: str) -> DataFrame:
-    """Knowledge/Question/Answer blocks of each text, one row per block; incomplete blocks are skipped.
+    """Knowledge/Question/Answer blocks of each text, one row per block; blocks that are incomplete or have an empty part are skipped.
 
-    Inside a block the first labels divide it.
+    Inside a block the first labels divide it. Texts are scanned once, in Arrow batches.
     """
-
-    def after(part: Column, label: str) -> Column:
-        return F.substr(part, F.locate(label, part) + F.lit(len(label)))
-
-    block = F.col("_block")
-    rest = after(block, "\nQuestion: ")
-    knowledge = F.substr(F.substring_index(block, "\nQuestion: ", 1), F.lit(len("Knowledge: ") + 1))
     keep = [c for c in rows.columns if c != text]
-    return (
-        rows.select(*keep, F.explode(_kqa_blocks(F.col(text))).alias("_block"))
-        .select(
-            *keep,
-            strip(knowledge).alias("knowledge"),
-            strip(F.substring_index(rest, "\nAnswer: ", 1)).alias("question"),
-            strip(after(rest, "\nAnswer: ")).alias("answer"),
-        )
-        .filter("knowledge <> '' and question <> '' and answer <> ''")
-    )
+    parts = ("knowledge", "question", "answer")
+    scan = F.arrow_udf(_kqa_blocks, "array<struct<knowledge:string,question:string,answer:string>>")
+    blocks = rows.select(*keep, F.explode(scan(F.col(text))).alias("_block"))
+    return blocks.select(*keep, *[strip(F.col(f"_block.{p}")).alias(p) for p in parts]).filter("knowledge <> '' and question <> '' and answer <> ''")
 
 
 def parse_json_qa(rows: DataFrame, text: str) -> DataFrame:
@@ -190,8 +176,12 @@ def fact_filter(facts: DataFrame) -> DataFrame:
 
 
 def apply_corrections(facts: DataFrame, corrections: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Replace answer and knowledge of facts judged wrong by their corrections."""
+    """Replace answer and knowledge of facts judged wrong by their corrections.
+
+    Of several corrections of one key the smallest answer, then knowledge, counts, so facts never double.
+    """
     fixed = corrections.select(*keys, strip_backticks(F.col("corrected_answer")).alias("_answer"), strip(F.col("corrected_knowledge")).alias("_knowledge"))
+    fixed = fixed.groupBy(*keys).agg(F.min(F.struct("_answer", "_knowledge")).alias("_c")).select(*keys, "_c.*")
     wrong = F.coalesce(has_token(F.col("verdict"), "No"), F.lit(False))
     return (
         facts.join(fixed, list(keys), "left")

@@ -162,6 +162,28 @@ def test_parse_kqa_is_linear(spark):
     assert [(r["i"], r["answer"]) for r in found] == [(2, "a")] and found[0]["knowledge"] == "k0"
 
 
+def test_parse_kqa_of_many_blocks(spark):
+    """6400 complete blocks in one text take well under a second; the time does not grow with their square."""
+    import time
+
+    texts = {n: "".join(f"\nKnowledge: k{i}\nQuestion: q{i}\nAnswer: a{i}" for i in range(n)) for n in (6400, 64000)}
+    took = {}
+    for n, text in texts.items():
+        start = time.perf_counter()
+        assert sum(1 for _ in Q.kqa_spans(text)) == n
+        took[n] = time.perf_counter() - start
+    assert took[6400] < 0.5 and took[64000] < 30 * max(took[6400], 0.01)
+    found = Q.parse_kqa(spark.createDataFrame([(1, texts[6400])], "i int, t string"), "t").collect()
+    assert [(r["knowledge"], r["question"], r["answer"]) for r in found] == [(f"k{i}", f"q{i}", f"a{i}") for i in range(6400)]
+
+
+def test_two_corrections_do_not_double_a_fact(spark):
+    facts = spark.createDataFrame([(1, "a", "k", "No wrong"), (2, "b", "k", "Yes right")], "i int, answer string, knowledge string, verdict string")
+    fixes = spark.createDataFrame([(1, "z", "new"), (1, "y", "newer"), (3, "q", "other")], "i int, corrected_answer string, corrected_knowledge string")
+    rows = sorted(tuple(r) for r in Q.apply_corrections(facts, fixes, ["i"]).select("i", "answer", "knowledge", "corrected").collect())
+    assert rows == [(1, "y", "newer", True), (2, "b", "k", False)]
+
+
 def test_a_docstring_that_is_not_there_falls_back(spark):
     calls = spark.createDataFrame([("f", ["x"], [])], "function string, positional_args array<string>, keyword_args array<struct<name string, value string>>")
     for doc, want in (("N/A", "f(a)"), ("  ", "f(a)"), ("Does.", "Does.")):
