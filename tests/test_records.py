@@ -137,6 +137,62 @@ def test_a_replayed_batch_leaves_the_same_state(spark, tmp_path):
     assert counted.first()["n"] == 30
 
 
+VOTE = "probe_id bigint, answer string, gt_answer string, verdict_text string"
+
+
+def _vote(probe, answer, yes):
+    return (probe, answer, "t", f"Equivalence: {'Yes' if yes else 'No'}, so.")
+
+
+def _majorities(df):
+    return sorted((r["probe_id"], r["n_votes"], r["n_truth"], r["majority_answer"]) for r in df.collect())
+
+
+def test_live_votes_write_what_changed_and_resume(spark, tmp_path):
+    """Eleven batches over a restart; a batch logs its own probes only, and eight segments become one."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(VOTE).option("maxFilesPerTrigger", 1).parquet(source)
+    votes = [_vote(p, a, a == "t") for p in range(50) for a in ("t", "x", "t")]
+    spark.createDataFrame(votes, VOTE).coalesce(1).write.mode("append").parquet(source)
+    T.stream_votes(stream, path)
+    for i in range(10):
+        spark.createDataFrame([_vote(7, "x", False), _vote(100 + i, None, None)], VOTE).coalesce(1).write.mode("append").parquet(source)
+        result = T.stream_votes(stream, path)  # starts again from the checkpoint each time
+    segments = T.log_segments(spark, path)
+    assert segments == [(0, 8), (0, 9), (0, 10), (1, 7)]
+    assert [spark.read.parquet(f"{path}/log/0-{n}").count() for n in (8, 9, 10)] == [2, 2, 2]
+    found = _majorities(result)
+    assert found[7] == (7, 13, 2, "x") and found[8] == (8, 3, 2, "t") and len(found) == 60 and found[-1] == (109, 1, 0, None)
+    assert _majorities(T.stream_votes(stream, path)) == found
+
+
+def test_a_replayed_batch_logs_the_same(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for n in (*range(8), 7, 8, 8):
+        T.change_log(spark.createDataFrame([(n % 3, n)], "k bigint, v bigint"), n, ["k"], path)
+    assert T.log_segments(spark, path) == [(0, 8), (1, 7)]
+    rows = spark.read.parquet(f"{path}/log/1-7", f"{path}/log/0-8")
+    assert sorted((r["k"], r["v"]) for r in T._newest(rows, ["k"]).collect()) == [(0, 6), (1, 7), (2, 8)]
+
+
+def test_live_votes_are_forgotten(spark, tmp_path):
+    import time
+
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(VOTE).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def arrive(*votes):
+        spark.createDataFrame(list(votes), VOTE).coalesce(1).write.mode("append").parquet(source)
+        return _majorities(T.stream_votes(stream, path, forget_after=25))
+
+    assert arrive(_vote(1, "x", False), _vote(1, "x", False), _vote(2, "t", True)) == [(1, 2, 0, "x"), (2, 1, 1, "t")]
+    assert arrive(_vote(1, "x", False), _vote(2, "t", True)) == [(1, 3, 0, "x"), (2, 2, 2, "t")]
+    time.sleep(26)
+    assert arrive(_vote(2, "t", True)) == [(2, 1, 1, "t")]
+
+
 def test_scratch_is_shared_and_cleared(spark):
     path = scratch_path(spark, "x")
     assert path.startswith(shared_dir(spark))
