@@ -20,7 +20,7 @@ STATE = "n bigint, mean_i binary, mean_j binary, comoment binary, square_i binar
 OVERLAP_STATE = "n bigint, ones_i binary, ones_j binary, both binary"
 MOMENTS = "i int, j int, n bigint, mean_i double, mean_j double, comoment double, square_i double, square_j double"
 OVERLAPS = "i int, j int, n bigint, ones_i bigint, ones_j bigint, both bigint"
-FAN = 32  # tasks of the first round of a merge
+FAN = 32  # states that one task of a merge should get
 
 Parts = tuple  # a count and the arrays of a state, in the order of its schema
 
@@ -39,7 +39,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
+def _triangle(matrix: np.ndarray) -> np.ndarray:
+    """The upper triangle of a symmetric matrix, row by row: d(d+1)/2 numbers."""
+    return matrix[np.triu_indices(len(matrix))]
+
+
+def _square(entries: np.ndarray, side: int, other: int) -> np.ndarray:
+    """The matrix of packed entries: a triangle, or all of them."""
+    if side != other or len(entries) != side * (side + 1) // 2:
+        return entries.reshape(side, -1)
+    matrix = np.zeros((side, side), entries.dtype)
+    matrix[np.triu_indices(side)] = entries
+    return matrix + np.triu(matrix, 1).T
+
+
 def _packed(state: Parts, schema: str) -> pa.RecordBatch:
+    """A state as one row; of a matrix of vectors against themselves only the triangle."""
+    if len(state[1]) == len(state[2]) and np.array_equal(state[1], state[2]) and np.array_equal(state[3], state[3].T):
+        state = (*state[:3], _triangle(state[3]), *state[4:])
     names = [c.split()[0] for c in schema.split(", ")]
     arrays = [pa.array([state[0]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in state[1:]]]
     return pa.RecordBatch.from_arrays(arrays, names)
@@ -50,7 +67,7 @@ def _unpacked(batch: pa.RecordBatch, dtype: type) -> Iterator[Parts]:
     for row in range(batch.num_rows):
         n, *blobs = (batch.column(c)[row] for c in range(batch.num_columns))
         arrays = [np.frombuffer(x.as_buffer(), dtype).copy() for x in blobs]
-        yield (n.as_py(), *[x.reshape(len(arrays[0]), -1) if i == 2 else x for i, x in enumerate(arrays)])
+        yield (n.as_py(), *[_square(x, len(arrays[0]), len(arrays[1])) if i == 2 else x for i, x in enumerate(arrays)])
 
 
 def _joined(a: Parts | None, b: Parts) -> Parts:
@@ -85,7 +102,7 @@ def _reduced(df: DataFrame, left: str, right: str | None, one, join, schema: str
 
 
 def _merged(states: DataFrame, join, dtype: type, schema: str) -> DataFrame:
-    """All states as one, over FAN tasks and then in one; each task holds one state at a time."""
+    """All states as one, in three rounds of a merge tree; each task holds one state at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
@@ -96,7 +113,10 @@ def _merged(states: DataFrame, join, dtype: type, schema: str) -> DataFrame:
             yield _packed(state, schema)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return states.select(*names).repartition(FAN).mapInArrow(run, schema).repartition(1).mapInArrow(run, schema)
+    states = states.select(*names)
+    for _ in range(2):  # FAN tasks' states meet in one; adaptive execution joins these further while they are small
+        states = states.repartition(F.floor(F.spark_partition_id() / FAN)).mapInArrow(run, schema)
+    return states.repartition(1).mapInArrow(run, schema)
 
 
 def _spread_out(state: DataFrame, dtype: type, schema: str) -> DataFrame:
@@ -126,7 +146,10 @@ def partial_moments(df: DataFrame, left: str, right: str | None = None) -> DataF
     def one(a: np.ndarray, b: np.ndarray) -> Parts:
         mean_a, mean_b = a.mean(axis=0), b.mean(axis=0)
         a, b = a - mean_a, b - mean_b
-        return len(a), mean_a, mean_b, a.T @ b, (a * a).sum(axis=0), (b * b).sum(axis=0)
+        cross = a.T @ b
+        if right in (None, left):  # as a product may round both halves differently
+            cross = (cross + cross.T) / 2
+        return len(a), mean_a, mean_b, cross, (a * a).sum(axis=0), (b * b).sum(axis=0)
 
     return _reduced(df, left, right, one, _joined, STATE)
 
@@ -193,20 +216,44 @@ def moment_matrix(moment: DataFrame) -> np.ndarray:
     return flat.reshape(side, side)
 
 
-def whiten(df: DataFrame, moment: DataFrame, key: str, vector: str) -> DataFrame:
+def state_moment(state: DataFrame) -> np.ndarray:
+    """The d x d second moment on the driver, read from the one row of a merged state."""
+    row = state.select("n", "mean_i", "comoment").first()
+    mean = np.frombuffer(row["mean_i"])
+    return _square(np.frombuffer(row["comoment"]), len(mean), len(mean)) / row["n"] + np.outer(mean, mean)
+
+
+def multiplied(df: DataFrame, matrix: np.ndarray, key: str, vector: str) -> DataFrame:
+    """Every vector times a d x d matrix, which travels with the tasks."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                turned = _matrix(batch.column(1)) @ matrix.T
+                offsets = np.arange(0, turned.size + 1, turned.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(turned.ravel()))], names=[key, vector])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, vector).dropna("any").mapInArrow(apply, f"{key} {kind}, {vector} array<double>")
+
+
+def whiten(df: DataFrame, moment: DataFrame | np.ndarray, key: str, vector: str) -> DataFrame:
     """Direction of (second moment)^-1 x for every vector x, with unit length.
 
-    The moment is d x d whatever the number of rows; it is inverted once and
-    shipped with the tasks.
+    The moment, a matrix, a merged state or the long form, is d x d whatever the
+    number of rows. The inverse factor L^-1 of its Cholesky factors L L' is
+    shipped with the tasks and applied twice; a moment without full rank has no
+    inverse and is an error.
     """
-    matrix = moment_matrix(moment)
-    inverse = np.linalg.inv(matrix)
+    if isinstance(moment, DataFrame):
+        moment = state_moment(moment) if "comoment" in moment.columns else moment_matrix(moment)
+    half = np.linalg.inv(np.linalg.cholesky(moment))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            turned = _matrix(batch.column(1)) @ inverse.T
+            turned = (_matrix(batch.column(1)) @ half.T) @ half
             turned /= np.linalg.norm(turned, axis=1, keepdims=True)
             offsets = np.arange(0, turned.size + 1, turned.shape[1], dtype=np.int32)
             vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(turned.ravel()))

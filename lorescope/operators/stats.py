@@ -50,10 +50,23 @@ def combined(df: DataFrame, aggregates: Mapping[str, Column], by: Sequence[str]
     return df.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
+MOST_BINS = 10_000_000  # rows of a dense count; sparse counts have no bound
+
+
+def sparse_bincount(df: DataFrame, value: str) -> DataFrame:
+    """Counts of the values that occur, and after each the number of bins up to the next one that are zero (``gap``)."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    placed = dense_index(counts, ["bin"], "_at")
+    following = placed.select((F.col("_at") - 1).alias("_at"), F.col("bin").alias("_next"))
+    return placed.join(following, "_at", "left").select("bin", "n", F.coalesce(F.col("_next") - F.col("bin") - 1, F.lit(0)).alias("gap"))
+
+
 def bincount(df: DataFrame, value: str) -> DataFrame:
-    """Counts of 0..max, zeros included."""
+    """Counts of 0..max, zeros included. Negative values, or a maximum of MOST_BINS and more, are errors: see ``sparse_bincount``."""
     counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
-    top = counts.agg(F.max("bin")).first()[0]
+    low, top = counts.agg(F.min("bin"), F.max("bin")).first()
+    if low is not None and (low < 0 or top >= MOST_BINS):
+        raise ValueError(f"counts of {low} to {top} are no dense table of at most {MOST_BINS} bins from 0")
     bins = df.sparkSession.range(0, (top if top is not None else -1) + 1).withColumnRenamed("id", "bin")
     return bins.join(counts, "bin", "left").fillna(0, ["n"])
 
@@ -128,9 +141,9 @@ def quantile_normalize(df: DataFrame, vector: str, key: str, table: DataFrame, c
     The readout has ``count`` numbers per dimension whatever the data size; it
     is shipped with the tasks.
     """
-    entries = F.array_sort(F.collect_list(F.struct("dim", "part", "quantile")))
-    flat = table.agg(F.transform(entries, lambda e: e["quantile"]).alias("q")).first()["q"]  # one row of d x count numbers
-    grid = np.array(flat, float).reshape(-1, count)
+    entries = F.array_sort(F.collect_list(F.struct("part", "quantile")))
+    curves = table.groupBy("dim").agg(F.transform(entries, lambda e: e["quantile"]).alias("q")).orderBy("dim")
+    grid = np.array([r["q"] for r in curves.select("q").toLocalIterator()], float).reshape(-1, count)  # a row a dimension
     levels = np.arange(count) / (count - 1)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from lorescope.operators import moments as P
 from lorescope.operators import plugins as U
+from lorescope.operators import sketches as K
 from lorescope.operators.reshape import nest
 from lorescope.plans.metric_queries import rounded
 from lorescope.plans.mining_queries import _CALLS_SQL, _CELLS
 from lorescope.plans.registry import Inputs, query
-from lorescope.plans.vector_queries import _PAIRS
+from lorescope.plans.vector_queries import _NEAR, _PAIRS, near_quantiles
 from lorescope.plans.vote_queries import _EVALUATED
 from lorescope.session import scratch_path
 from lorescope.streaming import streams as T
@@ -62,6 +63,12 @@ def t2b(t):
     return T.stream_topk(stream, "embedding", "vec_id", 10, scratch_path(t.spark, "stream-topk"))
 
 
+@query("t2c_stream_quantiles", _NEAR)
+def t2c(t):
+    stream, _ = arriving(t, t.embeddings, "vectors")
+    return near_quantiles(t, K.state_quantiles(K.stream_quantiles(stream, "embedding", scratch_path(t.spark, "stream-quantiles")), 21))
+
+
 @query("t3_stream_votes", "WITH " + _EVALUATED + """
     SELECT probe_id, n_votes, n_truth, knowledgable, majority_answer FROM evaluated WHERE n_votes > 0""")
 def t3(t):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorescope.operators import moments as P
 from lorescope.operators import retrieval as V
+from lorescope.operators import sketches as K
 from lorescope.operators import stats as S
 from lorescope.operators.ordering import dense_index
 from lorescope.operators.reshape import scope_groups
@@ -147,6 +148,36 @@ def s13(t):
     return rounded(S.long_vectors(normed, "embedding", ["vec_id"]).withColumnRenamed("x", "level"), "level", digits=9)
 
 
+def near_quantiles(t: Inputs, read: DataFrame) -> DataFrame:
+    """Whether each quantile read from a state (dim, part of 20, quantile, n) has its rank; 21 values a dimension meet its rows."""
+    long = S.long_vectors(t.embeddings, "embedding")
+    ranks = long.join(read, "dim").groupBy("dim", "part", "n", "quantile").agg(
+        F.count_if(F.col("x") < F.col("quantile")).alias("below"), F.count_if(F.col("x") <= F.col("quantile")).alias("upto"))
+    return ranks.select("dim", "part", "n", K.near(F.col("quantile"), F.col("part") / 20, F.col("n"), F.col("below"), F.col("upto")).alias("near"))
+
+
+_NEAR = "WITH " + _LONG + " SELECT dim, part::INT AS part, n, true AS near FROM (SELECT dim, count(*) AS n FROM vals GROUP BY dim) d, (SELECT unnest(range(21)) AS part) p"
+
+
+@query("s12b_readout_sketch", _NEAR)
+def s12b(t):
+    # States of four days, stored, read again under their arguments and merged; ranks within K.ERROR, no total sort.
+    path, days = scratch_path(t.spark, "quantile-states"), t.embeddings.withColumn("day", F.col("vec_id") % 4)
+    states = S.tally(t.spark, path, {"what": "quantiles", "k": K.K}, lambda: K.quantile_states(days, "embedding", ["day"]))
+    return near_quantiles(t, K.state_quantiles(K.merge_quantile_states(states), 21))
+
+
+@query("s13b_qnorm_sketch", _NEAR)
+def s13b(t):
+    # Levels read from the states are even: a share p of the values, within the error, has a level of at most p.
+    normed = K.sketch_normalize(t.embeddings, "embedding", "vec_id", K.quantile_states(t.embeddings, "embedding"))
+    long, part = S.long_vectors(normed, "embedding"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("part")
+    counts = long.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("x") < p / 20).alias(f"below{p}") for p in range(21)], *[F.count_if(F.col("x") <= p / 20).alias(f"upto{p}") for p in range(21)])
+    at = counts.select("*", part)
+    pick = lambda name: F.get(F.array(*[F.col(f"{name}{p}") for p in range(21)]), F.col("part"))
+    return at.select("dim", "part", "n", K.near(F.lit(0.0), F.col("part") / 20, F.col("n"), pick("below"), pick("upto")).alias("near"))
+
+
 @query("s14_integrate", "WITH " + _LONG + """
     SELECT dim, count(*)::DOUBLE AS count, round(sum(x), 9) AS total, round(sum(x * x), 9) AS squares, round(sum(abs(x)), 9) AS absolute FROM vals GROUP BY dim""")
 def s14(t):
@@ -200,14 +231,14 @@ def s19(t):
     SELECT vec_id, 1.0::DOUBLE AS length, 1.0::DOUBLE AS cosine FROM {embeddings}""")
 def s20(t):
     # What the moment makes of a turned vector must point where the vector points.
-    moment = P.second_moment(merged(t))
-    turned = P.whiten(t.embeddings, moment, "vec_id", "embedding").withColumnRenamed("embedding", "turned")
-    rows = F.array(*[F.lit(r) for r in P.moment_matrix(moment).tolist()])
+    moment = P.state_moment(P.merge_states(P.partial_moments(t.embeddings, "embedding")))
+    turned = P.whiten(t.embeddings, moment, "vec_id", "embedding")
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
-    back = turned.join(t.embeddings.select("vec_id", "embedding"), "vec_id").withColumn("back", F.transform(rows, lambda r: dot(r, F.col("turned"))))
+    back = P.multiplied(turned, moment, "vec_id", "embedding").withColumnRenamed("embedding", "back")
+    back = back.join(turned.withColumnRenamed("embedding", "turned"), "vec_id").join(t.embeddings.select("vec_id", "embedding"), "vec_id")
     cosine = dot(F.col("back"), F.col("embedding")) / (S.l2_norm(F.col("back")) * S.l2_norm(F.col("embedding")))
     return rounded(back.select("vec_id", S.l2_norm(F.col("turned")).alias("length"), cosine.alias("cosine")), "length", "cosine", digits=9)
 

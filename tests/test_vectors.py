@@ -197,3 +197,46 @@ def test_judge_sees_each_request_once(spark):
     requests = spark.createDataFrame([("a",)] * 50 + [("b",)] * 3, "answer string")
     assert U.judge_once(requests, ["answer"], make, "answer string, verdict_text string").filter("verdict_text = 'Yes'").count() == 53
     assert seen.value == 2
+
+
+def test_states_of_quantiles_merge(spark):
+    """Sketches of uneven parts, merged in two steps, keep ranks within the bound; extremes are exact."""
+    from lorescope.operators import sketches as K
+
+    draw = np.random.default_rng(3)
+    data = np.concatenate([draw.normal(size=30_000), draw.exponential(size=20_000) * 5, np.full(5_000, 1.25)])
+    part = np.minimum(draw.geometric(0.3, len(data)), 6)
+    rows = spark.createDataFrame([(int(p), [float(x), float(-x)]) for p, x in zip(part, data)] + [(1, None), (2, [float("nan"), None])], "p int, v array<double>")
+    states = K.quantile_states(rows, "v", ["p"])
+    halves = [K.merge_quantile_states(states.filter(c)) for c in ("p <= 2", "p > 2")]
+    merged = K.merge_quantile_states(halves[0].unionByName(halves[1]))
+    assert [r["n"] for r in merged.collect()] == [len(data)] * 2
+    for r in K.state_quantiles(merged, 101).collect():
+        values = np.sort(data if r["dim"] == 0 else -data)
+        low, high = np.searchsorted(values, r["quantile"], "left"), np.searchsorted(values, r["quantile"], "right")
+        room = K.ERROR * len(data) + 1
+        assert low <= r["part"] / 100 * len(data) + room and high >= r["part"] / 100 * len(data) - room
+        if r["part"] in (0, 100):
+            assert r["quantile"] == values[0 if r["part"] == 0 else -1]
+    asked = K.state_ranks(merged, [-99.0, 0.0, 1.25, 4.0, 1e9]).filter("dim = 0").collect()
+    assert len(asked) == 5 and all(abs(r["rank"] - (data <= r["value"]).mean()) <= K.ERROR + 1e-9 for r in asked)
+    assert "Sort" not in K.state_quantiles(merged, 101)._jdf.queryExecution().executedPlan().toString().replace("SortAggregate", "")
+
+
+def test_a_symmetric_state_is_a_triangle(spark):
+    data = np.random.default_rng(4).normal(size=(300, 6)) + 5
+    state = P.merge_states(P.partial_moments(frame(spark, data), "v"))
+    row = state.first()
+    assert len(row["comoment"]) == 8 * 21
+    assert np.allclose(P.state_moment(state), data.T @ data / 300)
+    both = P.partial_moments(frame(spark, data), "v").limit(1).first()
+    assert len(both["comoment"]) == 8 * 21
+
+
+def test_bincount_refuses_what_is_not_dense(spark):
+    rows = spark.createDataFrame([(3,), (10**12,), (3,), (None,)], "v bigint")
+    with pytest.raises(ValueError):
+        S.bincount(rows, "v")
+    with pytest.raises(ValueError):
+        S.bincount(spark.createDataFrame([(-1,), (2,)], "v bigint"), "v")
+    assert sorted(map(tuple, S.sparse_bincount(rows, "v").collect())) == [(3, 2, 10**12 - 4), (10**12, 1, 0)]
