@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorescope.operators.joins import same_keys
+
 FACT = "knowledge STRING, knowledgable BOOLEAN, knowledge_confidence DOUBLE"
 REASONING_ITEM = f"item_id BIGINT, question STRING, answer STRING, required_knowledge ARRAY<STRUCT<{FACT}>>"
 RAW_ITEM = (
@@ -111,16 +115,85 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _claim(spark: SparkSession, path: str, number: int, folder: str) -> bool:
+    """Make ``folder`` commit ``number`` of the table, unless another writer has that number: a rename that may not
+    replace a file, as the store's own file contexts do it."""
+    jvm = spark._jvm
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri(), spark._jsc.hadoopConfiguration())
+    staged, final = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in (f"_claims/{folder}", f"_commits/{number:012d}"))
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    kept = spark.sparkContext._gateway.new_array(rename, 1)
+    kept[0] = rename.NONE
+    place, store = _files(spark, f"{path}/_claims/{folder}")
+    store.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/_commits"))
+    out = store.create(place, False)
+    out.write(folder.encode())
+    out.close()
+    try:
+        files.rename(staged, final, kept)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in str(error.java_exception.getClass().getName()) or store.exists(final):
+            store.delete(place, False)
+            return False
+        raise
+    return True
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The committed rows of a results table, None before the first commit. What a failed writer left is not read."""
+    folders = _folders(spark, path)
+    return spark.read.parquet(*[f"{path}/{f}" for f in folders]) if folders else None
+
+
 def append_results(results: DataFrame, path: str, key: Sequence[str]) -> DataFrame:
     """Append the rows whose key is not stored yet, and return the stored table.
 
-    Rerunning after a failure adds only what is missing, whatever the gaps.
+    Rows are staged in a folder of their own and count once a numbered commit names it. A rerun adds only what is
+    missing, whatever the gaps; a writer that dies before its commit leaves nothing that is read; of two writers that
+    want a number the later one drops what the other has stored meanwhile and takes the next. NULL keys are keys.
     """
     spark = results.sparkSession
-    done = _existing(spark, path)
-    fresh = results if done is None else results.join(done.select(*key), list(key), "left_anti")
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    seen: list[str] = []
+    rows = results
+    while True:
+        known = _folders(spark, path)
+        added = [f for f in known if f not in seen]
+        if added:
+            rows = same_keys(rows, spark.read.parquet(*[f"{path}/{f}" for f in added]).select(*key).distinct(), key, "left_anti")
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{path}/{folder}")
+        staged = spark.read.schema(results.schema).parquet(f"{path}/{folder}")
+        if known and staged.isEmpty():
+            break
+        if _claim(spark, path, len(known), folder):
+            break
+        seen, rows = known, staged  # only what was committed since has to be compared
+    return read_results(spark, path)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Committed folders, oldest first."""
+    place, store = _files(spark, f"{path}/_commits")
+    if not store.exists(place):
+        return []
+    names = sorted(f.getPath().getName() for f in store.listStatus(place))
+    listed = spark.read.text([f"{path}/_commits/{n}" for n in names if n.isdigit()]) if any(n.isdigit() for n in names) else None
+    return [] if listed is None else [r["value"] for r in listed.orderBy(F.col("_metadata.file_name")).collect()]
+
+
+def drop_uncommitted(spark: SparkSession, path: str) -> list[str]:
+    """Delete the folders that no commit names, and return them; for tables without a writer at work."""
+    place, store = _files(spark, path)
+    kept = set(_folders(spark, path))
+    lost = [n for n in (f.getPath().getName() for f in store.listStatus(place)) if n.startswith("rows-") and n not in kept]
+    for name in lost:
+        store.delete(_files(spark, f"{path}/{name}")[0], True)
+    return sorted(lost)
 
 
 def patch_missing(
@@ -128,10 +201,10 @@ def patch_missing(
 ) -> DataFrame:
     """Partial results with the missing rows recomputed from the full input, gaps anywhere.
 
-    With ``order``, columns of the result, rows come back sorted by it, the
+    NULL keys are keys. With ``order``, columns of the result, rows come back sorted by it, the
     order of the input when those name it.
     """
-    missing = full.join(partial.select(*key), list(key), "left_anti")
+    missing = same_keys(full, partial.select(*key).distinct(), key, "left_anti")
     patched = partial.unionByName(recompute(missing))
     return patched.orderBy(*order) if order else patched
 

@@ -40,6 +40,40 @@ def test_append_twice_is_once(spark, tmp_path):
     assert A.append_results(rows, path, ["id"]).count() == 10
 
 
+def test_null_keys_are_appended_and_patched_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, "a"), (None, "x", "b"), (None, None, "c"), (2, "x", "d")], "i int, j string, v string")
+    for _ in range(3):
+        assert A.append_results(rows, str(tmp_path / "out"), ["i", "j"]).count() == 4
+    patched = A.patch_missing(rows, rows.filter("v <> 'd'"), ["i", "j"], lambda missing: missing)
+    assert sorted(r["v"] for r in patched.collect()) == ["a", "b", "c", "d"]
+
+
+def test_a_writer_that_dies_or_loses_leaves_each_key_once(spark, tmp_path, monkeypatch):
+    rows, path = spark.range(10).withColumn("v", F.lit("mine")), str(tmp_path / "out")
+    claim = A._claim
+
+    def dies(*args):
+        raise RuntimeError("the machine went away")
+
+    monkeypatch.setattr(A, "_claim", dies)
+    try:
+        A.append_results(rows.filter("id < 6"), path, ["id"])
+    except RuntimeError:
+        pass
+    assert A.read_results(spark, path) is None
+
+    def loses(spark, path, number, folder):  # another writer commits just before
+        monkeypatch.setattr(A, "_claim", claim)
+        A.append_results(rows.filter("id between 3 and 5").withColumn("v", F.lit("other")), path, ["id"])
+        return claim(spark, path, number, folder)
+
+    monkeypatch.setattr(A, "_claim", loses)
+    stored = A.append_results(rows, path, ["id"])
+    assert sorted((r["id"], r["v"]) for r in stored.collect()) == [(i, "other" if 3 <= i <= 5 else "mine") for i in range(10)]
+    assert not claim(spark, path, 1, "rows-late") and len(A.drop_uncommitted(spark, path)) == 2
+    assert A.read_results(spark, path).count() == 10
+
+
 def test_patch_fills_gaps_anywhere(spark):
     full = spark.range(6).withColumn("x", F.lit("new"))
     partial = spark.createDataFrame([(1, "old"), (4, "old")], "id bigint, x string")
