@@ -240,3 +240,26 @@ def test_bincount_refuses_what_is_not_dense(spark):
     with pytest.raises(ValueError):
         S.bincount(spark.createDataFrame([(-1,), (2,)], "v bigint"), "v")
     assert sorted(map(tuple, S.sparse_bincount(rows, "v").collect())) == [(3, 2, 10**12 - 4), (10**12, 1, 0)]
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.5])
+def test_retrieval_by_norms_is_exact_and_leaves_blocks_out(spark, spread):
+    """All top lists by brute force; with skewed norms under half of the pairs of queries and facts are multiplied."""
+    draw = np.random.default_rng(8)
+    facts = draw.normal(size=(900, 8)) * np.exp(spread * draw.normal(size=(900, 1)))
+    facts[17], facts[400] = 0, facts[3]
+    queries = np.concatenate([draw.normal(size=(60, 8)), -facts[:3], np.zeros((1, 8))])
+    f = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(facts)], "fact_id int, embedding array<double>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(queries)], "query_id int, embedding array<double>")
+    scores = np.round(queries @ facts.T, 9) + 0.0
+    want = {i: sorted(range(900), key=lambda j: (-row[j], j))[:5] for i, row in enumerate(scores)}
+    got = {}
+    for r in V.retrieve(q, f, 5, block=32).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append(r["fact_id"])
+    assert got == want
+    if spread:
+        _, left, right, _ = V.norm_plan(q, f, 5, block=32)
+        cells = left.groupBy("_q", "_f").count().join(right.groupBy("_q", "_f").agg(F.count("fact_id").alias("n")), ["_q", "_f"])
+        assert cells.agg(F.sum(F.col("count") * F.col("n"))).first()[0] + 64 * 32 < 64 * 900 / 2
+    few = V.retrieve(q, f.limit(3), 5).groupBy("query_id").count().collect()
+    assert {r["count"] for r in few} == {3} and V.retrieve(q.limit(0), f, 5).count() == V.retrieve(q, f.limit(0), 5).count() == 0
