@@ -116,6 +116,20 @@ def walkable(triples: DataFrame, bad: DataFrame, labels: DataFrame, prop_labels:
     return domain_range_ok(named, typed, subject_rules, object_rules)
 
 
+HOT = 200  # nodes whose edges travel to the chains
+HOT_SHARE = 1000  # a node is hot from one chain in so many on
+
+
+def hot_nodes(rows: DataFrame, node: str) -> DataFrame:
+    """At most HOT nodes that hold a thousandth or more of the rows each, by a sketch of fixed size; a table of one column.
+
+    A node the sketch misses is looked up by key like any other.
+    """
+    counted = rows.agg(F.call_function("approx_top_k", F.col(node), F.lit(HOT), F.lit(10 * HOT)).alias("top"), F.count(F.lit(1)).alias("n"))
+    top = counted.select("n", F.inline("top"))
+    return top.filter((F.col("count") * HOT_SHARE >= F.col("n")) & F.col("item").isNotNull()).select(F.col("item").alias(node))
+
+
 def walk_chains(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Walk from every start along the first usable edge per hop, up to ``depth`` hops.
 
@@ -124,8 +138,9 @@ def walk_chains(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     node, and the choice (lowest property rank, object not visited, property not
     used) happens inside the row. Which edge is first depends on the path, so
     edges are not ranked beforehand. A chain that cannot go on leaves the loop,
-    so no later hop moves it. Popular nodes make skewed lookups; the side that
-    repeats is the frontier, which adaptive execution may split.
+    so no later hop moves it. Chains at popular nodes do not move either: a
+    sketch finds the HOT nodes most chains stand at, and their edges, one short
+    array each, travel to the chains; the rest meets its edges by key.
     """
     out = edges.groupBy(F.col("subj").alias("_at")).agg(
         F.array_sort(F.collect_list(F.struct("prop_rank", "prop", "obj"))).alias("_out")
@@ -141,7 +156,12 @@ def walk_chains(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
             "_out", lambda e: ~F.array_contains(F.col("path"), e["obj"]) & ~F.array_contains(F.col("props"), e["prop"])
         )
         step = F.get(usable, F.lit(0))
-        moved = chains.join(out, "_at", "left").withColumn("_step", step).drop("_out", "_at")
+        hot = [r["_at"] for r in hot_nodes(chains, "_at").collect()]  # HOT at most
+        others = chains.filter(~F.col("_at").isin(hot)).join(out, "_at", "left")
+        if hot:
+            crowded = chains.filter(F.col("_at").isin(hot)).join(F.broadcast(out.filter(F.col("_at").isin(hot))), "_at", "left")
+            others = others.unionByName(crowded)
+        moved = others.withColumn("_step", step).drop("_out", "_at")
         moved = cut_lineage(moved.select(
             "start",
             F.when(F.col("_step").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_step.obj"))).alias("path"),

@@ -14,6 +14,7 @@ from lorescope.operators.stats import l2_norm, long_vectors
 from lorescope.session import cut_lineage
 
 BLOCK = 4096  # vectors one task multiplies on each side
+FEW_BLOCKS = 4  # facts up to so many blocks are met all: looking for bounds would cost more
 _DIGITS = 9  # scores are compared to this precision, so that equal vectors tie
 
 
@@ -123,23 +124,26 @@ def retrieve(
 
     Every pair of blocks is one small matrix product: no group has to fit one
     task, and a pair hands on k rows per query, not all scores. Without groups,
-    blocks follow norms and pairs that cannot win are left out (``norm_plan``).
-    In groups, both sides are cut into blocks by a hash of their id and all pairs
+    blocks of many facts follow norms and pairs that cannot win are left out
+    (``norm_plan``). Else both sides are cut into blocks by a hash of their id and all pairs
     are met; pairs are packed until a task call has about two blocks of rows, so
     many tiny groups share a call. ``queries`` has query_id, ``facts`` fact_id.
     """
     by = list(by)
-    if not by:
+    if not by and facts.limit(FEW_BLOCKS * block + 1).count() > FEW_BLOCKS * block:
         seeds, left, right, handled = norm_plan(queries, facts, k, vector, block)
         rest = _products(left, right, ["_q", "_f"], max(1, -(-handled // (2 * block))), k)
         return _placed_first(seeds.unionByName(rest), k)
-    shape = cut_lineage(_blocks(queries, by, block, "_rq", "_nq").join(_blocks(facts, by, block, "_rf", "_nf"), by))
+    shapes = _blocks(queries, by, block, "_rq", "_nq"), _blocks(facts, by, block, "_rf", "_nf")
+    shape = cut_lineage(shapes[0].join(shapes[1], by) if by else shapes[0].withColumn("_one", F.lit(1)).join(shapes[1].withColumn("_one", F.lit(1)), "_one").drop("_one"))
     handled = shape.agg(F.sum(F.col("_rq") * F.col("_nf") + F.col("_rf") * F.col("_nq"))).first()[0] or 0
     keys = [*[f"_g{i}" for i in range(len(by))], "_q", "_f"]
+    counts = {} if by else shape.first().asDict()  # one row
 
     def placed(side: DataFrame, key: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
         met = F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)
-        return side.select(*by, key, vector).join(shape, by).filter(F.col(other_n) > 0).select(
+        sized = side.select(*by, key, vector).join(shape, by) if by else side.select(key, vector).withColumns({c: F.lit(counts[c]) for c in shape.columns})
+        return sized.filter(F.col(other_n) > 0).select(
             *[F.col(c).alias(g) for c, g in zip(by, keys)], F.col(key).alias(key), F.col(vector).alias("vector"),
             F.pmod(F.xxhash64(key), F.col(own_n)).alias(own), F.explode(met).alias(other),
         )

@@ -354,3 +354,19 @@ def test_a_sample_finds_the_large_group(spark, monkeypatch):
     assert seen == [{"hot"}]
     assert placed.filter("k = 'hot' and pos * 2 != id").count() == 0
     assert placed.groupBy("k").agg((F.max("pos") + 1 == F.count("*")).alias("dense")).filter("not dense").count() == 0
+
+
+def test_chains_at_a_hub_do_not_move(spark):
+    """A third of the frontier stands at one node: it is found hot, its chains are not shuffled, and the walk is the same."""
+    edges = [(f"s{i}", "p", "hub" if i % 3 == 0 else f"n{i}", 0) for i in range(3000)] + [("hub", "q", "end", 0), ("hub", "r", "far", 1)]
+    edges += [(f"n{i}", "q", f"m{i}", 0) for i in range(3000)]
+    graph = spark.createDataFrame(edges, "subj string, prop string, obj string, prop_rank int")
+    starts = spark.createDataFrame([(f"s{i}",) for i in range(3000)], "id string")
+    chains = B.walk_chains(starts, graph, 3).collect()
+    assert len(chains) == 3000
+    for r in chains:
+        i = int(r["start"][1:])
+        assert r["path"] == ([f"s{i}", "hub", "end"] if i % 3 == 0 else [f"s{i}", f"n{i}", f"m{i}"])
+    at = spark.createDataFrame([("hub" if i % 3 == 0 else f"n{i}",) for i in range(3000)], "_at string")
+    found = [r["_at"] for r in B.hot_nodes(at, "_at").collect()]
+    assert "hub" in found and len(found) <= B.HOT
