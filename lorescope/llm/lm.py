@@ -355,7 +355,7 @@ class Tokens:
         whole = values.dtype.kind == "i"
         units = values if whole else np.rint(values * 2.0**FIXED).astype(np.int64)
         total = np.cumsum(units) - units
-        found = total - total[self.begin][self.text]
+        found = total - np.repeat(total[self.begin], self.size)
         return found if whole else found * 2.0**-FIXED
 
     def earlier(self, values: np.ndarray, by: int) -> np.ndarray:
@@ -681,11 +681,14 @@ def _known_share(t: Tokens, shares: np.ndarray, new: np.ndarray, prior: np.ndarr
     Every kind of document has its own shares; the kinds are weighed by how well they predicted the text so far.
     """
     told, fair = np.zeros((KINDS, len(new))), np.zeros((KINDS, len(new)))
+    fresh = np.flatnonzero(new)
     for k in range(KINDS):  # a row a kind, as what follows runs along tokens
         own = shares[:, k].astype(np.float64)
         own /= np.maximum(1 - t.since_start(np.where(new, own, 0)), 1e-9)
         fair[k] = own
-        told[k] = np.log(prior[k]) + t.since_start(np.where(new, np.log(np.maximum(own, 1e-300)), 0))
+        bits = np.zeros(len(own))
+        bits[fresh] = np.log(np.maximum(own[fresh], 1e-300))
+        told[k] = np.log(prior[k]) + t.since_start(bits)
     told -= told.max(0)
     weight = np.exp(told)
     total = mass = np.zeros(len(new))
