@@ -219,11 +219,11 @@ def test_live_votes_are_forgotten(spark, tmp_path):
 
     def arrive(*votes):
         spark.createDataFrame(list(votes), VOTE).coalesce(1).write.mode("append").parquet(source)
-        return _majorities(T.stream_votes(stream, path, forget_after=25))
+        return _majorities(T.stream_votes(stream, path, forget_after=40))
 
     assert arrive(_vote(1, "x", False), _vote(1, "x", False), _vote(2, "t", True)) == [(1, 2, 0, "x"), (2, 1, 1, "t")]
     assert arrive(_vote(1, "x", False), _vote(2, "t", True)) == [(1, 3, 0, "x"), (2, 2, 2, "t")]
-    time.sleep(26)
+    time.sleep(41)
     assert arrive(_vote(2, "t", True)) == [(2, 1, 1, "t")]
 
 
