@@ -171,20 +171,30 @@ def bootstrap_ci(cells: DataFrame, by: Sequence[str], replicates: int = 1000, se
     return _summary(cells.mapInPandas(resample, schema))
 
 
+def listed(column: str, values: Sequence) -> Column:
+    """The column, or an error that names the first value a table has no place for, so that none vanishes from it."""
+    known = F.col(column).isin(list(values))
+    shown = F.coalesce(F.col(column).cast("string"), F.lit("NULL"))
+    return F.when(known, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"no place for {column} "), shown)))
+
+
 def main_table(cells: DataFrame, tasks: Sequence[str]) -> DataFrame:
-    """Rows (model, method), columns task_metric."""
+    """Rows (model, method), columns task_metric; a task that is not listed is an error."""
     long = long_rates(cells, ("task", "model", "method")).withColumn(
-        "_column", F.concat_ws("_", "task", F.upper("metric"))
+        "_column", F.concat_ws("_", listed("task", tasks), F.upper("metric"))
     )
     columns = [f"{t}_{m.upper()}" for t in tasks for m in METRICS]
     return long.groupBy("model", "method").pivot("_column", columns).agg(F.max("rate"))
 
 
 def scope_table(cells: DataFrame, tasks: Sequence[str], scopes: Sequence[int]) -> DataFrame:
-    """HP in percent: rows (model, method), columns task_scope; NULL where a run is missing."""
+    """HP in percent: rows (model, method), columns task_scope; NULL where a run is missing.
+
+    A task that is not listed is an error; scopes are a choice.
+    """
     long = rates(cells).select(
         "model", "method", (F.col("hp") * 100).alias("rate"),
-        F.concat_ws("_", "task", F.col("scope").cast("string")).alias("_column"),
+        F.concat_ws("_", listed("task", tasks), F.col("scope").cast("string")).alias("_column"),
     )
     columns = [f"{t}_{s}" for t in tasks for s in scopes]
     return long.groupBy("model", "method").pivot("_column", columns).agg(F.max("rate"))

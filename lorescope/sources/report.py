@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorescope.functions.text import one_decimal
-from lorescope.operators.metrics import best_in_column
+from lorescope.operators.metrics import best_in_column, listed
 
 
 def table_cell(midpoint: Column, margin: Column, best: Column) -> Column:
@@ -20,13 +20,13 @@ def table_cell(midpoint: Column, margin: Column, best: Column) -> Column:
 
 
 def emit_table(ci: DataFrame, tasks: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """One LaTeX line per model and method, cells by task and metric."""
+    """One LaTeX line per model and method, cells by task and metric; a task that is not listed is an error, metrics are a choice."""
     cells = best_in_column(ci, "midpoint", ("task", "metric")).withColumn(
         "_cell", table_cell(F.col("midpoint"), F.col("margin"), F.col("best"))
     )
     columns = [f"{t}_{m}" for t in tasks for m in metrics]
     wide = (
-        cells.withColumn("_column", F.concat_ws("_", "task", "metric"))
+        cells.withColumn("_column", F.concat_ws("_", listed("task", tasks), "metric"))
         .groupBy("model", "method")
         .pivot("_column", columns)
         .agg(F.max("_cell"))

@@ -16,6 +16,7 @@ from lorescope.operators import mining as Q
 from lorescope.operators import ordering as O
 from lorescope.operators import reshape as R
 from lorescope.operators import votes as V
+from lorescope.sources import report
 
 
 def collected(df, *columns):
@@ -370,3 +371,16 @@ def test_chains_at_a_hub_do_not_move(spark):
     at = spark.createDataFrame([("hub" if i % 3 == 0 else f"n{i}",) for i in range(3000)], "_at string")
     found = [r["_at"] for r in B.hot_nodes(at, "_at").collect()]
     assert "hub" in found and len(found) <= B.HOT
+
+
+def test_tables_refuse_a_task_without_a_place(spark):
+    cells = spark.createDataFrame(
+        [("grow", "m", "base", 1, 4, 2, 1, 1, 0), ("new", "m", "base", 1, 4, 2, 1, 1, 0)],
+        "task string, model string, method string, scope int, n long, both long, ap_only long, fke_only long, neither long",
+    )
+    ci = M.long_rates(cells, ("task", "model", "method")).selectExpr("task", "model", "method", "metric", "rate as midpoint", "0d as margin")
+    tables = [lambda t: M.main_table(cells, t), lambda t: M.scope_table(cells, t, [1]), lambda t: report.emit_table(ci, t, M.METRICS)]
+    for make in tables:
+        assert make(["grow", "new"]).count() == 1
+        with pytest.raises(Exception, match="no place for task new"):
+            make(["grow"]).collect()
