@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lorescope.operators.joins import same_keys
 from lorescope.operators.mining import CALL_FIELDS, call_rows
+from lorescope.session import cut_lineage
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -55,7 +60,10 @@ class Statistic(Protocol):
 
 
 def partial_states(df: DataFrame, statistic: Statistic, by: Sequence[str], held: int = 10_000) -> DataFrame:
-    """States per task and key. At most ``held`` keys are kept open, then states are handed on early."""
+    """States per task and key. At most ``held`` keys are kept open, then states are handed on early.
+
+    Rows reach the statistic as pandas frames, where NaN and NULL of a fractional key are the same, NULL.
+    """
     by = list(by)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
@@ -77,34 +85,70 @@ def partial_states(df: DataFrame, statistic: Statistic, by: Sequence[str], held:
     return df.mapInPandas(run, f"{kinds}, state binary")
 
 
+def _same_key(left: tuple, right: tuple) -> bool:
+    return all(a == b or (a != a and b != b) for a, b in zip(left, right))  # NaN is one key, as in a grouping
+
+
 def merge_states(states: DataFrame, statistic: Statistic, by: Sequence[str], fan_in: int = 64) -> DataFrame:
-    """One state per key, merged in two rounds so that no task sees all states of a key at once."""
+    """One state per key, merged in a tree that grows with the number of states.
+
+    Each round deals the states of a key into groups of about ``fan_in`` by their place in the stored table, so equal
+    states spread as well, and merges a group while it streams past in key order: a task holds the sum and the state
+    being added, however many there are. The last round leaves one group a key. NULL and NaN are keys.
+    """
+    if fan_in < 2:
+        raise ValueError("fan_in must be at least 2")
     by = list(by)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in states.select(*by).schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in states.select(*by).schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, types = None, None, None
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for data in group["state"]:
-            state = statistic.load(data)
-            total = state if total is None else statistic.merge(total, state)
-        return pd.DataFrame([(*group[by].iloc[0], statistic.dump(total))], columns=[*by, "state"])
+        def row() -> pa.RecordBatch:
+            columns = [pa.array([v], t) for v, t in zip(at[:-1], types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([statistic.dump(total)], pa.binary())], [*by, "state"])
 
-    salted = states.withColumn("_salt", F.pmod(F.xxhash64("state"), F.lit(fan_in)))
-    first = salted.groupBy(*by, "_salt").applyInPandas(merge, f"{kinds}, state binary")
-    return first.groupBy(*by).applyInPandas(merge, f"{kinds}, state binary")
+        for batch in batches:
+            types = batch.schema.types[: len(by)]
+            keys = zip(*[batch.column(i).to_pylist() for i in range(len(by) + 1)])
+            for i, key in enumerate(keys):
+                state = statistic.load(batch.column(len(by) + 1)[i].as_py())
+                if at is not None and _same_key(at, key):
+                    total = statistic.merge(total, state)
+                else:
+                    if at is not None:
+                        yield row()
+                    at, total = key, state
+        if at is not None:
+            yield row()
+
+    while True:
+        states = cut_lineage(states.select(*by, "state"))
+        most = states.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if most <= 1:
+            return states
+        width = math.ceil(most / fan_in)
+        placed = states.withColumn("_place", F.monotonically_increasing_id())
+        dealt = placed.withColumn("_group", F.pmod(F.xxhash64("_place"), F.lit(width)))
+        ordered = dealt.repartition(*by, "_group").sortWithinPartitions(*by, "_group", "_place")
+        states = ordered.select(*by, "_group", "state").mapInArrow(merge, f"{kinds}, state binary")
+        if width == 1:
+            return states
 
 
 def finish_states(states: DataFrame, statistic: Statistic, by: Sequence[str], schema: str) -> DataFrame:
-    """Results of merged states; ``schema`` names what ``finish`` returns."""
+    """Results of merged states; ``schema`` names what ``finish`` returns, NaN among it is NULL."""
     by = list(by)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in states.select(*by).schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in states.select(*by).schema)
+    results = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = pd.DataFrame([statistic.finish(statistic.load(s)) for s in batch["state"]], index=batch.index)
-            yield pd.concat([batch[by], done], axis=1)
+            done = [statistic.finish(statistic.load(s.as_py())) for s in batch.column(len(by))]
+            columns = [pa.array([d[name] for d in done], kind, from_pandas=True) for name, kind in results]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*by, *[name for name, _ in results]])
 
-    return states.mapInPandas(run, f"{kinds}, {schema}")
+    return states.select(*by, "state").mapInArrow(run, f"{kinds}, {schema}")
 
 
 class CallExpander:

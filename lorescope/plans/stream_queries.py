@@ -13,12 +13,14 @@ from lorescope.operators import moments as P
 from lorescope.operators import plugins as U
 from lorescope.operators import sketches as K
 from lorescope.operators.reshape import nest
+from lorescope.operators.verdicts import judge_stored
 from lorescope.plans.metric_queries import rounded
 from lorescope.plans.mining_queries import _CALLS_SQL, _CELLS
 from lorescope.plans.registry import Inputs, query
 from lorescope.plans.vector_queries import _NEAR, _PAIRS, near_quantiles
 from lorescope.plans.vote_queries import _EVALUATED
 from lorescope.session import scratch_path
+from lorescope.sources import records as A
 from lorescope.streaming import streams as T
 
 FILES = 4  # arriving files, one per batch
@@ -184,3 +186,22 @@ def u4(t):
     requests = t.votes.select("probe_id", "answer", "gt_answer")
     judged = U.judge_once(requests, ["answer", "gt_answer"], U.stub_judge, "answer string, gt_answer string, verdict_text string")
     return judged.groupBy("answer", "gt_answer", "verdict_text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u4b_judge_again", """
+    SELECT verdict_text, count(*) AS n, count(DISTINCT (probe_id, answer)) AS requests,
+      count(DISTINCT (probe_id, answer)) FILTER (WHERE probe_id % 3 <> 0) AS judged_now FROM (
+      SELECT probe_id, answer, CASE WHEN ('0x' || substr(md5(concat_ws('|', probe_id, answer, gt_answer)), 1, 8))::BIGINT % 2 = 0 THEN 'Yes, they agree.'
+        ELSE 'No, they differ.' END AS verdict_text FROM {votes}) v GROUP BY verdict_text""")
+def u4b(t):
+    """A run over a third of the probes, then one over all, which has only the other requests to judge."""
+    path, key = scratch_path(t.spark, "verdicts"), ["probe_id", "answer", "gt_answer"]
+    requests = t.votes.select(*key)
+    schema = "probe_id bigint, answer string, gt_answer string, verdict_text string"
+    judge_stored(requests.filter("probe_id % 3 = 0"), key, U.stub_judge, schema, path)
+    first = A.committed_folders(t.spark, path)
+    judged = judge_stored(requests, key, U.stub_judge, schema, path)
+    second = [f"{path}/{f}" for f in A.committed_folders(t.spark, path) if f not in first]
+    now = t.spark.read.parquet(*second).groupBy("verdict_text").agg(F.count(F.lit(1)).alias("judged_now"))
+    counts = judged.groupBy("verdict_text").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("probe_id", "answer").alias("requests"))
+    return counts.join(now, "verdict_text", "left").withColumn("judged_now", F.coalesce("judged_now", F.lit(0)))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorescope.operators.joins import same_keys
 
@@ -50,14 +53,67 @@ def write_runs(runs: DataFrame, path: str, dims: Sequence[str]) -> None:
     runs.hint("rebalance", *[F.col(d) for d in dims]).write.partitionBy(*dims).mode("append").parquet(path)
 
 
-def read_runs(spark: SparkSession, path: str, where: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """Result sets of the wanted run keys. All partitions are listed, only wanted ones read; missing ones give no rows."""
-    runs = spark.read.option("ignoreMissingFiles", "true").parquet(path)
-    for dim, values in (where or {}).items():
-        runs = runs.filter(F.col(dim).isin(list(values)))
+def children(spark: SparkSession, path: str) -> list[str]:
+    place, store = _files(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place) if f.isDirectory()] if store.exists(place) else []
+
+
+def _is_wanted(stored: str, values: Sequence) -> bool:
+    def number(text: str) -> float | None:
+        try:
+            return float(text)
+        except ValueError:
+            return None
+
+    texts = [str(v).lower() if isinstance(v, bool) else str(v) for v in values if v is not None]
+    return stored in texts or (number(stored) is not None and number(stored) in [number(t) for t in texts])
+
+
+def run_folders(spark: SparkSession, path: str, where: Mapping[str, Sequence]) -> list[str]:
+    """The folders of the wanted run keys, found from the top: a folder that is not wanted is never listed.
+
+    Once the last dimension asked for is met, what lies below is left to the reader.
+    """
+    open_, found = [(path.rstrip("/"), frozenset(where))], []
+    while open_:
+        folder, asked = open_.pop()
+        if not asked:
+            found.append(folder)
+            continue
+        for name in children(spark, folder):
+            dim, equals, value = name.partition("=")
+            if equals and (dim not in where or _is_wanted(unquote(value), where[dim])):
+                open_.append((f"{folder}/{name}", asked - {dim}))
+    return sorted(found)
+
+
+def read_runs(
+    spark: SparkSession, path: str, where: Mapping[str, Sequence] | None = None, schema: StructType | None = None
+) -> DataFrame:
+    """Result sets of the wanted run keys; only their folders are listed and read, and missing ones give no rows.
+
+    ``schema`` has all columns, dimensions included; without it that of the files found is taken, or of any file of
+    the table where none of the wanted ones is there, and the kind of a dimension follows from the values found.
+    NULL is no run key.
+    """
+    reader = spark.read.option("basePath", path).option("ignoreMissingFiles", "true")
+    reader = reader.schema(schema) if schema is not None else reader
+    if where is None:
+        return reader.parquet(path)
+    folders = run_folders(spark, path, where)
+    if not folders:
+        known = spark.read.parquet(path).schema if schema is None else schema
+        return spark.createDataFrame([], known)
+    runs = reader.parquet(*map(_literal, folders))
+    for dim, values in where.items():
+        runs = runs.filter(F.col(dim).isin([v for v in values if v is not None]))
     return runs
 
 
+def _literal(path: str) -> str:
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)  # readers take these for patterns
+
+
 _RUN_FILE = r"([^/]+)/[^/]+/([^/]+)_(\d+)_([^/_]+)_(\d+)\.\w+$"
 
 
@@ -146,22 +202,22 @@ def _claim(spark: SparkSession, path: str, number: int, folder: str) -> bool:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     """The committed rows of a results table, None before the first commit. What a failed writer left is not read."""
-    folders = _folders(spark, path)
+    folders = committed_folders(spark, path)
     return spark.read.parquet(*[f"{path}/{f}" for f in folders]) if folders else None
 
 
-def append_results(results: DataFrame, path: str, key: Sequence[str]) -> DataFrame:
+def append_results(results: DataFrame, path: str, key: Sequence[str], seen: Sequence[str] = ()) -> DataFrame:
     """Append the rows whose key is not stored yet, and return the stored table.
 
     Rows are staged in a folder of their own and count once a numbered commit names it. A rerun adds only what is
     missing, whatever the gaps; a writer that dies before its commit leaves nothing that is read; of two writers that
     want a number the later one drops what the other has stored meanwhile and takes the next. NULL keys are keys.
+    ``seen`` are committed folders none of whose keys is in ``results``, so they need no comparison.
     """
     spark = results.sparkSession
-    seen: list[str] = []
     rows = results
     while True:
-        known = _folders(spark, path)
+        known = committed_folders(spark, path)
         added = [f for f in known if f not in seen]
         if added:
             rows = same_keys(rows, spark.read.parquet(*[f"{path}/{f}" for f in added]).select(*key).distinct(), key, "left_anti")
@@ -176,7 +232,7 @@ def append_results(results: DataFrame, path: str, key: Sequence[str]) -> DataFra
     return read_results(spark, path)
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
+def committed_folders(spark: SparkSession, path: str) -> list[str]:
     """Committed folders, oldest first."""
     place, store = _files(spark, f"{path}/_commits")
     if not store.exists(place):
@@ -189,7 +245,7 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
 def drop_uncommitted(spark: SparkSession, path: str) -> list[str]:
     """Delete the folders that no commit names, and return them; for tables without a writer at work."""
     place, store = _files(spark, path)
-    kept = set(_folders(spark, path))
+    kept = set(committed_folders(spark, path))
     lost = [n for n in (f.getPath().getName() for f in store.listStatus(place)) if n.startswith("rows-") and n not in kept]
     for name in lost:
         store.delete(_files(spark, f"{path}/{name}")[0], True)

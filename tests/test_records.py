@@ -99,6 +99,26 @@ def test_runs_are_pruned(spark, tmp_path):
     assert grow.count() == 5
     plan = grow._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [task" in plan or "PartitionFilters: [isnotnull(task" in plan
+    assert A.read_runs(spark, str(tmp_path / "r"), {"task": ["math"]}).columns == grow.columns
+
+
+def test_only_wanted_run_folders_are_listed(spark, tmp_path, monkeypatch):
+    """300 runs in a path with pattern characters; listing calls are those of the wanted branches."""
+    path = str(tmp_path / "r[1]{x}")
+    runs = spark.range(300).selectExpr("concat('t/', id % 10) as task", "cast(id % 3 as int) as size", "concat('m', id % 10) as model", "id")
+    runs.coalesce(1).write.partitionBy("task", "size", "model").parquet(path)
+    listed = []
+    children = A.children
+    monkeypatch.setattr(A, "children", lambda s, folder: listed.append(folder) or children(s, folder))
+    where = {"task": ["t/1", "t/2"], "size": [2, None], "model": ["m1", "m7"]}
+    found = A.read_runs(spark, path, where, schema=runs.schema)
+    want = runs.filter("task in ('t/1', 't/2') and size = 2 and model in ('m1', 'm7')").collect()
+    assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in want) and found.count() == 10
+    assert len(listed) == 1 + 2 + 2  # the table, its two tasks, one size in each
+    assert A.read_runs(spark, path, {"size": ["1"]}, schema=runs.schema).count() == 100
+    assert A.read_runs(spark, path, {"task": ["nowhere"]}, schema=runs.schema).count() == 0
+    assert A.read_runs(spark, path, {"task": [None]}, schema=runs.schema).count() == 0
+    assert A.read_runs(spark, path, {}, schema=runs.schema).count() == 300
 
 
 def test_run_key_from_path(spark):

@@ -1,5 +1,7 @@
 """Statistics and retrieval of vectors against numpy."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,9 @@ from lorescope.operators import moments as P
 from lorescope.operators import plugins as U
 from lorescope.operators import retrieval as V
 from lorescope.operators import stats as S
+from lorescope.operators import verdicts as J
 from lorescope.plans.stream_queries import MeanAndVariance
+from lorescope.sources import records as A
 from lorescope.sources.tables import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -263,3 +267,97 @@ def test_retrieval_by_norms_is_exact_and_leaves_blocks_out(spark, spread):
         assert cells.agg(F.sum(F.col("count") * F.col("n"))).first()[0] + 64 * 32 < 64 * 900 / 2
     few = V.retrieve(q, f.limit(3), 5).groupBy("query_id").count().collect()
     assert {r["count"] for r in few} == {3} and V.retrieve(q.limit(0), f, 5).count() == V.retrieve(q, f.limit(0), 5).count() == 0
+
+
+def counted():
+    """A count whose states know how many were alive in their process at once. Defined here to reach tasks by value."""
+
+    class Held:
+        alive = peak = 0
+
+        def __init__(self, n, peak=0):
+            self.n = n
+            Held.alive += 1
+            Held.peak = max(Held.peak, Held.alive, peak)
+
+        def __del__(self):
+            Held.alive -= 1
+
+    class Counted:
+        def partial(self, rows):
+            return Held(len(rows))
+
+        def merge(self, left, right):
+            return Held(left.n + right.n)
+
+        def dump(self, state):
+            return struct.pack("<qq", state.n, Held.peak)
+
+        def load(self, data):
+            return Held(*struct.unpack("<qq", data))
+
+        def finish(self, state):
+            return {"n": state.n, "peak": Held.peak}
+
+    return Counted()
+
+
+def test_merge_tree_holds_one_state_at_a_time(spark):
+    """10,000 equal states of one key, few of others, NULL and NaN among the keys."""
+    one, statistic = struct.pack("<qq", 1, 0), counted()
+    nan, missing = float("nan"), None
+    keys = [(1.0, "hot")] * 10_000 + [(nan, "x")] * 70 + [(missing, "x")] * 65 + [(missing, None)] * 3 + [(0.0, "y"), (-0.0, "y")]
+    states = spark.createDataFrame([(*k, one) for k in keys], "`a b` double, k string, state binary").repartition(7)
+    merged = U.merge_states(states.withColumnRenamed("a b", "a"), statistic, ["a", "k"], fan_in=16)
+    out = U.finish_states(merged, statistic, ["a", "k"], "n bigint, peak bigint").collect()
+    found = {(str(r["a"] and r["a"] + 0.0) if r["a"] != 0 else "0.0", r["k"]): r["n"] for r in out}
+    assert found == {("1.0", "hot"): 10_000, ("nan", "x"): 70, ("None", "x"): 65, ("None", None): 3, ("0.0", "y"): 2} and len(out) == 5
+    assert max(r["peak"] for r in out) <= 4  # the sum, the next state, their sum and the last one finished
+    assert U.merge_states(states.limit(0), statistic, ["a b", "k"]).count() == 0
+
+
+def counting_judge(seen):
+    def make():
+        def run(batch):
+            seen.add(len(batch))
+            return batch.assign(verdict=batch["q"].fillna("none") + "!")
+        return run
+
+    return make
+
+
+def test_verdicts_are_kept_between_runs(spark, tmp_path):
+    path, schema = str(tmp_path / "v"), "q string, k int, verdict string"
+    seen = spark.sparkContext.accumulator(0)
+    make = counting_judge(seen)
+
+    def asked(rows):
+        return spark.createDataFrame(rows, "id int, q string, k int")
+
+    first = [(i, f"q{i % 40}", 1) for i in range(200)] + [(900, None, 1), (901, None, None), (902, "q1", None)]
+    out = J.judge_stored(asked(first), ["q", "k"], make, schema, path).collect()
+    assert len(out) == 203 and seen.value == 43 and all(r["verdict"] == (r["q"] or "none") + "!" for r in out)
+    second = first + [(i, f"q{i}", 2) for i in range(5000, 5300)]
+    out = J.judge_stored(asked(second), ["q", "k"], make, schema, path).collect()
+    assert len(out) == 503 and seen.value == 343 and all(r["verdict"] == (r["q"] or "none") + "!" for r in out)
+    J.judge_stored(asked(second), ["q", "k"], make, schema, path).count()
+    J.judge_stored(asked([]), ["q", "k"], make, schema, path).count()
+    assert seen.value == 343 and len(A.committed_folders(spark, path)) == 2
+
+
+def test_key_filter_grows_and_misses_no_key(spark, tmp_path):
+    path = str(tmp_path / "v")
+    for start, end in ((0, 300), (300, 9000), (9000, 9100)):
+        A.append_results(spark.range(start, end).withColumn("v", F.lit("x")), path, ["id"])
+        folders = A.committed_folders(spark, path)
+        filter_ = J.key_filter(spark, path, ["id"], folders)
+        marked = J.maybe_known(spark.range(0, 40_000), filter_, ["id"])
+        assert marked.filter(f"id < {end} and not maybe").count() == 0
+        assert marked.filter(f"id >= {end} and maybe").count() < 0.05 * (40_000 - end)
+    words = [r["words"] for r in filter_.select("words").distinct().collect()]
+    assert words == [8192] and filter_.first()["keys"] == 9100  # twice the room when built anew, then only added to
+    # A filter that a dead run left without its end, or that covers less, misses nothing either.
+    assert [n for n, _ in J._stored_filters(spark, path)] == [1, 2, 3]
+    (tmp_path / "v" / "_filters" / "000000000009-dead").mkdir()
+    again = J.key_filter(spark, path, ["id"], folders)
+    assert J.maybe_known(spark.range(9100), again, ["id"]).filter("not maybe").count() == 0
