@@ -13,7 +13,8 @@ whose members are all just below the threshold.
 
 Cases: texts without words or NULL have an empty set and are alone; with fewer words than a shingle the whole
 sequence is one; rows with a NULL id are alone with component NULL and kept; rows that share an id are one
-document whose texts all count; extra columns are ignored, whatever their names.
+document whose texts all count and which has one component (the distinct sets of an id are held together where
+partners are checked against it); extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -108,7 +109,8 @@ def table_keys(reps: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have 100 * shared >= percent * united shingles, as a stored table.
 
-    The text of b travels once per SHARE partners, that of a once per pair.
+    The text of b travels once per SHARE partners, that of a once per pair. An id with several texts is linked if
+    one of them is.
     """
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = rows_of(narrowed(docs, ["doc_id", "text"]), "doc_id", ids)
@@ -126,18 +128,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, base = None, np.zeros(0, np.uint64)
+        at, bases = None, {}
         for batch in batches:
             out_a, out_b = [], []
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
             for (b, salt, a), grams in zip(keys, shingle_sets(batch.column(3), words)):
+                if at != (b, salt):
+                    at, bases = (b, salt), {}
                 if a is None:  # sorts before its partners
-                    at, base = (b, salt), grams
-                elif at == (b, salt):
+                    bases[len(grams), int(grams.sum())] = grams
+                    continue
+                for base in bases.values():
                     shared = len(np.intersect1d(grams, base, assume_unique=True))
                     if shared and 100 * shared >= percent * (len(grams) + len(base) - shared):
                         out_a.append(a)
                         out_b.append(b)
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     rows = first.unionByName(rest).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
@@ -261,6 +267,13 @@ def _shared(sets: list[np.ndarray], columns: int = 2048) -> Iterator[tuple[int,
             yield tall[0], wide[0], total
 
 
+def _same_document(members: DataFrame, several: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of the texts of one id."""
+    own = members.filter("rep is not null").join(several, "doc_id").select("doc_id", "rep").distinct()
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return own.join(least, "doc_id").filter("rep > b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Every row's doc_id, n_shingles, component_id (the smallest id reachable by links) and kept."""
     sig = cut_lineage(signatures(docs, words))
@@ -272,16 +285,25 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     keys = table_keys(reps)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b < top").select("key", "b")
     stars = cut_lineage(keys.join(buckets, "key").filter("rep > b").select(F.col("rep").alias("a"), "b").distinct())
+    members = sig.join(reps.select("rep", "n_shingles", "d1", "d2"), ["n_shingles", "d1", "d2"], "left")
+    ids = sig.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    several = cut_lineage(ids.filter("n > 1").select("doc_id"))
+    repeated = not several.isEmpty()
     found = confirmed(stars, docs, words, percent)
+    if repeated:
+        found = cut_lineage(found.union(_same_document(members, several)).distinct())
     labels = components(found)
     more = _pairs_within(cut_lineage(_groups(stars, labels, reps)), docs, words, percent)
     if not more.isEmpty():
         labels = components(found.union(more).distinct())
-    members = sig.join(reps.select("rep", "n_shingles", "d1", "d2"), ["n_shingles", "d1", "d2"], "left")
-    return (
-        members.join(labels, F.col("rep") == F.col("id"), "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    placed = members.join(labels, F.col("rep") == F.col("id"), "left").withColumn(
+        "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
+    )
+    if repeated:  # a text without words follows the others of its document
+        lowest = placed.join(several, "doc_id").groupBy(F.col("doc_id").alias("_of")).agg(F.min("component_id").alias("_low"))
+        placed = placed.join(lowest, F.col("doc_id") == F.col("_of"), "left").withColumn("component_id", F.coalesce("_low", "component_id"))
+    return placed.select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
 
 
