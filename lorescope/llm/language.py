@@ -5,8 +5,10 @@ phrases that occur in that sample; phrases times log2(sample bytes) per byte of
 costs under the language, and the language with the fewest wins. Parsing runs over all languages and many
 stretches of text at once, one table lookup a byte.
 
-Sample bound: SAMPLE_DOCS documents and SAMPLE_BYTES bytes per language, drawn by a hash of the id, short
-documents first; everything else covers all rows. A stretch of STRETCH bytes ends a phrase for every language.
+Sample bound: SAMPLE_BYTES bytes per language, and ALL_BYTES over all of them where there are many (each gets the same),
+from distinct texts with a letter drawn by a hash of the text: SAMPLE_DOCS documents, those of LITTLE to SHORT bytes
+first, which fill it, then longer ones; where both are few, up to LITTLE_DOCS smaller ones. The table has two states a
+sampled byte at most. Everything else covers all rows. A stretch of STRETCH bytes ends a phrase for every language.
 
 Cases: a NULL text, an empty one or one without a letter is ``und`` with score 0; rows with a NULL language or
 text are never learned from; equal scores go to the first language by code point; without any labelled row all
@@ -30,7 +32,10 @@ from lorescope.llm.registry import documents, query
 
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 16384
+ALL_BYTES = 16 * SAMPLE_BYTES
 SHORT = 4096
+LITTLE = SAMPLE_BYTES // SAMPLE_DOCS
+LITTLE_DOCS = 1024
 STRETCH = 256
 SHARPNESS = 12.0  # how fast the score nears 1 with the lead in bits per byte
 UNKNOWN = "und"
@@ -172,12 +177,15 @@ class Model:
 def fit(docs: DataFrame, learn: Column | None = None) -> Model:
     """A model of the ``lang`` column from a bounded sample of the rows for which ``learn`` holds."""
     rows = docs if learn is None else docs.filter(learn)
-    rows = narrowed(rows, ["doc_id", "text", "lang"]).filter("lang is not null and text is not null and text != ''")
-    rows = rows.withColumn("_draw", F.xxhash64("doc_id", "text")).withColumn("_long", F.octet_length("text") > SHORT)
-    first = W.partitionBy("lang").orderBy("_long", "_draw")
-    picked = rows.select("lang", "_long", "_draw").withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= SAMPLE_DOCS)
-    picked = picked.groupBy("lang", "_long", "_draw").agg(F.min("_nth").alias("_nth"))  # rows that repeat count once
-    chosen = rows.join(F.broadcast(picked), ["lang", "_long", "_draw"]).select("lang", "_nth", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    rows = narrowed(rows, ["text", "lang"]).filter("lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    size = F.octet_length("text")
+    tier = F.when(size < LITTLE, 2).when(size > SHORT, 1).otherwise(0)
+    rows = rows.withColumns({"_tier": tier, "_draw": F.xxhash64("text")})
+    drawn = rows.select("lang", "_tier", "_draw").distinct()  # copies count once
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("_tier", "_draw"))
+    picked = drawn.withColumn("_nth", nth).filter(F.col("_nth") <= LITTLE_DOCS)
+    picked = picked.filter((F.col("_nth") <= SAMPLE_DOCS) | (F.col("_tier") == 2))
+    chosen = rows.join(F.broadcast(picked), ["lang", "_tier", "_draw"]).select("lang", "_nth", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     samples: dict[str, bytes] = {}
     for r in chosen.dropDuplicates(["lang", "_nth"]).orderBy("lang", "_nth").toLocalIterator():
         have = samples.get(r["lang"], b"")
@@ -185,7 +193,8 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Model:
             text = np.frombuffer(pc.utf8_lower(pa.scalar(r["text"])).as_py().encode() + b" ", np.uint8)
             text, _ = spelled(text, np.array([0, len(text)]))
             samples[r["lang"]] = (have + text.tobytes())[:SAMPLE_BYTES]
-    return Model.of(samples)
+    room = ALL_BYTES // max(len(samples), ALL_BYTES // SAMPLE_BYTES)
+    return Model.of({name: text[:room] for name, text in samples.items()})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -201,8 +210,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return narrowed(docs, ["doc_id", "text"]).mapInArrow(frugal(run), "doc_id bigint, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of ``docs``, all columns, in a learned language with at least that score."""
+def keep_known(docs: DataFrame, model: Model, least: float, few: int = 0) -> DataFrame:
+    """The rows of ``docs``, all columns, in a learned language with at least that score.
+
+    Texts of fewer than ``few`` code points stay whenever they have a letter: so little text may fit several languages
+    as well, which says nothing against it.
+    """
     shared = model.shared(docs)
 
     def make():
@@ -210,7 +223,8 @@ def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
         def test(texts: pa.Array) -> np.ndarray:
             labels, scores = own.predict(texts)
-            return np.array([x != UNKNOWN for x in labels], bool) & (scores >= least)
+            short = pc.less(pc.utf8_length(texts), few).fill_null(False)
+            return np.array([x != UNKNOWN for x in labels], bool) & ((scores >= least) | np.asarray(short, bool))
 
         return test
 

@@ -78,6 +78,43 @@ def test_neardup(odd):
     assert neardup.classes(odd.limit(0)).count() == 0
 
 
+def test_neardup_of_an_id_with_several_texts(spark):
+    """Whatever the order of its rows, all texts of an id link, and its rows share one component."""
+    words = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    third = " ".join(f"u{i}" for i in range(40))
+    rows = [(1, words), (1, other), (2, words + " zz"), (3, other + " yy"), (5, third), (5, ""), (5, other), (6, third), (6, third), (7, "")]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        found = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.classes(docs, words=4).collect()}
+        assert found == {(1, 1, True), (2, 1, False), (3, 1, False), (5, 1, False), (6, 1, False), (7, 7, True)}
+        assert sorted(r["doc_id"] for r in neardup.keep_one(docs, words=4).collect()) == [1, 7]
+
+
+def test_language_sample_is_not_filled_by_tiny_texts_or_copies(spark):
+    prose = {x: [(" ".join(f"{x}{(i * j) % 97}word{x}" for j in range(60))).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(40)] for x in "pq"}
+    rows = [(t, x) for x in "pq" for t in prose[x]] + [(f"ok {i}", "p") for i in range(1000)] + [(prose["q"][0], "q")] * 500
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string").selectExpr("1L as doc_id", "text", "lang"))
+    assert (2**model.bits > 0.9 * language.SAMPLE_BYTES).all()
+    tiny = language.fit(spark.createDataFrame([(1, f"{chr(97 + i % 26)}{chr(97 + i // 26)} some words", "p") for i in range(600)], "doc_id long, text string, lang string"))
+    assert 2 ** tiny.bits[0] > 6000  # all of them, as nothing else is there
+
+
+def test_language_table_is_bounded_over_many_languages(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}" for j in range(200)) * 8, f"lang{i:03}") for i in range(200)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 200 and (2**model.bits).sum() <= language.ALL_BYTES + 200
+    assert len(model.table) <= 2 * language.ALL_BYTES * (len(model.symbol) + 1) and model.table.min() >= 0
+
+
+def test_short_texts_are_not_dropped_for_fitting_several_languages(spark):
+    short = ["a", "e", "Hi!", "OK", "no", "the", "name", "12", "", None]
+    docs = spark.createDataFrame([(i, "the name of the one " * 20, f"l{i}") for i in range(4)] + [(10 + i, t, None) for i, t in enumerate(short)],
+                                 "doc_id long, text string, lang string")
+    kept = [r["doc_id"] for r in language.keep_known(docs, language.fit(docs), 0.4, few=32).collect()]
+    assert sorted(i for i in kept if i >= 10) == list(range(10, 17))
+
+
 def test_mixing(odd):
     rows = mixing.mixed_sources(odd).collect()
     assert len(rows) == odd.count()
