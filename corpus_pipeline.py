@@ -16,6 +16,7 @@ from lorescope.llm.common import small_batches
 from lorescope.session import cut_lineage
 
 SURE = 0.4  # least share of the likelihood that the best language must have
+FEW = 32  # code points below which a text says too little to be dropped for its score
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +30,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language of the table, not undecided between several.
+    """Documents in a language of the table, not undecided between several unless they are too short to tell.
 
     NULL texts and texts without a letter go; a NULL ``lang`` is never learned from; without any language all go.
     """
     small_batches(spark)
-    return language.keep_known(docs, language.fit(docs, learn=~language.held_out()), SURE)
+    return language.keep_known(docs, language.fit(docs, learn=~language.held_out()), SURE, FEW)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
