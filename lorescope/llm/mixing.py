@@ -27,6 +27,7 @@ from lorescope.session import cut_lineage
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0  # times a source may be taken
 WINDOW = 1 << 17  # words over which sums are tabulated
+MARKED = 256  # steps between two tables of sums that are kept; those between are made again
 SLICES = 4096  # parts of a length's documents, by hash; only one of them needs an order
 
 
@@ -82,29 +83,39 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
         more = min(int(counts[i] - take[i]), max(0, left - spare) // int(sizes[i]))
         take[i] += more
         left -= more * int(sizes[i])
-    # Bit s of reach is set when some choice of the sizes seen so far adds up to s.
-    limit = left + int(sizes.max())
+    # Bit s of reach is set when some choice of the sizes seen so far adds up to s common divisors.
+    unit = int(np.gcd.reduce(sizes))
+    whole_left, rest = divmod(left, unit)
+    aim = whole_left + (2 * rest > unit)
+    limit = whole_left + int(sizes.max()) // unit
     mask = (1 << (limit + 1)) - 1
-    reach, steps = 1, []
+    reach, steps, marks = 1, [], []
     for i in order[::-1]:  # short sizes first
-        free, size, unit = int(counts[i] - take[i]), int(sizes[i]), 1
+        free, size, fold = int(counts[i] - take[i]), int(sizes[i]) // unit, 1
         if size > limit:
             continue
         free = min(free, limit // size)
-        while free > 0 and not reach >> left & 1:
-            k = min(unit, free)
-            steps.append((i, k, reach))
+        while free > 0 and not reach >> aim & 1:
+            k = min(fold, free)
+            if len(steps) % MARKED == 0:
+                marks.append(reach)
+            steps.append((i, k, k * size))
             reach |= reach << (k * size) & mask
             free -= k
-            unit *= 2
-    below = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
-    above = reach >> (left + 1)
-    above = left + 1 + (above & -above).bit_length() - 1 if above else None
-    at = below if above is None or left - below <= above - left else above
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(sizes[i])
+            fold *= 2
+    below = (reach & ((1 << (whole_left + 1)) - 1)).bit_length() - 1
+    above = reach >> (whole_left + 1)
+    above = whole_left + 1 + (above & -above).bit_length() - 1 if above else None
+    at = below if above is None or left - below * unit <= above * unit - left else above
+    while marks:  # what could be reached before each step, from the last mark on
+        tail, before = steps[(len(marks) - 1) * MARKED :], [marks.pop()]
+        for _, _, size in tail[:-1]:
+            before.append(before[-1] | before[-1] << size & mask)
+        for (i, k, size), reached in zip(reversed(tail), reversed(before)):
+            if not reached >> at & 1:
+                take[i] += k
+                at -= size
+        del steps[len(marks) * MARKED :]
     return take
 
 
