@@ -89,25 +89,29 @@ def _bmp_pixels(data: bytes) -> np.ndarray | None:
 def area_resized(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of the area under each cell of a height x width grid, exact for fractions of pixels.
 
-    The integral image is read between its entries by linear interpolation, along rows and then columns.
+    The integral image is needed only where cells begin and end: sums up to the pixel before an edge and a share of
+    the one it cuts, along rows and then columns. No copy of the pixels is made.
     """
 
     def integral(values: np.ndarray, cells: int) -> np.ndarray:
         n = values.shape[0]
-        total = np.zeros((n + 1, *values.shape[1:]))
-        np.cumsum(values, axis=0, out=total[1:])
         edge = np.arange(cells + 1) * n / cells
         low = np.minimum(edge.astype(np.int64), n - 1)
         part = (edge - low).reshape(-1, *[1] * (values.ndim - 1))
-        return np.diff(total[low] + part * (total[low + 1] - total[low]), axis=0) * cells / n
+        total = np.zeros((cells + 1, *values.shape[1:]))
+        for i in range(cells):
+            np.add.reduce(values[low[i] : low[i + 1]], axis=0, dtype=np.float64, out=total[i + 1])
+        return np.diff(np.cumsum(total, axis=0) + part * values[low], axis=0) * cells / n
 
-    return integral(integral(pixels.astype(np.float64), height).swapaxes(0, 1), width).swapaxes(0, 1)
+    return integral(integral(pixels, height).swapaxes(0, 1), width).swapaxes(0, 1)
 
 
 def difference_hash(pixels: np.ndarray) -> str:
     """64 bits, as hexadecimal digits: whether each of 8 x 8 cells is darker than its right neighbour."""
-    grey = pixels if pixels.ndim == 2 else pixels @ np.array([0.299, 0.587, 0.114])
-    cells = np.round(area_resized(grey, 8, 9), 6)
+    cells = area_resized(pixels, 8, 9)
+    if cells.ndim == 3:  # grey of the means is the mean of the grey
+        cells = cells @ np.array([0.299, 0.587, 0.114])
+    cells = np.round(cells, 6)
     return np.packbits(cells[:, :-1] < cells[:, 1:]).tobytes().hex()
 
 
