@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model file's protobuf is parsed here; its normaliser, the metaspace marker, BPE merges or unigram scores and
-byte fallback are rebuilt as a ``tokenizers.Tokenizer``. Where no piece has the marker inside, a text is the
-concatenation of its marker-led segments, so each task encodes a segment once, in batches over several threads,
-and looks it up afterwards. Every segment is also encoded by the sentencepiece library: where the two differ
-the ids are sentencepiece's, and the text's ``parity`` is false.
+byte fallback are rebuilt as a ``tokenizers.Tokenizer``, which normalises, encodes and decodes. Where no piece has
+the marker inside, a text is the concatenation of its marker-led segments, so each task encodes and decodes a segment
+once, in batches over several threads, and looks it up afterwards; other models get whole texts. Sentencepiece
+verifies every segment: where it differs its ids replace the backend's, and the text's ``parity`` is false. As no merge
+and no byte run crosses a marker, segments that agree are texts that agree, and segments that decode to themselves are
+texts that do.
 
 Cases: a NULL or empty text has no ids and decodes to an empty text; texts of blanks, repeated rows and very long
-texts are encoded whole; NULL ids decode to NULL; extra columns are ignored, whatever their names.
+texts are encoded whole; a text with the marker itself decodes to one with blanks, so it makes no round trip; NULL ids
+decode to NULL; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from lorescope.llm.registry import documents, query
 MODEL = os.environ.get("LORESCOPE_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 THREADS = 2  # of a task, for encoding batches
 KNOWN = 150_000  # segments a task remembers before it starts anew
+JOINED = 64  # segments encoded as one line
+KNOWN_CHARS = 16 << 20  # and how long they may be in all
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -114,8 +119,8 @@ class Spec:
             steps.append(N.Prepend(MARK))
         return N.Sequence([*steps, N.Replace(" ", MARK)])
 
-    def tokenizer(self, normalize: bool = True):
-        """The whole pipeline, or without ``normalize`` only the model, for segments cut before."""
+    def tokenizer(self):
+        """The whole pipeline: normaliser, model and decoder."""
         from tokenizers import Tokenizer, decoders as D, models
 
         unk = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), None)
@@ -132,14 +137,14 @@ class Spec:
             merges.sort(key=lambda m: m[:4])
             model = models.BPE(ids, [m[-1] for m in merges], unk_token=self.pieces[unk][0] if unk is not None else None, fuse_unk=True, byte_fallback=self.byte_fallback)
         out = Tokenizer(model)
-        if normalize:
-            out.normalizer = self.normalizer()
-        out.decoder = D.Sequence([D.Replace(MARK, " "), D.ByteFallback(), D.Fuse(), *([D.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
+        out.normalizer = self.normalizer()
+        unknown = [D.Replace(self.pieces[unk][0], " ⁇ ")] if unk is not None and not self.byte_fallback else []
+        out.decoder = D.Sequence([*unknown, D.Replace(MARK, " "), D.ByteFallback(), D.Fuse(), *([D.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
         return out
 
 
 class Codec:
-    """A model in a task: encodes texts by segments, decodes ids by piece bytes."""
+    """A model in a task: encodes and decodes texts by segments."""
 
     def __init__(self, data: bytes, threads: int = THREADS):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -149,24 +154,71 @@ class Codec:
         self.spec = Spec.parse(data)
         self.threads = threads
         self.by_segment = self.spec.separable() and self.spec.dummy_prefix and not self.spec.squeeze and not self.spec.charsmap
-        self.backend = self.spec.tokenizer(normalize=not self.by_segment)
+        self.backend = self.spec.tokenizer()
         self.truth = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.leads = np.array([p.startswith(MARK) for p, _, _ in self.spec.pieces])
+        quiet = (CONTROL, UNUSED, UNKNOWN) if self.spec.byte_fallback else (CONTROL, UNUSED)
+        self.silent = np.array([i for i, (_, _, t) in enumerate(self.spec.pieces) if t in quiet])  # no text; never encoded to
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
-        units = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t == NORMAL else b" \xe2\x81\x87 " if t == UNKNOWN else b"" for p, _, t in self.spec.pieces]
-        self.unit_at = np.cumsum([0, *map(len, units)])
-        self.unit_bytes = np.frombuffer(b"".join(units), np.uint8)
+        self.odd: set[str] = set()  # units that the two libraries encode differently
+        self.lossy: set[str] = set()  # units that do not decode to themselves
+        self.chars = 0
+        if self.by_segment:
+            self._keep([""], [self._lone(self._backend_ids)], [self._lone(self.truth.encode)])
 
-    def _learn(self, units: list[str]) -> None:
-        """Encode units not seen before with both libraries."""
-        texts = [MARK + u.replace(" ", MARK) for u in units] if self.by_segment else units
-        own = self.backend.encode_batch_fast(texts, add_special_tokens=False)
-        for unit, got, want in zip(units, own, self.truth.encode(units, num_threads=self.threads)):
-            if got.ids != want:
+    def _backend_ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _lone(encode) -> list[int]:
+        """Ids of a marker alone, which no text of its own has: what a blank adds behind a letter."""
+        letter, both = encode(["a", "a "])
+        return both[len(letter) :]
+
+    def _keep(self, units: list[str], own: list[list[int]], want: list[list[int]]) -> None:
+        """Remember the ids of units, where they are not sentencepiece's, and whether they decode to the unit."""
+        for unit, got, right in zip(units, own, want):
+            if got != right:
                 self.odd.add(unit)
-            self.known[unit] = array("i", want).tobytes()
+            self.known[unit] = array("i", right).tobytes()
+            self.chars += len(unit)
+        back = self.backend.decode_batch(own if self.odd.isdisjoint(units) else want, skip_special_tokens=False)
+        self.lossy.update(unit for unit, text in zip(units, back) if text != unit)
 
-    def _units(self, text: str) -> list[str]:
+    def _learn(self, units: list[str]) -> None:
+        """Encode units not seen before with both libraries."""
+        if self.by_segment:
+            units = self._learn_joined(units)
+        if units:
+            self._keep(units, self._backend_ids(units), self.truth.encode(units, num_threads=self.threads))
+
+    def _learn_joined(self, units: list[str]) -> list[str]:
+        """Encode units without blanks or markers JOINED to a line, which falls apart at the markers of its ids.
+
+        Returns the units still to be learned: others, and those of lines on which the libraries differ or which do not
+        decode to themselves.
+        """
+        plain = [u for u in units if u and " " not in u and MARK not in u]
+        left = [u for u in units if not u or " " in u or MARK in u]
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        lines = [" ".join(g) for g in groups]
+        own = self._backend_ids(lines)
+        back = self.backend.decode_batch(own, skip_special_tokens=False)
+        for group, line, got, right, text in zip(groups, lines, own, self.truth.encode(lines, num_threads=self.threads), back):
+            ids = np.array(got, np.int32)
+            begins = np.flatnonzero(self.leads[ids])
+            if got != right or text != line or len(begins) != len(group):
+                left += group
+                continue
+            data, at = ids.tobytes(), [*(begins * 4).tolist(), len(ids) * 4]
+            self.known.update((unit, data[i:j]) for unit, i, j in zip(group, at[:-1], at[1:]))
+            self.chars += len(line)
+        return left
+
+    def units(self, text: str) -> list[str]:
         """What a text is encoded by: its segments, each without its first marker and with blanks for the others."""
         if not text or not self.by_segment:
             return [text] if text else []
@@ -174,14 +226,10 @@ class Codec:
             return text.split(" ")
         return [s[1:].replace(MARK, " ") for s in _SEGMENT.findall(MARK + text.replace(" ", MARK))]
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of every text as 32-bit numbers, and whether the backend agreed with sentencepiece on all of it."""
-        units = [self._units(t) for t in texts]
-        if len(self.known) > KNOWN:
-            self.known.clear()
-            self.odd.clear()
-        if self.by_segment:  # sentencepiece has no way to ask for a lone marker
-            self.known[""] = array("i", [self.truth.piece_to_id(MARK)]).tobytes()
+    def encode_units(self, units: list[list[str]]) -> tuple[list[bytes], list[bool]]:
+        """Ids of every list of units as 32-bit numbers, and whether sentencepiece agreed on all of it."""
+        if len(self.known) > KNOWN or self.chars > KNOWN_CHARS:
+            self._forget()
         new = list(set(chain.from_iterable(units)).difference(self.known))
         if new:
             self._learn(new)
@@ -189,20 +237,23 @@ class Codec:
         ids = [b"".join(map(get, u)) for u in units]
         return ids, [self.odd.isdisjoint(u) for u in units] if self.odd else [True] * len(units)
 
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of every text as 32-bit numbers, and whether sentencepiece agreed on all of it."""
+        return self.encode_units([self.units(t) for t in texts])
+
+    def restored(self, texts: list[str], units: list[list[str]]) -> list[bool]:
+        """Whether each text, whose units have just been encoded, decodes to itself."""
+        marked = self.by_segment
+        return [self.lossy.isdisjoint(u) and not (marked and MARK in t) for t, u in zip(texts, units)]
+
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """Texts of id lists that lie one after another in ``ids``; ``at`` are their offsets."""
-        begin, size = self.unit_at[ids], self.unit_at[ids + 1] - self.unit_at[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.arange(total) + np.repeat(begin - (ends - size), size)
-        data = self.unit_bytes[source].tobytes()
-        edges = np.concatenate([[0], ends])[at]
-        out = []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if self.spec.dummy_prefix and data[a : a + 1] == b" " and b > a:
-                a += 1
-            out.append(data[a:b].decode("utf-8", "replace"))
-        return out
+        silent = np.isin(ids, self.silent)
+        if silent.any():
+            at = at - np.concatenate([[0], np.cumsum(silent)])[at]
+            ids = ids[~silent]
+        flat, at = ids.tolist(), at.tolist()
+        return self.backend.decode_batch([flat[a:b] for a, b in zip(at[:-1], at[1:])], skip_special_tokens=False)
 
 
 def _offsets(sizes: list[int]) -> np.ndarray:
@@ -226,11 +277,11 @@ def encode(docs: DataFrame, model: bytes, threads: int = THREADS) -> DataFrame:
             for row, end, raw, at in texts_of(batch.column(1)):
                 data, n_bytes, at = raw.tobytes(), np.diff(at), at.tolist()
                 texts = [data[a:b].decode() for a, b in zip(at[:-1], at[1:])]
-                ids, parity = codec.encode(texts)
+                units = [codec.units(x) for x in texts]
+                ids, parity = codec.encode_units(units)
+                same = codec.restored(texts, units)
                 sizes = _offsets([len(x) // 4 for x in ids])
                 flat = np.frombuffer(b"".join(ids), np.int32)
-                back = codec.decode(flat.astype(np.int64), sizes)
-                same = [a == b for a, b in zip(texts, back)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[row:end], pa.array(n_bytes), pa.ListArray.from_arrays(sizes, pa.array(flat)), pa.array(parity), pa.array(same)],
                     ["doc_id", "n_bytes", "ids", "parity", "round_trip"],

@@ -173,6 +173,24 @@ def test_knapsack_by_brute_force():
                 assert (sizes * take).sum() == min(reach, key=lambda x: (abs(x - budget), x))
 
 
+def test_knapsack_in_bounded_memory():
+    """6000 even lengths and an odd budget, which no choice meets; and more steps than lie between two kept tables."""
+    import tracemalloc
+
+    sizes = np.arange(2, 12_002, 2)
+    counts = np.full(len(sizes), 3)
+    budget = int((sizes * counts).sum()) // 2 + 1
+    budget += 1 - budget % 2
+    tracemalloc.start()
+    take = mixing.fitted(sizes, counts, budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert int((sizes * take).sum()) == budget - 1 and take.max() <= 3 and peak < 20_000_000
+    few = np.arange(7, 2_000, 13)  # more steps than lie between two kept tables
+    take = mixing.fitted(few, np.full(len(few), 40), 1_234_567)
+    assert int((few * take).sum()) == 1_234_567 and take.max() <= 40
+
+
 def _field(number, value):
     def varint(n):
         out = b""
@@ -205,6 +223,56 @@ def test_a_unigram_model_with_byte_fallback():
     assert [whole.encode(x, add_special_tokens=False).ids for x in lines[:2]] == ids[:2]
 
 
+def _squeezing_model():
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁the", -1.0, 1), ("▁", -3.0, 1), ("the", -2.5, 1), ("t", -5.0, 1), ("h", -5.5, 1), ("e", -5.2, 1)]
+    model = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, t)) for p, s, t in listed)
+    return model + _field(2, _field(3, 1)) + _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, 1) + _field(5, 1))
+
+
+def test_a_model_that_squeezes_blanks(spark):
+    """Its rebuilt normaliser works on whole texts; ids and decoded texts are sentencepiece's, and what was squeezed makes no round trip."""
+    model = _squeezing_model()
+    codec = pieces.Codec(model, 1)
+    assert not codec.by_segment and codec.spec.squeeze
+    lines = {"the the": True, "the  the": False, "  the ": False, "the": True, "": True, "hat he": False}
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in pieces.decode(pieces.encode(rows, model), model).collect()}
+    for k, (line, same) in enumerate(lines.items()):
+        r = found[k]
+        assert r["parity"] and r["ids"] == codec.truth.encode(line) and r["round_trip"] == same == (r["decoded"] == line)
+        assert r["decoded"] == codec.truth.decode(r["ids"])
+
+
+def test_pieces_of_whole_texts(spark, texts):
+    """Ids put together from segments are those of both libraries for whole texts, and decode to the texts by both."""
+    model = pieces.model_bytes()
+    codec = pieces.Codec(model, 1)
+    extra = ["a ", " a", "a  b   c ", "▁", "a▁b", " ", "  ", "a\tb\n c", "<unk> <s>", "<0x41>", "\u2047 é😀"]
+    docs = {**texts, **{-1 - k: x for k, x in enumerate(extra)}}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    found = pieces.decode(pieces.encode(rows, model), model).collect()
+    assert len(found) == len(docs)
+    own = codec._backend_ids([docs[r["doc_id"]] for r in found])
+    for r, ids in zip(found, own):
+        text = docs[r["doc_id"]]
+        assert r["ids"] == codec.truth.encode(text) and r["decoded"] == codec.truth.decode(r["ids"])
+        assert r["parity"] and (not text or r["ids"] == ids) and r["round_trip"] == (r["decoded"] == text) == ("▁" not in text)
+
+
+def test_segments_on_which_the_libraries_differ():
+    """Sentencepiece's ids replace the backend's, and parity is false for texts with such a segment alone."""
+    codec = pieces.Codec(pieces.model_bytes(), 1)
+    backend = codec._backend_ids
+
+    def wrong(lines):
+        return [x[::-1] if "zebra" in line else x for line, x in zip(lines, backend(lines))]
+
+    codec._backend_ids = wrong
+    lines = ["a zebra ran", "a horse ran"]
+    ids, parity = codec.encode(lines)
+    assert [np.frombuffer(x, np.int32).tolist() for x in ids] == codec.truth.encode(lines) and parity == [False, True]
+
+
 @pytest.mark.parametrize("limit", [sharding.LIMIT, 60_000, 9_000])
 def test_shards_against_sql(spark, limit):
     rows = sharding.shard(spark.read.parquet(f"{SMALL}/documents.parquet"), limit=limit)
@@ -257,6 +325,21 @@ def test_areas_against_the_definition():
     assert tile.shape == (16, 16) and tile.dtype == np.uint8
 
 
+def test_areas_of_a_large_image_take_no_copies():
+    """100 MB of samples: the means are those of the definition, and little memory is taken beside them."""
+    import tracemalloc
+
+    pixels = np.arange(24 * 3 * 1_400_000, dtype=np.uint32).astype(np.uint8).reshape(-1, 24, 3)
+    tracemalloc.start()
+    tile, word = media.area_resized(pixels, 16, 16), media.difference_hash(pixels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000 and len(word) == 16
+    rows = pixels.reshape(16, -1, 24, 3).mean(1)  # 16 divides the height; columns are cut at halves
+    fine = np.repeat(rows, 2, axis=1).reshape(16, 16, 3, 3).mean(2)
+    assert np.allclose(tile, fine)
+
+
 def test_winnowing_query(spark, texts):
     order = sorted(texts, reverse=True)
     rows = {r["doc_id"]: r for r in catalog.QUERIES["op9_winnowing"](spark, TINY).collect()}
