@@ -10,7 +10,9 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from harness import compare
 from pyspark.sql import functions as F
 
@@ -73,6 +75,39 @@ def test_isotonic_blocks():
     assert np.allclose(shares, [1 / 3, 1]) and np.allclose(levels, [0.1, 0.92])
 
 
+def test_quality_against_one_fit(spark):
+    """Weights, calibration and scores of the summed form are those of one fit over all labelled rows in memory."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.fit(docs, labels, learn=~quality.held_out())
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    marked = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] is not None and r["doc_id"] in rows]
+    marked = [(i, q) for i, q in marked if zlib.crc32(str(i).encode()) % 5]
+    stats = quality.statistics(pa.array([rows[i] for i, _ in marked])).astype(np.float64)
+    y, fold = np.array([q for _, q in marked], float), np.array([zlib.crc32(f"fold{i}".encode()) % quality.FOLDS for i, _ in marked])
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(stats.var(0), 1e-8)), rtol=1e-4)
+    z = model.fourier(stats)
+
+    def ridge(use):
+        return np.linalg.solve(z[use].T @ z[use] + quality.RIDGE * use.sum() * np.eye(z.shape[1]), z[use].T @ y[use])
+
+    assert np.allclose(model.weights, ridge(np.ones(len(y), bool)), atol=1e-6)
+    out = np.empty(len(y))
+    for f in np.unique(fold):
+        out[fold == f] = z[fold == f] @ ridge(fold != f)
+    cell = np.clip((out + 0.5) / 2 * quality.GRID, 0, quality.GRID - 1).astype(int)
+    used = np.unique(cell)
+    n, ones = (np.concatenate([[0], np.cumsum([v[cell == c].sum() for c in used])]) for v in (np.ones(len(y)), y))
+    share = lambda a, b: (ones[b + 1] - ones[a]) / (n[b + 1] - n[a])
+    k = range(len(used))
+    rising = [max(min(share(a, b) for b in k[i:]) for a in k[: i + 1]) for i in k]
+    assert np.allclose(np.unique(np.round(rising, 9)), np.unique(np.round(model.shares, 9)))
+    raw = {i: float(x) for i, x in zip(rows, model.raw(quality.statistics(pa.array(list(rows.values())))))}
+    for r in catalog.QUERIES["op1_quality"](spark, SMALL).collect():
+        x = raw[r["doc_id"]]
+        want = 0.995 * np.interp(x, model.levels, model.shares) + 0.005 / (1 + math.exp(-x))
+        assert abs(r["score"] - min(max(want, 0), 1)) < 1e-3
+
+
 def test_language_of_held_out_documents(spark):
     rows = catalog.QUERIES["op6_language"](spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
@@ -354,6 +389,37 @@ def test_winnowing_query(spark, texts):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_winnowing_query_by_brute_force(spark, texts):
+    """Digests and likenesses of the query, from grams hashed, chosen and compared one by one."""
+
+    def printed(text):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text.lower())]
+        grams = []
+        for i in range(max(1, len(h) - 2) if h else 0):
+            value = 42
+            for x in h[i : i + 3]:
+                value = xxhash.xxh64_intdigest(struct.pack("<Q", x), value)
+            grams.append(value)
+        key = [(x >> 33, -i) for i, x in enumerate(grams)]
+        picked = sorted({-min(key[i : i + 4])[1] for i in range(max(1, len(key) - 3))}) if key else []
+        found = [(grams[i] - (grams[i] >> 63 << 64), i) for i in picked]
+        text = "[" + ",".join(f'{{"hash":{x},"pos":{i}}}' for x, i in found) + "]"
+        return f"{len(found)}:{hashlib.md5(text.encode()).hexdigest()}", {x for x, _ in found}
+
+    def near(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    order = sorted(texts, reverse=True)
+    rows = {r["doc_id"]: r for r in catalog.QUERIES["op9_winnowing"](spark, TINY).collect()}
+    for at, i in enumerate(order):
+        text, after = texts[i], texts[order[(at + 1) % len(order)]]
+        k = len(text) // 3
+        own, other, following = printed(text), printed(text[: len(text) - k] + after[:k]), printed(after)
+        r = rows[i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own[0], other[0])
+        assert abs(r["near_edited"] - near(own[1], other[1])) < 1e-12 and abs(r["near_next"] - near(own[1], following[1])) < 1e-12
+
+
 def test_ranges_of_ids_do_not_show(spark, monkeypatch):
     whole = sorted(map(str, catalog.QUERIES["op9_winnowing"](spark, TINY).collect()))
     monkeypatch.setattr(winnowing, "CHUNK_ROWS", 9)
