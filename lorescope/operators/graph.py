@@ -54,7 +54,8 @@ def descendants(subclass_of: DataFrame, targets: Sequence[str]) -> DataFrame:
     closure of a large hierarchy is never built. Cycles end it as well.
     """
     spark = subclass_of.sparkSession
-    reached = spark.createDataFrame([(t, t) for t in targets], "class string, target string")
+    # Written like every level, so that the size of the closure is known to the joins that use it.
+    reached = cut_lineage(spark.createDataFrame([(t, t) for t in targets], "class string, target string").coalesce(1))
     frontier = reached
     links = subclass_of.select(F.col("sup").alias("class"), F.col("sub"))
     while True:
@@ -66,8 +67,11 @@ def descendants(subclass_of: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 
 def instances(instance_of: DataFrame, classes: DataFrame) -> DataFrame:
-    """(subj, target) for entities that are instances of a target class or of one below it."""
-    return instance_of.join(classes, "class").select("subj", "target").distinct()
+    """(subj, target) for entities that are instances of a target class or of one below it.
+
+    Most classes hold few entities and one may hold most, so rows are dealt by entity before they are made distinct.
+    """
+    return instance_of.join(classes, "class").select("subj", "target").repartition("subj", "target").distinct()
 
 
 def domain_range_ok(

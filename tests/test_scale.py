@@ -30,6 +30,17 @@ def below_exchanges(df) -> str:
     return "\n".join(reading)
 
 
+def test_entities_of_one_class_are_not_made_distinct_by_one_task(spark):
+    links = spark.createDataFrame([("customer", "party")], "sub string, sup string")
+    classes = B.descendants(links, ["party", "order"])
+    assert sorted(map(tuple, classes.collect())) == [("customer", "party"), ("order", "order"), ("party", "party")]
+    entities = spark.createDataFrame([("o1", "order"), ("o1", "order"), ("c1", "customer"), ("x", "other")], "subj string, class string")
+    typed = B.instances(entities, classes)
+    assert sorted(map(tuple, typed.collect())) == [("c1", "party"), ("o1", "order")]
+    assert "SortMergeJoin" not in plan(typed)  # the size of the closure is known
+    assert "Aggregate" not in below_exchanges(typed)
+
+
 def test_newest_rows_are_dealt_before_they_are_sorted(spark):
     rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 0)], "k string, v int, _batch bigint")
     newest = T._newest(rows, ["k"])
