@@ -46,3 +46,12 @@ def test_newest_rows_are_dealt_before_they_are_sorted(spark):
     newest = T._newest(rows, ["k"])
     assert sorted(map(tuple, newest.select("k", "v").collect())) == [("a", 2), ("b", 3)]
     assert "Sort" not in below_exchanges(newest)
+
+
+def test_votes_are_sorted_apart_from_their_join(spark):
+    width = shuffle_width(spark)
+    votes = spark.range(100).selectExpr("id % 7 AS probe_id", "'a' AS answer", "'Yes.' AS verdict_text")
+    truth = spark.range(7).selectExpr("id AS probe_id", "'a' AS gt_answer")
+    judged = V.evaluate_judged(votes.repartition(width, "probe_id"), truth)
+    assert judged.agg(F.sum("n_votes"), F.count_if("knowledgable")).first()[:] == (100, 7)
+    assert f", {2 * width})" in plan(judged)
