@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lorescope.functions.hashing import hash60
+from lorescope.session import cut_lineage
 
 
 def clean_label(label: Column) -> Column:
@@ -80,7 +81,8 @@ def annotation_pool(labels: DataFrame, probes: DataFrame, items: DataFrame, fact
     factuality = base.filter("task = 'factuality'").join(probes, ["domain", "idx"]).select(
         *base.columns, "question", F.concat(F.lit("Answer: "), "answer").alias("context")
     )
-    wanted = base.filter("task = 'necessity'").join(items, ["domain", "idx"])
+    # Read twice, and often small enough to be sent to the facts.
+    wanted = cut_lineage(base.filter("task = 'necessity'").join(items, ["domain", "idx"]))
     is_code = F.col("domain").isin(*code_domains)
     lines = (
         facts.join(wanted.select("item_id", "domain").distinct(), "item_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorescope.operators import agreement as G
 from lorescope.operators.ordering import position_in_group
 from lorescope.plans.registry import Inputs, query
+from lorescope.session import cut_lineage
 
 _LONG = """long AS (SELECT 'rater_1' AS model, domain, task, idx, label_1 AS label FROM {raters}
       UNION ALL SELECT 'rater_2', domain, task, idx, label_2 FROM {raters})"""
@@ -76,12 +77,16 @@ _POOL = """labelled AS (SELECT 'judge' AS model, unnest(['AUTOMOBILE', 'BUILDING
 
 
 def pool(t: Inputs) -> DataFrame:
+    """The annotation pool. Facts are placed once and their order takes keys alone; texts are read for labelled ones."""
     labels = t.raters.withColumn("domain", F.explode(F.array(*[F.lit(d) for d in DOMAINS]))).selectExpr(
         "'judge' as model", "domain", "idx", "stack(2, 'factuality', label_1, 'necessity', label_2) as (task, label)"
     )
-    items, facts = t.items.withColumnRenamed("task", "domain"), t.facts
+    labels, items = cut_lineage(labels), t.items.withColumnRenamed("task", "domain")
+    facts = cut_lineage(t.facts.select("item_id", "pos", "knowledge", "probe_question", "probe_answer"))
     asked = facts.filter("probe_question is not null").join(items.select("item_id", "domain"), "item_id")
-    probes = position_in_group(asked.select("domain", "item_id", "pos", "probe_question", "probe_answer"), ["domain"], ["item_id", "pos"], "idx")
+    places = position_in_group(cut_lineage(asked.select("domain", "item_id", "pos")), ["domain"], ["item_id", "pos"], "idx")
+    labelled = labels.filter("task = 'factuality'").select("domain", "idx").distinct()
+    probes = cut_lineage(places.join(labelled, ["domain", "idx"], "left_semi")).join(facts, ["item_id", "pos"])
     probes = probes.select("domain", "idx", F.col("probe_question").alias("question"), F.col("probe_answer").alias("answer"))
     numbered = position_in_group(items.select("domain", "item_id", "question"), ["domain"], ["item_id"], "idx")
     return G.annotation_pool(labels, probes, numbered, facts.withColumnRenamed("probe_answer", "answer"), [CODE_DOMAIN])

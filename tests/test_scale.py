@@ -55,3 +55,23 @@ def test_votes_are_sorted_apart_from_their_join(spark):
     judged = V.evaluate_judged(votes.repartition(width, "probe_id"), truth)
     assert judged.agg(F.sum("n_votes"), F.count_if("knowledgable")).first()[:] == (100, 7)
     assert f", {2 * width})" in plan(judged)
+
+
+def test_pool_reads_texts_of_labelled_facts_only(spark, monkeypatch):
+    seen = []
+    real = agreement_queries.position_in_group
+    monkeypatch.setattr(agreement_queries, "position_in_group", lambda df, *a, **k: (seen.append(set(df.columns)), real(df, *a, **k))[1])
+
+    class Own:
+        raters = spark.createDataFrame([(0, "en", "s", 1, 0), (2, "en", "s", -1, 1)], "idx bigint, domain string, task string, label_1 int, label_2 int")
+        items = spark.createDataFrame([(1, "BUILDING", "q1"), (2, "BUILDING", None)], "item_id bigint, task string, question string")
+        facts = spark.createDataFrame(
+            [(1, 0, "k0", "p0", "a0"), (1, 1, "k1", None, "a1"), (2, 0, "k2", "p2", "a2"), (2, 1, "k3", "p3", "a3"), (3, 0, "k", "p", "a")],
+            "item_id bigint, pos bigint, knowledge string, probe_question string, probe_answer string",
+        )
+
+    got = agreement_queries.pool(Own).select("task", "idx", "llm_label", "question", "context").collect()
+    assert sorted(map(tuple, got)) == [
+        ("factuality", 0, 1, "p0", "Answer: a0"), ("factuality", 2, 0, "p3", "Answer: a3"), ("necessity", 0, 0, "q1", "Knowledge:\nk0\nk1"),
+    ]
+    assert {"domain", "item_id", "pos"} in seen
