@@ -57,6 +57,17 @@ def test_votes_are_sorted_apart_from_their_join(spark):
     assert f", {2 * width})" in plan(judged)
 
 
+def test_a_batch_is_several_files(spark):
+    t = Inputs(spark, "none")
+    rows = spark.range(0, 100, 1, 12)
+    stream, path = stream_queries.arriving(t, rows, "files")
+    assert len(spark.read.parquet(path).inputFiles()) == 12
+    numbers = T.latest_per_key(stream.groupBy("id").count(), ["id"], path + "-out")
+    assert numbers.agg(F.count("id"), F.sum("count")).first()[:] == (100, 100)
+    few, path = stream_queries.arriving(t, spark.range(0, 100, 1, 1), "files")
+    assert len(spark.read.parquet(path).inputFiles()) == stream_queries.BATCHES
+
+
 def test_pool_reads_texts_of_labelled_facts_only(spark, monkeypatch):
     seen = []
     real = agreement_queries.position_in_group
