@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -122,21 +123,34 @@ def scope_groups(items: DataFrame, scopes: Sequence[int], index: str = "idx") ->
     )
 
 
-def facts_to_inject(grouped: DataFrame, facts: DataFrame, only_unknown: bool = True, key: str = "item_id") -> DataFrame:
+BLOCK = 10  # groups of the largest scope in a block, at most
+
+
+def facts_to_inject(
+    grouped: DataFrame, facts: DataFrame, only_unknown: bool = True, key: str = "item_id", scopes: Sequence[int] | None = None
+) -> DataFrame:
     """Facts of each scope group, each text once, where it is seen first.
 
     The first occurrence decides: if it has no probe question, later ones do not
     replace it. A missing known flag counts as known. The result stays long, in
     (idx, pos) order, so that no group is collected into one row.
+
+    With ``scopes`` the first argument is the indexed items, not yet grouped. As many items as all scopes divide are a
+    block that no group crosses: facts are dealt by block and meet their groups there, so a fact is moved once and not
+    once per scope. Scopes without a small common multiple are grouped beforehand.
     """
     usable = facts.filter("knowledge <> ''")
     if only_unknown:
         usable = usable.filter("not coalesce(knowledgable, true)")
     detail = ["knowledgable", "knowledge_confidence", "probe_question", "probe_answer"]
+    block, by = math.lcm(*scopes or [1]), []
+    if scopes and block <= BLOCK * max(scopes):
+        dealt = grouped.select(key, "idx").join(usable, key).withColumn("_block", F.floor(F.col("idx") / block)).repartition("_block")
+        seen, by = scope_groups(dealt, scopes), ["_block"]
+    else:
+        seen = (scope_groups(grouped, scopes) if scopes else grouped).select(key, "idx", "scope", "group_id").join(usable, key)
     return (
-        grouped.select(key, "idx", "scope", "group_id")
-        .join(usable, key)
-        .groupBy("scope", "group_id", "knowledge")
+        seen.groupBy(*by, "scope", "group_id", "knowledge")
         .agg(F.min(F.struct("idx", "pos", *detail)).alias("_first"))
         .select("scope", "group_id", "knowledge", "_first.*")
         .filter("probe_question is not null")

@@ -128,12 +128,12 @@ _INJECT_COLUMNS = ("scope", "group_id", "knowledge", "idx", "pos", "knowledgable
 
 @query("c6_unknown", _injected_sql("NOT knowledgable") + f"SELECT {', '.join(_INJECT_COLUMNS)} FROM injected")
 def c6(t):
-    return R.facts_to_inject(R.scope_groups(indexed_items(t), SCOPES), t.facts).select(*_INJECT_COLUMNS)
+    return R.facts_to_inject(indexed_items(t), t.facts, scopes=SCOPES).select(*_INJECT_COLUMNS)
 
 
 @query("c7_all_facts", _injected_sql("true") + f"SELECT {', '.join(_INJECT_COLUMNS)} FROM injected")
 def c7(t):
-    return R.facts_to_inject(R.scope_groups(indexed_items(t), SCOPES), t.facts, only_unknown=False).select(*_INJECT_COLUMNS)
+    return R.facts_to_inject(indexed_items(t), t.facts, only_unknown=False, scopes=SCOPES).select(*_INJECT_COLUMNS)
 
 
 @query("c8_prompt", _injected_sql("NOT knowledgable") + """,
@@ -144,8 +144,9 @@ def c7(t):
           chr(10), facts, chr(10)) END, 'Assistant:', chr(10)) AS prompt
       FROM grouped LEFT JOIN texts USING (scope, group_id) WHERE question IS NOT NULL) x""")
 def c8(t):
-    grouped = R.scope_groups(indexed_items(t), SCOPES)
-    injected = R.facts_to_inject(grouped, t.facts)
+    items = indexed_items(t)
+    grouped = R.scope_groups(items, SCOPES)
+    injected = R.facts_to_inject(items, t.facts, scopes=SCOPES)
     prompts = R.build_prompt(grouped, injected, code_tasks=("MACHINERY",)).filter("prompt is not null")
     return prompts.select("item_id", "scope", F.length("prompt").cast("bigint").alias("chars"), F.md5("prompt").alias("digest"))
 

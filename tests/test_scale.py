@@ -68,6 +68,19 @@ def test_a_batch_is_several_files(spark):
     assert len(spark.read.parquet(path).inputFiles()) == stream_queries.BATCHES
 
 
+def test_a_fact_is_moved_once_for_all_scopes(spark):
+    items = spark.createDataFrame([(i, i) for i in range(30)], "item_id bigint, idx bigint")
+    facts = spark.createDataFrame(
+        [(i, p, f"k{(i * p) % 5}", False, 0.1, None if (i + p) % 4 == 0 else f"q{i}-{p}", "x") for i in range(30) for p in range(3)],
+        "item_id bigint, pos bigint, knowledge string, knowledgable boolean, knowledge_confidence double, probe_question string, probe_answer string",
+    )
+    for scopes in ([1, 2, 10], [7, 11, 13]):  # the second ones share no small multiple
+        dealt = R.facts_to_inject(items, facts, scopes=scopes)
+        known = R.facts_to_inject(R.scope_groups(items, scopes), facts)
+        assert sorted(map(tuple, dealt.collect()), key=repr) == sorted(map(tuple, known.collect()), key=repr)
+        assert ("_block" in plan(dealt)) == (math.lcm(*scopes) <= R.BLOCK * max(scopes))
+
+
 def test_pool_reads_texts_of_labelled_facts_only(spark, monkeypatch):
     seen = []
     real = agreement_queries.position_in_group
