@@ -17,7 +17,8 @@ from lorescope.session import cut_lineage
 def single_valued(triples: DataFrame) -> DataFrame:
     """Claims whose subject and property have exactly one value."""
     return (
-        triples.groupBy("subj", "prop")
+        triples.repartition("subj", "prop")  # claims of a subject lie apart, so only their sorted union is grouped
+        .groupBy("subj", "prop")
         .agg(F.min("obj").alias("obj"), F.min("prop_rank").alias("prop_rank"), F.count(F.lit(1)).alias("_n"))
         .filter("_n = 1")
         .drop("_n")
@@ -30,11 +31,15 @@ def allowed_props(triples: DataFrame, props: Sequence[str]) -> DataFrame:
 
 
 def with_labels(triples: DataFrame, labels: DataFrame, prop_labels: DataFrame) -> DataFrame:
-    """Attach subject, property and object labels; '' where there is none."""
+    """Attach subject, property and object labels; '' where there is none.
+
+    Labels are as many as entities and shrink well in a shuffle: by that size they would be sent whole to every task,
+    where they take many times as much, so they are merged.
+    """
     subj = labels.select(F.col("id").alias("subj"), F.col("label").alias("subj_label"))
     obj = labels.select(F.col("id").alias("obj"), F.col("label").alias("obj_label"))
     names = ("subj_label", "prop_label", "obj_label")
-    joined = triples.join(prop_labels, "prop", "left").join(subj, "subj", "left").join(obj, "obj", "left")
+    joined = triples.join(prop_labels, "prop", "left").join(subj.hint("merge"), "subj", "left").join(obj.hint("merge"), "obj", "left")
     return joined.withColumns({n: F.coalesce(n, F.lit("")) for n in names})
 
 

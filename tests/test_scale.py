@@ -41,6 +41,18 @@ def test_entities_of_one_class_are_not_made_distinct_by_one_task(spark):
     assert "Aggregate" not in below_exchanges(typed)
 
 
+def test_claims_are_sorted_once_and_labels_are_merged(spark):
+    claims = spark.createDataFrame([("a", "p", "b", 1), ("a", "q", "b", 1), ("a", "q", "c", 1)], "subj string, prop string, obj string, prop_rank int")
+    single = B.single_valued(claims)
+    assert [tuple(r) for r in single.collect()] == [("a", "p", "b", 1)]
+    assert "Aggregate" not in below_exchanges(single)
+    labels = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, label string")
+    names = spark.createDataFrame([("p", "P")], "prop string, prop_label string")
+    labelled = B.with_labels(single, labels, names)
+    assert [tuple(r) for r in labelled.select("subj_label", "prop_label", "obj_label").collect()] == [("A", "P", "B")]
+    assert plan(labelled).count("SortMergeJoin") >= 2
+
+
 def test_newest_rows_are_dealt_before_they_are_sorted(spark):
     rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 0)], "k string, v int, _batch bigint")
     newest = T._newest(rows, ["k"])
