@@ -9,6 +9,7 @@ from lorescope.functions.text import canonical_call
 from lorescope.operators import mining as Q
 from lorescope.plans.registry import Inputs, query
 from lorescope.plans.text_queries import checksum, sql_checksum
+from lorescope.session import shuffle_width
 
 # One code cell per part. Its type decides how the library is imported and called.
 _CELLS = """
@@ -32,7 +33,8 @@ _SIGNATURES = [
 
 
 def cells(t: Inputs) -> DataFrame:
-    return t.spark.sql(_CELLS, part=t.part)
+    """Code cells, dealt to all tasks: a short table of parts is read by few, and parsing its code takes long."""
+    return t.spark.sql(_CELLS, part=t.part).repartition(shuffle_width(t.spark))
 
 
 def calls(t: Inputs) -> DataFrame:

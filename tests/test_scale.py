@@ -80,6 +80,18 @@ def test_a_batch_is_several_files(spark):
     assert len(spark.read.parquet(path).inputFiles()) == stream_queries.BATCHES
 
 
+@pytest.fixture
+def parts(spark, tmp_path):
+    rows = [(i, f"part {i}", "Brand#1", ("ECONOMY", "SMALL")[i % 2], i) for i in range(50)]
+    part = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    return Inputs(spark, str(tmp_path))
+
+
+def test_cells_of_one_file_are_parsed_by_all_tasks(spark, parts):
+    assert mining_queries.cells(parts).rdd.getNumPartitions() == shuffle_width(spark)
+
+
 def test_a_fact_is_moved_once_for_all_scopes(spark):
     items = spark.createDataFrame([(i, i) for i in range(30)], "item_id bigint, idx bigint")
     facts = spark.createDataFrame(
